@@ -14,7 +14,7 @@ U64 = np.uint64
 #: Odd multipliers of the polynomial hashes.
 R1, R2 = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 #: Texts are processed in chunks of about this many bytes.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 #: The white space between words: space and \t \n \v \f \r.
 SPACE = np.zeros(256, dtype=bool)

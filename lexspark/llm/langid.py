@@ -124,11 +124,11 @@ class Model:
 
         for i, t in enumerate(texts):
             # a long text goes in parts; only the history at a cut is lost
-            for at in range(0, len(t), CHUNK // 4):
-                c = characters(t[at : at + CHUNK // 4])
+            for at in range(0, len(t), CHUNK // 2):
+                c = characters(t[at : at + CHUNK // 2])
                 run.append((i, c))
                 size += len(c)
-                if size > CHUNK // 4:
+                if size > CHUNK // 2:
                     flush()
         flush()
         return -sums / np.maximum(n, 1)[:, None], n
