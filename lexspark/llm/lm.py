@@ -18,7 +18,7 @@ END, START = U64(0x5BD1E9955BD1E995), U64(0xC6A4A7935BD1E995)
 LEAST_PAIR = 2
 DISCOUNT = 0.75
 #: Bytes of text in a block, the unit that gathers its share of the automaton.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Words over this share of a block's tokens have their arcs dealt by both words.
 HOT = 0.001
 _Z = pa.Codec("zstd", 1)
