@@ -1,2 +1,817 @@
-QUERIES = {}
-ORACLES = {}
+"""Named queries over the driver's tables, each with its DuckDB counterpart."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexspark.functions import text as X
+from lexspark.operators import dedup, index, mwe, state, stats, work
+from lexspark.plans import derived as T
+from lexspark.plans.derived import BASE
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, base: bool = True) -> Callable[[Query], Query]:
+    """Registers a query with the SQL for its oracle, after the common table expressions of BASE."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = (BASE + sql) if base else sql
+        return f
+
+    return add
+
+
+def _r(c: str, alias: str | None = None):  # noqa: ANN202
+    return F.round(F.col(c), 6).alias(alias or c)
+
+
+# --- text, hashes, filters -------------------------------------------------------------------
+
+
+@query("SELECT doc_id, count(*) AS n, max(byte_offset)::BIGINT AS last_offset, count(DISTINCT form) AS forms FROM t GROUP BY doc_id")
+def tokens_by_doc(s: SparkSession, d: str) -> DataFrame:
+    return T.tokens(s, d).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("byte_offset").cast("long").alias("last_offset"), F.count_distinct("form").alias("forms"))
+
+
+@query("SELECT count(*) AS n, 0::BIGINT AS wrong FROM t")
+def token_offset_check(s: SparkSession, d: str) -> DataFrame:
+    t = T.tokens(s, d).join(T.docs(s, d).select("doc_id", F.encode("text", "UTF-8").alias("raw")), "doc_id")
+    own = F.substring("raw", F.col("byte_offset").cast("int") + 1, F.octet_length("form")) == F.encode("form", "UTF-8")
+    return t.agg(F.count("*").alias("n"), F.count_if(~own).alias("wrong"))
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 8) AS content_id FROM documents", base=False)
+def doc_content_hash(s: SparkSession, d: str) -> DataFrame:
+    return T.docs(s, d).select("doc_id", X.content_id(F.col("text")).alias("content_id"))
+
+
+@query("SELECT doc_id, length(text)::BIGINT AS n FROM documents WHERE length(text) >= 200", base=False)
+def min_length_filter(s: SparkSession, d: str) -> DataFrame:
+    return T.docs(s, d).where(F.char_length("text") >= 200).select("doc_id", F.char_length("text").cast("long").alias("n"))
+
+
+@query("SELECT CASE WHEN regexp_matches(lower(left(form, 1)), '^[a-z]$') THEN lower(left(form, 1)) ELSE 'other' END AS prefix, count(*) AS n, count(DISTINCT form) AS forms FROM t GROUP BY 1")
+def prefix_histogram(s: SparkSession, d: str) -> DataFrame:
+    return T.tokens(s, d).groupBy(X.prefix_of(F.col("form")).alias("prefix")).agg(F.count("*").alias("n"), F.count_distinct("form").alias("forms"))
+
+
+@query("SELECT form, count(*) AS total FROM t GROUP BY form")
+def form_counts(s: SparkSession, d: str) -> DataFrame:
+    return index.form_counts(T.tokens(s, d))
+
+
+@query("SELECT lower(form) AS form, count(*) AS total FROM t WHERE regexp_matches(form, '[a-zA-Z]') GROUP BY 1")
+def form_counts_ci(s: SparkSession, d: str) -> DataFrame:
+    return index.form_counts(T.tokens(s, d).where(F.col("form").rlike(X.ASCII_LETTER)), lower=True)
+
+
+@query("SELECT (SELECT count(*) FROM t WHERE regexp_matches(form, '[a-zA-Z]')) AS all_tokens, (SELECT count(*) FROM t WHERE form IN (SELECT form FROM s)) AS tracked")
+def corpus_totals(s: SparkSession, d: str) -> DataFrame:
+    t = T.tokens(s, d).where(F.col("form").rlike(X.ASCII_LETTER)).groupBy("form").agg(F.count("*").alias("n"))
+    known = T.senses(s, d).select("form").distinct().withColumn("k", F.lit(1))
+    return t.join(known, "form", "left").agg(F.sum("n").cast("long").alias("all_tokens"), F.sum(F.when(F.col("k") == 1, F.col("n")).otherwise(0)).cast("long").alias("tracked"))
+
+
+@query("SELECT form, doc_id, byte_offset FROM t WHERE lower(form) = 'the'")
+def occurrence_lookup_ci(s: SparkSession, d: str) -> DataFrame:
+    t = T.tokens(s, d).select("form", "doc_id", "byte_offset", F.lower("form").alias("form_lower"), X.prefix_of(F.col("form")).alias("prefix"))
+    return index.occurrences(t, "The").select("form", "doc_id", "byte_offset")
+
+
+def _contexts(s: SparkSession, d: str) -> DataFrame:
+    t = T.tokens(s, d).where("pos % 97 = 0").join(T.docs(s, d).select("doc_id", "text"), "doc_id")
+    return t.withColumn("at", X.char_offset(F.col("text"), F.col("byte_offset")))
+
+
+@query("SELECT form, doc_id, byte_offset, true AS ok FROM t WHERE pos % 97 = 0")
+def context_window(s: SparkSession, d: str) -> DataFrame:
+    x = _contexts(s, d)
+    ctx = X.context(F.col("text"), F.col("at"), F.col("form"), 30)
+    ok = F.contains(ctx, F.col("form")) & (F.substring("text", F.col("at") + 1, F.char_length("form")) == F.col("form"))
+    return x.select("form", "doc_id", "byte_offset", ok.alias("ok"))
+
+
+@query(""", p AS (SELECT doc_id, pos, form, byte_offset, (sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos) - length(form))::BIGINT AS a FROM (SELECT t1.doc_id, t1.pos, piece, form, byte_offset FROM t1 JOIN t ON t.doc_id = t1.doc_id AND t.pos = t1.pos))
+SELECT form, doc_id, byte_offset, replace(replace(replace(replace(replace(substr(text, greatest(a - 30, 0) + 1, a - greatest(a - 30, 0)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '<strong>' || replace(replace(replace(replace(replace(form, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</strong>' || replace(replace(replace(replace(replace(substr(text, a + length(form) + 1, 30), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS context
+FROM p JOIN documents USING (doc_id) WHERE pos % 97 = 0""")
+def context_bold(s: SparkSession, d: str) -> DataFrame:
+    return _contexts(s, d).select("form", "doc_id", "byte_offset", X.marked_context(F.col("text"), F.col("at"), F.col("form"), 30, "<strong>", "</strong>", escape=True).alias("context"))
+
+
+_GRAMS = r""" w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i - 1 AS i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8))"""
+
+
+@query("WITH" + _GRAMS + " SELECT doc_id, count(*) AS n, count(DISTINCT g) AS distinct_n, count(*) FILTER (WHERE i % 10 = 0) AS indexed FROM g GROUP BY doc_id", base=False)
+def word_shingles(s: SparkSession, d: str) -> DataFrame:
+    return dedup.gram_rows(T.docs(s, d)).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n"), F.count_distinct("g").alias("distinct_n"), F.count_if(F.col("i") % 10 == 0).alias("indexed"))
+
+
+@query("SELECT sha256(text) AS content_id, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1", base=False)
+def exact_dedup(s: SparkSession, d: str) -> DataFrame:
+    return dedup.exact(T.docs(s, d))
+
+
+_BENCH = r""", b AS (SELECT list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM benchmark),
+k AS (SELECT DISTINCT array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT w, unnest(range(1, len(w) - 6)) AS i FROM b WHERE len(w) >= 8) WHERE (i - 1) % 10 = 0)"""
+
+
+@query("WITH" + _GRAMS + _BENCH + " SELECT doc_id, count(k.g) AS hits, count(*) AS total, count(k.g) >= 0.05 * count(*) AS near FROM g LEFT JOIN k ON k.g = g.g GROUP BY doc_id", base=False)
+def near_dup_vs_benchmark(s: SparkSession, d: str) -> DataFrame:
+    x = dedup.overlap(T.docs(s, d), s.read.parquet(f"{d}/benchmark.parquet").withColumnRenamed("item_id", "doc_id"))
+    return x.select(F.col("id").alias("doc_id"), "hits", "total", (F.col("hits") >= 0.05 * F.col("total")).alias("near"))
+
+
+@query("WITH" + _GRAMS + ", k AS (SELECT g, min(doc_id) AS first FROM g WHERE i % 10 = 0 GROUP BY g) SELECT g.doc_id, count(k.g) AS hits, count(*) AS total, count(k.g) >= 0.05 * count(*) AS near FROM g LEFT JOIN k ON k.g = g.g AND k.first < g.doc_id GROUP BY g.doc_id", base=False)
+def near_dup_prior_docs(s: SparkSession, d: str) -> DataFrame:
+    rows = dedup.gram_rows(T.docs(s, d))
+    first = rows.where("i % 10 = 0").groupBy("g").agg(F.min("id").alias("first"))
+    x = rows.join(first, "g", "left").groupBy(F.col("id").alias("doc_id")).agg(F.count_if(F.coalesce(F.col("first") < F.col("id"), F.lit(False))).alias("hits"), F.count("*").alias("total"))
+    return x.select("doc_id", "hits", "total", (F.col("hits") >= 0.05 * F.col("total")).alias("near"))
+
+
+@query()
+def near_dup_greedy(s: SparkSession, d: str) -> DataFrame:
+    return dedup.greedy(T.docs(s, d))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT DISTINCT doc_id FROM t WHERE doc_id % 3 <> 0)")
+def incremental_docs(s: SparkSession, d: str) -> DataFrame:
+    return index.unsegmented(T.docs(s, d).select("doc_id"), T.tokens(s, d).where("doc_id % 3 <> 0"))
+
+
+@query()
+def page_parse(s: SparkSession, d: str) -> DataFrame:
+    p = s.read.parquet(f"{d}/pages.parquet")
+    title = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
+    return p.select("page_id", title.alias("title"), X.source_url(F.col("url"), F.lit("https://example.org/"), title).alias("source_url"), X.content_id(F.col("html")).alias("content_id"), X.year_of(F.lit("2020-01-01"), F.col("html")).alias("year"))
+
+
+# --- multi-word expressions ------------------------------------------------------------------
+
+_LEAD = ", a AS (SELECT doc_id, byte_offset, form AS w1, lead(form, 1) OVER w AS w2, lead(form, 2) OVER w AS w3 FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY byte_offset))"
+_PMI = _LEAD + r""", n AS (SELECT count(*) AS n FROM t), u AS (SELECT form, count(*) AS c FROM t GROUP BY form),
+b AS (SELECT w1, w2, 2 AS k, count(*) AS count FROM a WHERE w2 IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT w1, w3, 3, count(*) FROM a WHERE w2 = '-' AND w3 IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT CASE WHEN k = 3 THEN w1 || '-' || w2 WHEN contains(w2, '''') THEN w1 || w2 ELSE w1 || ' ' || w2 END AS form, k, w1, w2, count, log2(count) - log2(u1.c) - log2(u2.c) + log2(n) AS pmi
+      FROM b JOIN u u1 ON u1.form = w1 JOIN u u2 ON u2.form = w2, n WHERE count >= 10 AND regexp_matches(w1, '[a-zA-Z]') AND regexp_matches(w2, '[a-zA-Z]'))"""
+
+
+@query(_LEAD + " SELECT w1, w2, count(*) AS n FROM a WHERE w2 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5")
+def adjacent_bigrams(s: SparkSession, d: str) -> DataFrame:
+    return mwe.adjacency(T.tokens(s, d)).where("w2 is not null").groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n >= 5")
+
+
+@query(_LEAD + " SELECT w1, w3, count(*) AS n FROM a WHERE w2 = ',' AND w3 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3")
+def adjacent_trigrams(s: SparkSession, d: str) -> DataFrame:
+    return mwe.adjacency(T.tokens(s, d)).where("w2 = ',' and w3 is not null").groupBy("w1", "w3").agg(F.count("*").alias("n")).where("n >= 3")
+
+
+@query(_PMI + " SELECT form, count, round(pmi, 6) AS pmi FROM p WHERE k = 2")
+def bigram_pmi(s: SparkSession, d: str) -> DataFrame:
+    return mwe.pmi(T.tokens(s, d), min_pmi=-1e9, trigrams=False).select("form", "count", _r("pmi"))
+
+
+@query(_PMI.replace("count >= 10", "count >= 1") + " SELECT form, count, round(pmi, 6) AS pmi FROM p WHERE k = 3")
+def hyphen_trigram_pmi(s: SparkSession, d: str) -> DataFrame:
+    return mwe.pmi(T.tokens(s, d), min_count=1, min_pmi=-1e9, bigrams=False).select("form", "count", _r("pmi"))
+
+
+@query(_PMI + " SELECT form, round(max(pmi), 6) AS pmi FROM p WHERE pmi >= 0 GROUP BY form")
+def pmi_combined(s: SparkSession, d: str) -> DataFrame:
+    return mwe.best_by_form(mwe.pmi(T.tokens(s, d), min_pmi=0.0)).select("form", _r("pmi"))
+
+
+@query(_LEAD + " SELECT w1, w2, w1 || CASE WHEN contains(w2, '''') OR starts_with(w2, '-') OR ends_with(w1, '-') THEN '' ELSE ' ' END || w2 AS surface FROM a WHERE w2 IS NOT NULL GROUP BY 1, 2")
+def mwe_surface_form(s: SparkSession, d: str) -> DataFrame:
+    return mwe.adjacency(T.tokens(s, d)).where("w2 is not null").select("w1", "w2").distinct().withColumn("surface", X.surface(F.array("w1", "w2")))
+
+
+_WANT = _PMI + ", c AS (SELECT form, w1 AS x, w2 AS y FROM p WHERE k = 2 AND pmi >= 1)"
+
+
+def _wanted(s: SparkSession, d: str) -> DataFrame:
+    return mwe.pmi(T.tokens(s, d), min_pmi=1.0, trigrams=False).select("form", "components")
+
+
+@query(_WANT + " SELECT c.form, doc_id, byte_offset FROM a JOIN c ON w1 = x AND w2 = y")
+def mwe_occurrences(s: SparkSession, d: str) -> DataFrame:
+    return mwe.find(T.tokens(s, d), _wanted(s, d))
+
+
+@query(_WANT + " SELECT c.form, doc_id, byte_offset FROM a JOIN c ON w1 = x AND w2 = y WHERE doc_id % 2 = 1")
+def mwe_new_rows(s: SparkSession, d: str) -> DataFrame:
+    found = mwe.find(T.tokens(s, d), _wanted(s, d))
+    return mwe.new_rows(found, found.where("doc_id % 2 = 0"))
+
+
+@query(_PMI + " SELECT form, count, round(pmi, 6) AS pmi FROM p WHERE k = 2 AND lower(form) NOT IN (SELECT lower(form) FROM v) AND lower(w1) NOT IN ('of') ORDER BY pmi DESC, form LIMIT 200")
+def mwe_candidates(s: SparkSession, d: str) -> DataFrame:
+    c = mwe.pmi(T.tokens(s, d), min_pmi=-1e9, trigrams=False).where(F.lower(F.element_at("components", 1)) != "of")
+    return mwe.without(c, T.vocab(s, d).select("form")).select("form", "count", _r("pmi")).orderBy(F.desc("pmi"), "form").limit(200)
+
+
+# --- work selection --------------------------------------------------------------------------
+
+
+@query(", k AS (SELECT lower(form) AS k FROM s WHERE position = 2) SELECT form, count(*) AS total FROM t WHERE regexp_matches(form, '[a-zA-Z]') AND lower(form) NOT IN (SELECT k FROM k) GROUP BY form HAVING count(*) >= 5 ORDER BY total DESC, form LIMIT 500")
+def new_forms(s: SparkSession, d: str) -> DataFrame:
+    c = index.form_counts(T.tokens(s, d).where(F.col("form").rlike(X.ASCII_LETTER))).where("total >= 5")
+    return mwe.without(c, T.senses(s, d).where("position = 2").select("form")).orderBy(F.desc("total"), "form").limit(500)
+
+
+@query(", b AS (SELECT form, doc_id, byte_offset, row_number() OVER (PARTITION BY form ORDER BY doc_id, byte_offset) AS rn FROM lr WHERE rating IN (0, 1) AND sense_key <> '0'), n AS (SELECT form, count(*) AS n_bad FROM b GROUP BY form HAVING count(*) >= 5 ORDER BY n_bad DESC, form LIMIT 500) SELECT b.form, n_bad, doc_id, byte_offset FROM b JOIN n USING (form) WHERE rn <= 10")
+def poor_coverage(s: SparkSession, d: str) -> DataFrame:
+    bad = T.reserved(s, d).where("rating in (0, 1) and sense_key <> '0'").select("form", "doc_id", "byte_offset")
+    top = bad.groupBy("form").agg(F.count("*").alias("n_bad")).where("n_bad >= 5").orderBy(F.desc("n_bad"), "form").limit(500)
+    w = Window.partitionBy("form").orderBy("doc_id", "byte_offset")
+    return bad.withColumn("rn", F.row_number().over(w)).where("rn <= 10").join(top, "form").select("form", "n_bad", "doc_id", "byte_offset")
+
+
+_NEED = ", c AS (SELECT form, count(*) AS n_labeled, count_if(rating >= 1) AS n_covered FROM lr WHERE doc_id % 4 = 0 GROUP BY form), w AS (SELECT v.form, total, (coalesce(n_labeled, 0) - coalesce(n_covered, 0) + 5.0::DOUBLE) / (coalesce(n_labeled, 0) + 5.0::DOUBLE) AS bad_rate FROM v LEFT JOIN c ON c.form = v.form)"
+
+
+def _need(s: SparkSession, d: str) -> DataFrame:
+    c = T.reserved(s, d).where("doc_id % 4 = 0").groupBy("form").agg(F.count("*").alias("n_labeled"), F.count_if(F.col("rating") >= 1).alias("n_covered"))
+    return work.need(T.vocab(s, d), c)
+
+
+@query(_NEED + " SELECT form, total, round(bad_rate, 6) AS bad_rate, round(total * bad_rate, 6) AS need_work FROM w")
+def target_weights(s: SparkSession, d: str) -> DataFrame:
+    return _need(s, d).select("form", "total", _r("bad_rate"), _r("need_work"))
+
+
+@query(_NEED + " SELECT form FROM w ORDER BY -ln((('0x' || substr(md5('seed|' || form), 1, 13))::BIGINT + 1) / 4503599627370497.0::DOUBLE) / sqrt(total * bad_rate), form LIMIT 50")
+def weighted_targets(s: SparkSession, d: str) -> DataFrame:
+    return work.weighted_sample(_need(s, d).withColumn("w", F.sqrt("need_work")), "w", "form", 50, "seed").select("form")
+
+
+@query(", r AS (SELECT form, doc_id, byte_offset, row_number() OVER (PARTITION BY form ORDER BY md5('refs|' || doc_id || '|' || byte_offset), doc_id, byte_offset) AS rank FROM l) SELECT form, doc_id, byte_offset FROM r WHERE rank <= 3")
+def uniform_refs(s: SparkSession, d: str) -> DataFrame:
+    return work.uniform_sample(T.labels(s, d).select("form", "doc_id", "byte_offset"), ["form"], 3, "refs", ["doc_id", "byte_offset"]).drop("rank")
+
+
+@query(", n AS (SELECT sense_key, count_if(rating = 2) AS n FROM l GROUP BY 1) SELECT s.form, round(sum(1 / sqrt(coalesce(n, 0) + 1)), 6) AS weight FROM s LEFT JOIN n ON n.sense_key = s.id GROUP BY s.form")
+def sense_weights(s: SparkSession, d: str) -> DataFrame:
+    n = T.labels(s, d).groupBy("sense_key").agg(F.count_if(F.col("rating") == 2).alias("n"))
+    x = T.senses(s, d).join(n, F.col("id") == F.col("sense_key"), "left")
+    return x.groupBy("form").agg(F.round(F.sum(1 / F.sqrt(F.coalesce("n", F.lit(0)) + 1)), 6).alias("weight"))
+
+
+@query(""", a AS (SELECT form, sqrt(total) AS weight, total - 40 AS avail FROM v WHERE total > 40), r AS (SELECT *, avail / weight AS q FROM a),
+x AS (SELECT *, coalesce(sum(avail) OVER (ORDER BY q, form ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (ORDER BY q DESC, form DESC ROWS UNBOUNDED PRECEDING) AS rest FROM r),
+f AS (SELECT q, form, before, rest FROM x WHERE (20000 - before) * weight / rest < avail ORDER BY q, form LIMIT 1)
+SELECT x.form, CASE WHEN f.q IS NOT NULL AND (x.q > f.q OR (x.q = f.q AND x.form >= f.form)) THEN floor((20000 - f.before) * weight / f.rest)::BIGINT ELSE avail END::BIGINT AS n FROM x LEFT JOIN f ON true
+WHERE CASE WHEN f.q IS NOT NULL AND (x.q > f.q OR (x.q = f.q AND x.form >= f.form)) THEN floor((20000 - f.before) * weight / f.rest)::BIGINT ELSE avail END > 0""")
+def proportional_allocation(s: SparkSession, d: str) -> DataFrame:
+    return work.allocate(T.vocab(s, d).where("total > 40").select("form", F.sqrt("total").alias("weight"), (F.col("total") - 40).alias("avail")), 20_000)
+
+
+_STALE = ", m AS (SELECT form, max(updated_at) AS latest FROM s GROUP BY form), x AS (SELECT l.*, l.updated_at < latest AS stale FROM l JOIN m USING (form))"
+
+
+def _stale(s: SparkSession, d: str) -> DataFrame:
+    return work.stale_split(T.labels(s, d), T.senses(s, d).groupBy("form").agg(F.max("updated_at").alias("latest")))
+
+
+@query(_STALE + " SELECT form, count_if(stale) AS stale, count_if(NOT stale) AS fresh FROM x GROUP BY form")
+def stale_split(s: SparkSession, d: str) -> DataFrame:
+    return _stale(s, d).groupBy("form").agg(F.count_if("stale").alias("stale"), F.count_if(~F.col("stale")).alias("fresh"))
+
+
+@query(_STALE + ", r AS (SELECT *, row_number() OVER (PARTITION BY form, stale ORDER BY md5('mix|' || doc_id || '|' || byte_offset), doc_id, byte_offset) AS rank, count_if(stale) OVER (PARTITION BY form) AS ns FROM x) SELECT form, doc_id, byte_offset, stale FROM r WHERE CASE WHEN stale THEN rank <= least(2, ns) ELSE rank <= 20 - least(2, ns) END")
+def stale_mixture(s: SparkSession, d: str) -> DataFrame:
+    return work.mixture(_stale(s, d), 20, 0.1, "mix").select("form", "doc_id", "byte_offset", "stale")
+
+
+_REVIEW = ", y AS (SELECT l.*, CASE WHEN byte_offset % 2 = 0 THEN l.updated_at END AS last_critic FROM l), g AS (SELECT y.form, doc_id, byte_offset, sense_key, count(*) OVER (PARTITION BY sense_key) AS n, row_number() OVER (PARTITION BY sense_key ORDER BY md5('critic|' || doc_id || '|' || byte_offset), doc_id, byte_offset) AS rank FROM y JOIN s ON s.id = sense_key WHERE last_critic IS NULL OR last_critic < s.updated_at)"
+
+
+@query(_REVIEW + " SELECT form, doc_id, byte_offset, sense_key FROM g WHERE n >= 5 AND rank <= 20")
+def critic_groups(s: SparkSession, d: str) -> DataFrame:
+    x = T.labels(s, d).withColumn("last_critic", F.when(F.col("byte_offset") % 2 == 0, F.col("updated_at")))
+    return work.critic_groups(x, T.senses(s, d)).select("form", "doc_id", "byte_offset", "sense_key")
+
+
+@query(", r AS (SELECT form, doc_id, byte_offset, row_number() OVER (ORDER BY form, doc_id, byte_offset) - 1 AS custom_id FROM l WHERE rating = 2 AND doc_id % 10 = 0) SELECT form, doc_id, byte_offset, custom_id::BIGINT AS custom_id, (custom_id // 500)::BIGINT AS chunk FROM r")
+def batch_chunks(s: SparkSession, d: str) -> DataFrame:
+    x = T.labels(s, d).where("rating = 2 and doc_id % 10 = 0").select("form", "doc_id", "byte_offset")
+    return work.chunks(x, ["form", "doc_id", "byte_offset"], 500).withColumn("custom_id", F.col("custom_id").cast("long"))
+
+
+@query(", o AS (SELECT doc_id, min(byte_offset) AS first FROM l GROUP BY doc_id), m AS (SELECT n AS meta, n * 500 AS lo, n * 500 + 499 AS hi FROM (SELECT unnest(range(0, 40)) AS n)) SELECT doc_id, meta FROM o JOIN m ON first BETWEEN lo AND hi")
+def batch_range_match(s: SparkSession, d: str) -> DataFrame:
+    o = T.labels(s, d).groupBy("doc_id").agg(F.min("byte_offset").alias("first"))
+    m = s.range(40).select(F.col("id").alias("meta"), (F.col("id") * 500).alias("lo"), (F.col("id") * 500 + 499).alias("hi"))
+    # ranges of one width: the join is by the range's number, then checked
+    return o.join(m, (F.floor(F.col("first") / 500) == F.floor(F.col("lo") / 500)) & F.col("first").between(F.col("lo"), F.col("hi"))).select("doc_id", "meta")
+
+
+@query(", j AS (SELECT doc_id, pos, form, rating, CASE WHEN pos % 7 = 0 THEN 'x' ELSE '{\"response\":{\"body\":{\"rating\":\"' || rating || '\"}}}' END AS body FROM l WHERE doc_id % 20 = 0) SELECT CASE WHEN pos % 7 = 0 THEN 'malformed' WHEN pos % 5 = 0 THEN 'unknown id' ELSE 'ok' END AS outcome, count(*) AS n FROM j GROUP BY 1")
+def batch_ingest_outcomes(s: SparkSession, d: str) -> DataFrame:
+    x = T.labels(s, d).where("doc_id % 20 = 0")
+    good = F.concat(F.lit('{"response":{"body":{"rating":"'), F.col("rating"), F.lit('"}}}'))
+    x = x.withColumn("body", F.when(F.col("pos") % 7 == 0, "x").otherwise(good))
+    meta = x.where("pos % 5 <> 0").select("form", "doc_id", "byte_offset", F.lit(True).alias("known"))
+    x = x.join(meta, ["form", "doc_id", "byte_offset"], "left").withColumn("r", F.get_json_object("body", "$.response.body.rating").try_cast("int"))
+    out = F.when(F.col("r").isNull() | ~F.col("r").isin(0, 1, 2), "malformed").when(F.col("known").isNull(), "unknown id").otherwise("ok")
+    return x.groupBy(out.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+# --- state -----------------------------------------------------------------------------------
+
+_K = ["form", "doc_id", "byte_offset"]
+
+
+@query("SELECT form, doc_id, byte_offset, sense_key, CASE WHEN byte_offset % 3 = 0 THEN 2 ELSE rating END AS rating FROM l")
+def label_upsert(s: SparkSession, d: str) -> DataFrame:
+    base = T.labels(s, d).select(*_K, "sense_key", "rating")
+    return state.upsert(base, base.where("byte_offset % 3 = 0").withColumn("rating", F.lit(2)), _K)
+
+
+@query("SELECT form, doc_id, byte_offset FROM l WHERE sense_key NOT IN (SELECT id FROM s WHERE position = 2)")
+def label_delete(s: SparkSession, d: str) -> DataFrame:
+    gone = T.senses(s, d).where("position = 2").select(F.col("id").alias("sense_key"))
+    return state.delete(T.labels(s, d), gone, ["sense_key"]).select(*_K)
+
+
+@query("SELECT form, doc_id, byte_offset, CASE WHEN doc_id % 3 = 0 AND byte_offset % 4 = 0 THEN 0 ELSE rating END AS rating, CASE WHEN doc_id % 3 = 0 THEN updated_at END AS last_critic FROM l")
+def critic_downgrade(s: SparkSession, d: str) -> DataFrame:
+    base = T.labels(s, d).withColumn("last_critic", F.lit(None).cast("timestamp"))
+    reviewed = base.where("doc_id % 3 = 0").select(*_K, (F.col("byte_offset") % 4 == 0).alias("bad"), F.col("updated_at").alias("at"))
+    return state.downgrade(base, reviewed).drop("sense_key")
+
+
+@query("SELECT form, position, definition FROM s UNION ALL SELECT form, max(position) + 1, 'a new sense' FROM s GROUP BY form")
+def sense_merge(s: SparkSession, d: str) -> DataFrame:
+    x = T.senses(s, d)
+    old = x.where("position = 1").select("form", F.concat(F.lit(" S"), F.expr("substring(definition, 2)"), F.lit(" ")).alias("definition"), F.lit(1).alias("seq"))
+    new = x.where("position = 1").select("form", F.lit("a new sense").alias("definition"), F.lit(2).alias("seq"))
+    return state.add_senses(x, old.unionByName(new))
+
+
+@query("SELECT id, CASE WHEN model = 'weak' OR length(form) % 2 = 0 THEN 'new ' || id ELSE definition END AS definition, CASE WHEN length(form) % 2 = 0 THEN 'strong' ELSE model END AS model FROM s")
+def sense_rewrite(s: SparkSession, d: str) -> DataFrame:
+    x = T.senses(s, d)
+    change = x.select("id", F.concat(F.lit("new "), F.col("id")).alias("definition"), F.when(F.char_length("form") % 2 == 0, "strong").otherwise("weak").alias("by"))
+    return state.rewrite(x, change).select("id", "definition", "model")
+
+
+@query("SELECT id, row_number() OVER (PARTITION BY form ORDER BY position)::INT AS position FROM s WHERE NOT (position = 1 AND length(form) % 2 = 0) AND NOT (position = 2 AND length(form) % 5 = 0)")
+def sense_prune(s: SparkSession, d: str) -> DataFrame:
+    x = T.senses(s, d)
+    n = F.char_length("form")
+    change = x.where(((F.col("position") == 1) & (n % 2 == 0)) | ((F.col("position") == 2) & (n % 5 == 0))).select("id", F.lit("strong").alias("by"))
+    return state.prune(x, change).select("id", "position")
+
+
+@query(", b AS (SELECT form, max(position) AS last FROM s GROUP BY form), m AS (SELECT morph_base AS form, definition, row_number() OVER (PARTITION BY morph_base ORDER BY form, position) AS r FROM s WHERE morph_base IS NOT NULL) SELECT form, position, CASE WHEN morph_base IS NOT NULL THEN 'Plural of ' || morph_base || '.' ELSE definition END AS definition FROM s UNION ALL SELECT m.form, coalesce(last, 0) + r, definition FROM m LEFT JOIN b ON b.form = m.form")
+def morph_redirect(s: SparkSession, d: str) -> DataFrame:
+    x = T.senses(s, d)
+    change = x.where("morph_base is not null").select("id", F.col("morph_base").alias("base"), X.morph_definition(F.lit("plural"), F.col("morph_base")).alias("definition"), F.lit(True).alias("promote"))
+    return state.morph_redirect(x, change).select("form", "position", "definition")
+
+
+@query("SELECT form, CASE WHEN form <> lower(form) AND lower(form) IN (SELECT form FROM v) THEN lower(form) END AS spelling_variant_of FROM v")
+def spelling_variant(s: SparkSession, d: str) -> DataFrame:
+    v = T.vocab(s, d).select("form")
+    change = v.where(F.col("form") != F.lower("form")).select("form", F.lower("form").alias("to")).join(v.select(F.col("form").alias("to")), "to", "left_semi")
+    return v.join(change, "form", "left").select("form", F.col("to").alias("spelling_variant_of"))
+
+
+@query("SELECT id FROM s WHERE NOT (length(form) % 5 = 0 AND (length(form) % 2 = 1 OR form NOT IN (SELECT form FROM s WHERE model = 'strong')))")
+def delete_entry(s: SparkSession, d: str) -> DataFrame:
+    x = T.senses(s, d)
+    change = x.where(F.char_length("form") % 5 == 0).select("form", F.when(F.char_length("form") % 2 == 1, "strong").otherwise("weak").alias("by")).distinct()
+    return state.delete_entries(x, change).select("id")
+
+
+@query("SELECT form FROM v")
+def queue_add(s: SparkSession, d: str) -> DataFrame:
+    v = T.vocab(s, d).select("form", F.crc32(F.encode("form", "UTF-8")).alias("seq"))
+    return state.queue_add(v.where("seq % 2 = 0"), v).select("form")
+
+
+@query("SELECT form FROM v ORDER BY total DESC, form LIMIT 20")
+def queue_dequeue(s: SparkSession, d: str) -> DataFrame:
+    return T.vocab(s, d).orderBy(F.desc("total"), "form").limit(20).select("form")
+
+
+@query("SELECT form, CASE WHEN length(form) <= 2 THEN 'old' ELSE 'new' END AS reason FROM v WHERE length(form) <= 3")
+def blocklist_add(s: SparkSession, d: str) -> DataFrame:
+    v = T.vocab(s, d)
+    old = v.where(F.char_length("form") <= 2).select("form", F.lit("old").alias("reason"))
+    new = v.where(F.char_length("form") <= 3).select("form", F.lit("new").alias("reason"))
+    return old.unionByName(new.join(old, "form", "left_anti"))
+
+
+@query("""SELECT form, doc_id, byte_offset, sense_key FROM l WHERE form NOT IN (SELECT form FROM v WHERE length(form) = 4) AND sense_key NOT IN (SELECT id FROM s WHERE position = 2 AND length(form) = 5)""")
+def event_replay(s: SparkSession, d: str) -> DataFrame:
+    x = T.labels(s, d)
+    none = F.lit(None)
+    up = x.select(*_K, F.lit("upsert").alias("kind"), "sense_key", F.lit(2).alias("at"), F.lit(1).alias("seq"))
+    first = up.withColumn("sense_key", F.lit("old")).withColumn("at", F.lit(1))
+    form = T.vocab(s, d).where(F.char_length("form") == 4).select("form", none.cast("long").alias("doc_id"), none.cast("long").alias("byte_offset"), F.lit("delete_by_form").alias("kind"), none.cast("string").alias("sense_key"), F.lit(3).alias("at"), F.lit(1).alias("seq"))
+    sense = T.senses(s, d).where((F.col("position") == 2) & (F.char_length("form") == 5)).select(none.cast("string").alias("form"), none.cast("long").alias("doc_id"), none.cast("long").alias("byte_offset"), F.lit("delete_by_sense").alias("kind"), F.col("id").alias("sense_key"), F.lit(3).alias("at"), F.lit(1).alias("seq"))
+    return state.replay(first.unionByName(up).unionByName(form).unionByName(sense))
+
+
+@query("SELECT strftime(ts, '%Y-%m') AS month, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events WHERE event_id % 3 <> 0 GROUP BY 1", base=False)
+def mutation_log(s: SparkSession, d: str) -> DataFrame:
+    e = s.read.parquet(f"{d}/events.parquet")
+    new = e.join(e.where("event_id % 3 = 0").select("event_id"), "event_id", "left_anti")
+    return new.groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("kinds"))
+
+
+@query()
+def event_drain_stream(s: SparkSession, d: str) -> DataFrame:
+    from lexspark.streaming.events import drain
+
+    return drain(s, f"{d}/events.parquet")
+
+
+# --- compile and quality ---------------------------------------------------------------------
+
+
+@query("SELECT form, count(*) AS n_total, count_if(rating = 0) AS n_bad, count_if(rating = 2) AS n_excellent FROM lr GROUP BY form")
+def label_counts(s: SparkSession, d: str) -> DataFrame:
+    return T.reserved(s, d).groupBy("form").agg(F.count("*").alias("n_total"), F.count_if(F.col("rating") == 0).alias("n_bad"), F.count_if(F.col("rating") == 2).alias("n_excellent"))
+
+
+@query("SELECT r AS rating, count(l.rating) AS n FROM (SELECT unnest([0, 1, 2]) AS r) LEFT JOIN l ON l.rating = r GROUP BY r")
+def rating_histogram(s: SparkSession, d: str) -> DataFrame:
+    n = T.labels(s, d).groupBy("rating").agg(F.count("*").alias("n"))
+    return s.range(3).select(F.col("id").cast("int").alias("rating")).join(n, "rating", "left").select("rating", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT form, sense_key, count_if(rating = 0) AS r0, count_if(rating = 1) AS r1, count_if(rating = 2) AS r2 FROM lr GROUP BY 1, 2")
+def rating_dist(s: SparkSession, d: str) -> DataFrame:
+    return T.reserved(s, d).groupBy("form", "sense_key").agg(*[F.count_if(F.col("rating") == r).alias(f"r{r}") for r in (0, 1, 2)])
+
+
+_LAG = _STALE + ", y AS (SELECT form, (epoch(updated_at) - epoch(latest)) / 86400.0::DOUBLE AS lag FROM (SELECT l.form, l.updated_at, latest FROM l JOIN m USING (form)))"
+
+
+def _lag(s: SparkSession, d: str) -> DataFrame:
+    ts = T.senses(s, d).groupBy("form").agg(F.max("updated_at").alias("latest"))
+    return T.labels(s, d).join(ts, "form").select("form", ((F.unix_timestamp("updated_at") - F.unix_timestamp("latest")) / 86400.0).alias("lag"))
+
+
+@query(_LAG + " SELECT count(*) AS n, count_if(lag < 0) AS stale, round(100.0 * count_if(lag < 0) / count(*), 1)::DOUBLE AS pct, round(avg(lag), 6) AS mean_lag FROM y")
+def label_lag(s: SparkSession, d: str) -> DataFrame:
+    return _lag(s, d).agg(F.count("*").alias("n"), F.count_if(F.col("lag") < 0).alias("stale"), F.round(100.0 * F.count_if(F.col("lag") < 0) / F.count("*"), 1).cast("double").alias("pct"), F.round(F.avg("lag"), 6).alias("mean_lag"))
+
+
+@query(_LAG + " SELECT floor((lag + 365) / 12.5)::BIGINT AS bin, count(*) AS n FROM y GROUP BY 1")
+def lag_histogram(s: SparkSession, d: str) -> DataFrame:
+    return _lag(s, d).groupBy(F.floor((F.col("lag") + 365) / 12.5).alias("bin")).agg(F.count("*").alias("n"))
+
+
+_COV = ", c AS (SELECT lower(form) AS form, count(*) AS total FROM t WHERE regexp_matches(form, '[\\p{L}\\p{N}]') GROUP BY 1), k AS (SELECT DISTINCT lower(form) AS form FROM s WHERE length(form) % 5 <> 0), x AS (SELECT c.form, total, k.form IS NOT NULL AS has_def FROM c LEFT JOIN k ON k.form = c.form)"
+
+
+def _cov(s: SparkSession, d: str) -> DataFrame:
+    c = index.form_counts(T.tokens(s, d).where(F.col("form").rlike(X.ALNUM)), lower=True)
+    return stats.coverage(c, T.senses(s, d).where(F.char_length("form") % 5 != 0).select("form"))
+
+
+@query(_COV + " SELECT sum(total)::BIGINT AS total, sum(total) FILTER (WHERE has_def)::BIGINT AS covered, round(100.0::DOUBLE * sum(total) FILTER (WHERE has_def) / sum(total), 6) AS pct FROM x")
+def coverage_instances(s: SparkSession, d: str) -> DataFrame:
+    cov = F.sum(F.when(F.col("has_def"), F.col("total")).otherwise(0))
+    return _cov(s, d).agg(F.sum("total").alias("total"), cov.alias("covered"), F.round(100.0 * cov / F.sum("total"), 6).alias("pct"))
+
+
+@query(_COV + ", q AS (SELECT lower(form) AS form, count(*) AS nl, count_if(rating = 2) AS ne FROM lr GROUP BY 1), g AS (SELECT count_if(rating = 2)::DOUBLE / count(*) AS g FROM lr) SELECT round(sum(CASE WHEN has_def THEN total * (coalesce(ne, 0) + 5 * g) / (coalesce(nl, 0) + 5) ELSE 0 END) / sum(total), 6) AS rate FROM x LEFT JOIN q ON q.form = x.form, g")
+def coverage_smoothed(s: SparkSession, d: str) -> DataFrame:
+    lr = T.reserved(s, d)
+    q = lr.groupBy(F.lower("form").alias("form")).agg(F.count("*").alias("nl"), F.count_if(F.col("rating") == 2).alias("ne"))
+    g = q.agg((F.sum("ne").cast("double") / F.sum("nl")).alias("g"))
+    x = _cov(s, d).join(q, "form", "left").join(F.broadcast(g), F.lit(True))  # one row
+    part = F.when(F.col("has_def"), F.col("total") * (F.coalesce("ne", F.lit(0)) + 5 * F.col("g")) / (F.coalesce("nl", F.lit(0)) + 5)).otherwise(0.0)
+    return x.agg(F.round(F.sum(part) / F.sum("total"), 6).alias("rate"))
+
+
+@query(_COV + ", r AS (SELECT *, row_number() OVER (ORDER BY total DESC, form) - 1 AS rn, greatest(1, ceil(count(*) OVER () / 20.0)) AS size FROM x), b AS (SELECT floor(rn / size)::BIGINT AS bucket, coalesce(sum(total) FILTER (WHERE has_def), 0)::BIGINT AS covered, coalesce(sum(total) FILTER (WHERE NOT has_def), 0)::BIGINT AS uncovered FROM r GROUP BY 1) SELECT * FROM b WHERE bucket < coalesce((SELECT min(bucket) FROM b WHERE covered + uncovered < 50), 1e9)")
+def coverage_buckets(s: SparkSession, d: str) -> DataFrame:
+    return stats.coverage_buckets(_cov(s, d))
+
+
+@query(_COV + " SELECT rn::BIGINT AS rank, form FROM (SELECT form, has_def, row_number() OVER (ORDER BY total DESC, form) - 1 AS rn FROM x) WHERE NOT has_def ORDER BY rn LIMIT 1")
+def first_uncovered(s: SparkSession, d: str) -> DataFrame:
+    open_ = _cov(s, d)
+    top = open_.where("not has_def").orderBy(F.desc("total"), "form").limit(1).select(F.col("form").alias("f"), F.col("total").alias("t"))
+    before = (F.col("total") > F.col("t")) | ((F.col("total") == F.col("t")) & (F.col("form") < F.col("f")))
+    return open_.join(F.broadcast(top), F.lit(True)).groupBy(F.col("f").alias("form")).agg(F.count_if(before).alias("rank"))  # one row
+
+
+@query(", r AS (SELECT sense_key, doc_id, byte_offset, row_number() OVER (PARTITION BY form, sense_key ORDER BY doc_id, byte_offset) AS rn FROM l WHERE rating >= 1) SELECT sense_key, doc_id, byte_offset FROM r WHERE rn <= 10")
+def sense_instances(s: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("form", "sense_key").orderBy("doc_id", "byte_offset")
+    return T.labels(s, d).where("rating >= 1").withColumn("rn", F.row_number().over(w)).where("rn <= 10").select("sense_key", "doc_id", "byte_offset")
+
+
+@query(", q AS (SELECT rating, doc_id, byte_offset, form, row_number() OVER (PARTITION BY rating ORDER BY md5('qc|' || doc_id || '|' || byte_offset), doc_id, byte_offset) AS rank FROM l) SELECT rating, doc_id, byte_offset, form FROM q WHERE rank <= 50")
+def qc_instances(s: SparkSession, d: str) -> DataFrame:
+    return work.uniform_sample(T.labels(s, d).select("rating", "doc_id", "byte_offset", "form"), ["rating"], 50, "qc", ["doc_id", "byte_offset"]).drop("rank")
+
+
+@query("SELECT form, doc_id, byte_offset FROM l WHERE doc_id % 2 = 0 AND byte_offset > 0 AND pos % 50 = 1")
+def stale_labels(s: SparkSession, d: str) -> DataFrame:
+    x = T.labels(s, d).where("doc_id % 2 = 0")
+    # every 50th label is moved off its form by changing the form it claims
+    x = x.withColumn("claim", F.when((F.col("pos") % 50 == 1) & (F.col("byte_offset") > 0), F.concat(F.lit("\u0001"), F.col("form"))).otherwise(F.col("form")))
+    x = x.join(T.docs(s, d).select("doc_id", F.encode("text", "UTF-8").alias("raw")), "doc_id")
+    there = F.substring("raw", F.col("byte_offset").cast("int") + 1, F.octet_length("claim"))
+    return x.where(there != F.encode("claim", "UTF-8")).select("form", "doc_id", "byte_offset")
+
+
+_BUCKET = "CASE WHEN {0} >= 2001 THEN 1 WHEN {0} >= 1901 THEN 5 WHEN {0} >= 1801 THEN 10 WHEN {0} >= 1601 THEN 20 ELSE 50 END"
+_YEARS = f", y AS (SELECT l.*, (floor(year / ({_BUCKET.format('year')})) * ({_BUCKET.format('year')}))::INT AS b, year FROM l JOIN d USING (doc_id) WHERE year IS NOT NULL)"
+
+
+@query(_YEARS + f", n AS (SELECT b, count(*) AS total FROM y GROUP BY b) SELECT form, sense_key, b + ({_BUCKET.format('b')}) / 2.0::DOUBLE AS x, round(count(*) / total::DOUBLE, 6) AS y FROM y JOIN n USING (b) WHERE rating >= 1 GROUP BY form, sense_key, b, total")
+def year_buckets(s: SparkSession, d: str) -> DataFrame:
+    return stats.year_shares(T.labels(s, d), T.dated(s, d)).select("form", "sense_key", "x", _r("y"))
+
+
+@query(_YEARS + ", c AS (SELECT sense_key, year, count_if(rating >= 1) AS n, count(*) AS total FROM y WHERE form = 'the' GROUP BY 1, 2), sp AS (SELECT min(year) AS lo, max(year) AS hi FROM c), g AS (SELECT i, lo - 2.5::DOUBLE + i * (hi - lo + 5.0::DOUBLE) / 299 AS x FROM sp, (SELECT unnest(range(0, 300)) AS i)) SELECT sense_key, round(x, 6) AS x, round(sum(exp(-0.5::DOUBLE * ((x - year) / 2.5::DOUBLE) ** 2) * n) / sum(exp(-0.5::DOUBLE * ((x - year) / 2.5::DOUBLE) ** 2) * total), 6) AS y FROM c, g GROUP BY sense_key, x HAVING sum(exp(-0.5::DOUBLE * ((x - year) / 2.5::DOUBLE) ** 2) * total) > 1e-10")
+def year_kde(s: SparkSession, d: str) -> DataFrame:
+    x = T.labels(s, d).where("form = 'the'").join(T.dated(s, d).where("year is not null").select("doc_id", "year"), "doc_id")
+    c = x.groupBy("sense_key", "year").agg(F.count_if(F.col("rating") >= 1).alias("n"), F.count("*").alias("total"))
+    return stats.year_kde(c).select("sense_key", _r("x"), _r("y"))
+
+
+@query(", n AS (SELECT form, sense_key, count(*) AS n FROM lr WHERE rating >= 1 GROUP BY 1, 2), f AS (SELECT *, sum(n) OVER (PARTITION BY form) AS total FROM n) SELECT f.form, position, round(n / total::DOUBLE, 6) AS share FROM f JOIN s ON s.id = f.sense_key AND s.form = f.form")
+def senses_bar(s: SparkSession, d: str) -> DataFrame:
+    n = T.reserved(s, d).where("rating >= 1").groupBy("form", "sense_key").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy("form")))
+    inv = T.senses(s, d).select("form", F.col("id").alias("sense_key"), "position")
+    return n.join(inv, ["form", "sense_key"]).select("form", "position", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
+@query(", n AS (SELECT sense_key, count_if(rating = 2) AS n2 FROM l GROUP BY 1) SELECT s.form, position, row_number() OVER (PARTITION BY s.form ORDER BY coalesce(n2, 0) DESC, position)::INT AS place FROM s LEFT JOIN n ON n.sense_key = s.id")
+def sense_order(s: SparkSession, d: str) -> DataFrame:
+    n = T.labels(s, d).groupBy("sense_key").agg(F.count_if(F.col("rating") == 2).alias("n2"))
+    x = T.senses(s, d).join(n, F.col("id") == F.col("sense_key"), "left").withColumn("n2", F.coalesce("n2", F.lit(0)))
+    return x.select("form", "position", F.row_number().over(Window.partitionBy("form").orderBy(F.desc("n2"), "position")).alias("place"))
+
+
+@query("SELECT form, ceil(row_number() OVER (ORDER BY total DESC, form) / count(*) OVER ()::DOUBLE * 100)::INT AS percentile FROM v")
+def freq_percentile(s: SparkSession, d: str) -> DataFrame:
+    # ranks over the vocabulary, one row a form
+    r = F.row_number().over(Window.orderBy(F.desc("total"), "form"))
+    return T.vocab(s, d).select("form", F.ceil(r / F.count("*").over(Window.partitionBy()).cast("double") * 100).cast("int").alias("percentile"))
+
+
+@query()
+def compiled_entries(s: SparkSession, d: str) -> DataFrame:
+    bars = senses_bar(s, d).groupBy("form").agg(F.to_json(F.sort_array(F.collect_list(F.struct("position", "share")))).alias("senses_bar"))
+    own = T.senses(s, d).groupBy("form").agg(F.to_json(F.sort_array(F.collect_list(F.struct("position", "definition", "pos")))).alias("senses"), F.max("updated_at").alias("updated_at"))
+    return own.join(bars, "form", "left").join(freq_percentile(s, d), "form", "left")
+
+
+_SRC = ", c AS (SELECT form, source, sense_key, count(*) AS n FROM lr JOIN documents USING (doc_id) WHERE source IN ('src1', 'src2', 'src3', 'src4') GROUP BY 1, 2, 3)"
+_JSD = _SRC + """, tt AS (SELECT form, source, sum(n) AS t FROM c GROUP BY 1, 2), p AS (SELECT a.form, a.source AS s1, b.source AS s2, a.t AS n1, b.t AS n2 FROM tt a JOIN tt b ON a.form = b.form AND a.source < b.source),
+u AS (SELECT DISTINCT p.form, s1, s2, n1, n2, sense_key FROM p JOIN c ON c.form = p.form AND c.source IN (s1, s2)),
+w AS (SELECT u.*, coalesce(c1.n, 0) + 0.1::DOUBLE AS x, coalesce(c2.n, 0) + 0.1::DOUBLE AS y FROM u LEFT JOIN c c1 ON c1.form = u.form AND c1.source = s1 AND c1.sense_key = u.sense_key LEFT JOIN c c2 ON c2.form = u.form AND c2.source = s2 AND c2.sense_key = u.sense_key),
+q AS (SELECT *, x / sum(x) OVER (PARTITION BY form, s1, s2) AS p, y / sum(y) OVER (PARTITION BY form, s1, s2) AS q FROM w),
+j AS (SELECT form, s1, s2, n1, n2, sqrt(greatest(sum(p * log2(2 * p / (p + q)) + q * log2(2 * q / (p + q))) / 2, 0)) AS jsd FROM q GROUP BY ALL)"""
+
+
+def _src(s: SparkSession, d: str) -> DataFrame:
+    x = T.reserved(s, d).join(T.docs(s, d).where(F.col("source").isin("src1", "src2", "src3", "src4")).select("doc_id", "source"), "doc_id")
+    return x.groupBy("form", "source", "sense_key").agg(F.count("*").alias("n"))
+
+
+@query(_JSD + " SELECT s1, s2, round(sum((n1 + n2) / 2.0::DOUBLE * jsd) / sum((n1 + n2) / 2.0::DOUBLE), 5) AS jsd, count(*) AS forms FROM j WHERE n1 >= 3 AND n2 >= 3 GROUP BY 1, 2")
+def source_pair_jsd(s: SparkSession, d: str) -> DataFrame:
+    return stats.source_matrix(stats.jsd(_src(s, d))).select("s1", "s2", F.round("jsd", 5).alias("jsd"), "forms")
+
+
+@query(_JSD + ", k AS (SELECT form, max(t) / sum(t)::DOUBLE AS skew FROM tt WHERE t >= 5 GROUP BY form HAVING count(*) >= 2) SELECT form, round(avg(jsd), 4) AS mean_jsd, round(any_value(skew), 6) AS skew FROM j JOIN k USING (form) GROUP BY form")
+def form_divergence(s: SparkSession, d: str) -> DataFrame:
+    c = _src(s, d)
+    skew = c.groupBy("form", "source").agg(F.sum("n").alias("t")).where("t >= 5").groupBy("form").agg((F.max("t") / F.sum("t")).alias("skew"), F.count("*").alias("k")).where("k >= 2")
+    m = stats.jsd(c).groupBy("form").agg(F.avg("jsd").alias("m"))
+    return m.join(skew, "form").select("form", F.round("m", 4).alias("mean_jsd"), _r("skew"))
+
+
+def _points(s: SparkSession, d: str) -> DataFrame:
+    n = T.senses(s, d).groupBy("form").agg(F.count("*").cast("double").alias("y"))
+    return T.vocab(s, d).join(n, "form").select("form", F.log10("total").alias("x"), "y")
+
+
+_POINTS = ", p AS (SELECT v.form, log10(total) AS x, y::DOUBLE AS y FROM v JOIN (SELECT form, count(*) AS y FROM s GROUP BY form) USING (form))"
+
+
+@query(_POINTS + " SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS r2, count(*) AS n FROM p")
+def nsenses_regression(s: SparkSession, d: str) -> DataFrame:
+    return stats.regression(_points(s, d), "x", "y").select(_r("slope"), _r("intercept"), _r("r2"), "n")
+
+
+@query(_POINTS + ", r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM p) SELECT round(corr(rx, ry), 6) AS rho, count(*) AS n FROM r")
+def spearman(s: SparkSession, d: str) -> DataFrame:
+    return stats.spearman(_points(s, d), "x", "y").select(_r("rho"), "n")
+
+
+@query(_POINTS + ", q AS (SELECT quantile_cont(x, 0.8) AS p80, median(y) AS med FROM p) SELECT form, round(x, 6) AS x, y FROM p, q WHERE x >= p80 AND y <= med ORDER BY y DESC, form LIMIT 5")
+def divergence_outliers(s: SparkSession, d: str) -> DataFrame:
+    p = _points(s, d)
+    q = p.agg(F.percentile("x", F.lit(0.8)).alias("p80"), F.median("y").alias("med"))
+    return p.join(F.broadcast(q), F.lit(True)).where("x >= p80 and y <= med").orderBy(F.desc("y"), "form").limit(5).select("form", _r("x"), "y")  # one row
+
+
+# --- inventory and viewers -------------------------------------------------------------------
+
+
+@query("SELECT form FROM s GROUP BY form HAVING NOT bool_and(morph_base IS NOT NULL) AND form NOT IN (SELECT form FROM v WHERE length(form) <= 2)")
+def qc_task_eligible(s: SparkSession, d: str) -> DataFrame:
+    x = T.senses(s, d).groupBy("form").agg(F.bool_and(F.col("morph_base").isNotNull()).alias("all_morph")).where("not all_morph").select("form")
+    return x.join(T.vocab(s, d).where(F.char_length("form") <= 2).select("form"), "form", "left_anti")
+
+
+@query("SELECT lower(form) AS form_lower, string_agg((rn || '. ') || definition, chr(10) ORDER BY rn) AS menu FROM (SELECT form, definition, row_number() OVER (PARTITION BY lower(form) ORDER BY form, position) AS rn FROM s) GROUP BY 1")
+def sense_menu(s: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("form_lower").orderBy("form", "position")
+    x = T.senses(s, d).withColumn("form_lower", F.lower("form")).withColumn("rn", F.row_number().over(w))
+    lines = F.sort_array(F.collect_list(F.struct("rn", "definition")))
+    return x.groupBy("form_lower").agg(F.array_join(F.transform(lines, lambda y: F.concat(y.rn.cast("string"), F.lit(". "), y.definition)), "\n").alias("menu"))
+
+
+@query("SELECT id, CASE position WHEN 1 THEN 'Plural of ' || lower(form) || '.' WHEN 2 THEN 'Past tense of ' || lower(form) || '.' ELSE 'Odd kind of ' || lower(form) || '.' END AS definition FROM s")
+def morph_definition(s: SparkSession, d: str) -> DataFrame:
+    rel = F.when(F.col("position") == 1, "plural").when(F.col("position") == 2, "past_tense").otherwise("odd_kind")
+    return T.senses(s, d).select("id", X.morph_definition(rel, F.lower("form")).alias("definition"))
+
+
+@query("SELECT form, max(updated_at) AS updated_at FROM s GROUP BY form ORDER BY updated_at DESC, form LIMIT 100")
+def recent_forms(s: SparkSession, d: str) -> DataFrame:
+    return T.senses(s, d).groupBy("form").agg(F.max("updated_at").alias("updated_at")).orderBy(F.desc_nulls_last("updated_at"), "form").limit(100)
+
+
+@query("SELECT form FROM v WHERE contains(lower(form), 'th')")
+def search_forms(s: SparkSession, d: str) -> DataFrame:
+    return T.vocab(s, d).where(F.contains(F.lower("form"), F.lit("th"))).select("form").orderBy(F.lower("form"))
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 50 OFFSET 100", base=False)
+def page_slice(s: SparkSession, d: str) -> DataFrame:
+    return T.docs(s, d).select("doc_id", "source").orderBy("doc_id").offset(100).limit(50)
+
+
+@query("SELECT source, count(*) AS n, count_if(year IS NULL) AS no_year FROM d GROUP BY source")
+def source_summary(s: SparkSession, d: str) -> DataFrame:
+    return T.dated(s, d).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("year").isNull()).alias("no_year"))
+
+
+@query("SELECT round(100.0 * count_if(text IS NULL) / count(*), 1)::DOUBLE AS text_null, round(100.0 * count_if(year IS NULL) / count(*), 1)::DOUBLE AS year_null FROM d")
+def null_report(s: SparkSession, d: str) -> DataFrame:
+    return T.dated(s, d).agg(*[F.round(F.try_divide(100.0 * F.count_if(F.col(c).isNull()), F.count("*")), 1).cast("double").alias(f"{c}_null") for c in ("text", "year")])
+
+
+@query("SELECT coalesce(pos, 'Other') AS pos, count(*) AS n, count(DISTINCT form) AS forms FROM s GROUP BY 1")
+def pos_groups(s: SparkSession, d: str) -> DataFrame:
+    return T.senses(s, d).groupBy(F.coalesce("pos", F.lit("Other")).alias("pos")).agg(F.count("*").alias("n"), F.count_distinct("form").alias("forms"))
+
+
+@query(", c AS (SELECT t.form, t.doc_id, t.byte_offset FROM t JOIN v USING (form) LEFT JOIN l ON l.form = t.form AND l.doc_id = t.doc_id AND l.byte_offset = t.byte_offset AND l.rating IN (1, 2) WHERE l.form IS NULL), r AS (SELECT *, row_number() OVER (PARTITION BY form ORDER BY doc_id, byte_offset) AS rn FROM c) SELECT form, doc_id, byte_offset FROM r WHERE rn <= 100")
+def label_candidates(s: SparkSession, d: str) -> DataFrame:
+    x = T.labels(s, d)
+    done = x.where("rating in (1, 2)").select(F.lower("form").alias("fl"), "doc_id", "byte_offset")
+    open_ = x.select("form", "doc_id", "byte_offset", F.lower("form").alias("fl")).join(done, ["fl", "doc_id", "byte_offset"], "left_anti")
+    w = Window.partitionBy("form").orderBy("doc_id", "byte_offset")
+    return open_.withColumn("rn", F.row_number().over(w)).where("rn <= 100").select("form", "doc_id", "byte_offset")
+
+
+@query("SELECT DISTINCT doc_id FROM documents", base=False)
+def scan_projection(s: SparkSession, d: str) -> DataFrame:
+    return T.docs(s, d).select("doc_id").distinct()
+
+
+@query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 100)::BIGINT AS shard FROM documents", base=False)
+def shard_assignment(s: SparkSession, d: str) -> DataFrame:
+    return index.shards(T.docs(s, d).select("doc_id"), 100)
+
+
+@query("SELECT form FROM v WHERE form NOT IN (SELECT form FROM s WHERE position = 3)")
+def set_difference(s: SparkSession, d: str) -> DataFrame:
+    return T.vocab(s, d).select("form").exceptAll(T.senses(s, d).where("position = 3").select("form"))
+
+
+@query("SELECT v.form, count(id) AS n, string_agg(id, ',' ORDER BY position) AS ids FROM v LEFT JOIN s ON s.form = v.form AND position > 1 GROUP BY v.form")
+def entries_assembled(s: SparkSession, d: str) -> DataFrame:
+    x = T.vocab(s, d).select("form").join(T.senses(s, d).where("position > 1"), "form", "left")
+    ids = F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("position", "id"))))
+    return x.groupBy("form").agg(F.count("id").alias("n"), F.nullif(F.array_join(F.transform(ids, lambda y: y.id), ","), F.lit("")).alias("ids"))
+
+
+@query("SELECT a.form, b.form AS variant FROM v a JOIN v b ON lower(a.form) = lower(b.form) AND a.form <> b.form")
+def case_variants(s: SparkSession, d: str) -> DataFrame:
+    v = T.vocab(s, d).select("form", F.lower("form").alias("fl"))
+    return v.join(v.select(F.col("form").alias("variant"), "fl"), "fl").where("form <> variant").select("form", "variant")
+
+
+@query("SELECT lower(form) AS form_lower, min(form) AS representative FROM v GROUP BY 1")
+def case_representative(s: SparkSession, d: str) -> DataFrame:
+    return T.vocab(s, d).groupBy(F.lower("form").alias("form_lower")).agg(F.min("form").alias("representative"))
+
+
+@query("SELECT id, form FROM s")
+def sense_id_map(s: SparkSession, d: str) -> DataFrame:
+    return T.senses(s, d).select("id", "form")
+
+
+@query("SELECT form, max(updated_at) AS latest FROM s GROUP BY form")
+def latest_sense_ts(s: SparkSession, d: str) -> DataFrame:
+    return T.senses(s, d).where("updated_at is not null").groupBy("form").agg(F.max("updated_at").alias("latest"))
+
+
+@query(", m AS (SELECT * FROM (VALUES (0, 'weak'), (1, 'strong')) m(model_id, model)) SELECT form, doc_id, byte_offset, m.model, k.model AS critic FROM l LEFT JOIN m ON m.model_id = doc_id % 3 LEFT JOIN m k ON k.model_id = byte_offset % 4")
+def labels_with_models(s: SparkSession, d: str) -> DataFrame:
+    m = s.createDataFrame([(0, "weak"), (1, "strong")], "model_id long, model string")
+    x = T.labels(s, d).withColumns({"a": F.col("doc_id") % 3, "b": F.col("byte_offset") % 4})
+    x = x.join(F.broadcast(m.withColumnRenamed("model_id", "a")), "a", "left")  # two rows
+    return x.join(F.broadcast(m.select(F.col("model_id").alias("b"), F.col("model").alias("critic"))), "b", "left").select("form", "doc_id", "byte_offset", "model", "critic")
+
+
+@query("SELECT event_type AS name, row_number() OVER (ORDER BY min(event_id))::INT AS model_id FROM events GROUP BY 1", base=False)
+def model_intern(s: SparkSession, d: str) -> DataFrame:
+    e = s.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("name")).agg(F.min("event_id").alias("first"))
+    return e.select("name", F.row_number().over(Window.orderBy("first")).alias("model_id"))  # one row a name
+
+
+@query("SELECT doc_id, lower(trim(left(text, 20))) AS head, strpos(text, 'the')::INT AS at, starts_with(text, 'The') AS starts, len(string_split(text, ' '))::INT AS parts, replace(left(text, 20), ' ', '_') AS joined FROM documents", base=False)
+def scalar_strings(s: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return T.docs(s, d).select("doc_id", F.lower(F.trim(F.substring(t, 1, 20))).alias("head"), F.instr(t, "the").alias("at"), t.startswith("The").alias("starts"), F.size(F.split(t, " ")).alias("parts"), F.replace(F.substring(t, 1, 20), F.lit(" "), F.lit("_")).alias("joined"))
+
+
+@query("SELECT form, round(log2(total), 6) AS l2, round(log10(total), 6) AS l10, round(sqrt(total), 6) AS root, ceil(total / 7.0)::BIGINT AS up, (total // 7)::BIGINT AS down, greatest(0, total - 100)::BIGINT AS over, round(exp(-total / 1000.0), 6)::DOUBLE AS e FROM v")
+def scalar_math(s: SparkSession, d: str) -> DataFrame:
+    n = F.col("total")
+    return T.vocab(s, d).select("form", F.round(F.log2(n), 6).alias("l2"), F.round(F.log10(n), 6).alias("l10"), F.round(F.sqrt(n), 6).alias("root"), F.ceil(n / 7.0).alias("up"), F.floor(n / 7).alias("down"), F.greatest(F.lit(0).cast("long"), n - 100).alias("over"), F.round(F.exp(-n / 1000.0), 6).alias("e"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(ts, '%Y-%m') AS month, floor(epoch(ts) - epoch(TIMESTAMP '2024-01-01'))::BIGINT AS secs FROM events", base=False)
+def scalar_dates(s: SparkSession, d: str) -> DataFrame:
+    e = s.read.parquet(f"{d}/events.parquet")
+    return e.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"), F.date_format("ts", "yyyy-MM").alias("month"), (F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))).alias("secs"))
+
+
+@query("SELECT doc_id, coalesce(year, -1) AS year, year IS NULL AS missing FROM d")
+def null_handling(s: SparkSession, d: str) -> DataFrame:
+    return T.dated(s, d).select("doc_id", F.coalesce("year", F.lit(-1)).alias("year"), F.col("year").isNull().alias("missing"))
+
+
+@query("SELECT id, CASE pos WHEN 'noun' THEN 'n' WHEN 'verb' THEN 'v' ELSE '?' END AS short FROM s")
+def map_lookup(s: SparkSession, d: str) -> DataFrame:
+    m = F.create_map(F.lit("noun"), F.lit("n"), F.lit("verb"), F.lit("v"))
+    return T.senses(s, d).select("id", F.coalesce(F.try_element_at(m, F.coalesce("pos", F.lit(""))), F.lit("?")).alias("short"))
+
+
+@query("SELECT form, string_agg(round(x, 6)::VARCHAR, ',' ORDER BY rating) AS shares FROM (SELECT form, rating, (count(*) + 0.1::DOUBLE) / (sum(count(*)) OVER (PARTITION BY form) + 0.1::DOUBLE * count(*) OVER (PARTITION BY form)) AS x FROM l GROUP BY 1, 2) GROUP BY form")
+def vector_math(s: SparkSession, d: str) -> DataFrame:
+    v = T.labels(s, d).groupBy("form", "rating").agg(F.count("*").alias("n")).groupBy("form").agg(F.transform(F.sort_array(F.collect_list(F.struct("rating", "n"))), lambda y: y.n + 0.1).alias("x"))
+    total = F.aggregate("x", F.lit(0.0), lambda a, b: a + b)
+    return v.withColumn("t", total).select("form", F.array_join(F.transform("x", lambda y: F.round(y / F.col("t"), 6).cast("string")), ",").alias("shares"))
+
+
+@query("SELECT form, doc_id, byte_offset FROM lr WHERE rating >= 1 AND lower(form) IN ('the', 'of', 'and') AND sense_key NOT IN ('0', '_none') AND NOT (rating = 1 AND doc_id % 2 = 0)")
+def predicate_mix(s: SparkSession, d: str) -> DataFrame:
+    x = T.reserved(s, d).where((F.col("rating") >= 1) & F.lower("form").isin("the", "of", "and") & ~F.col("sense_key").isin("0", "_none"))
+    return x.where(~((F.col("rating") == 1) & (F.col("doc_id") % 2 == 0))).select("form", "doc_id", "byte_offset")
+
+
+@query(r"SELECT id, len(regexp_extract_all(definition, '\s*(?:[\p{L}\p{N}]+|[^\s])'))::INT AS parts FROM s")
+def mwe_forms(s: SparkSession, d: str) -> DataFrame:
+    return T.senses(s, d).select("id", F.size(X.pieces(F.col("definition"))).alias("parts")).where("parts > 1")
+
+
+@query(", e AS (SELECT form, position, unnest([position, position + 1]) AS example FROM s) SELECT form, example::INT AS example, max(position) AS position FROM e GROUP BY 1, 2")
+def example_labels(s: SparkSession, d: str) -> DataFrame:
+    e = T.senses(s, d).select("form", "position", F.explode(F.array("position", F.col("position") + 1)).alias("example"))
+    return e.groupBy("form", "example").agg(F.max("position").alias("position"))
+
+
+@query("SELECT CASE WHEN regexp_matches(lower(left(form, 1)), '^[a-z]$') THEN lower(left(form, 2)) ELSE 'special' END AS bucket, count(*) AS n FROM v GROUP BY 1")
+def export_buckets(s: SparkSession, d: str) -> DataFrame:
+    first = F.lower(F.substring("form", 1, 2))
+    return T.vocab(s, d).groupBy(F.when(first.rlike("^[a-z]"), first).otherwise("special").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c.form, c.id, p.id AS parent FROM s c JOIN s p ON p.form = c.morph_base")
+def viewer_word(s: SparkSession, d: str) -> DataFrame:
+    x = T.senses(s, d)
+    return x.where("morph_base is not null").select("form", "id", "morph_base").join(x.select(F.col("form").alias("morph_base"), F.col("id").alias("parent")), "morph_base").select("form", "id", "parent")
+
+
+@query("SELECT conv_id AS id, count(*) AS n FROM conversations GROUP BY 1 UNION ALL SELECT -1 - doc_id, 1 FROM documents", base=False)
+def union_sources(s: SparkSession, d: str) -> DataFrame:
+    c = s.read.parquet(f"{d}/conversations.parquet").groupBy(F.col("conv_id").alias("id")).agg(F.count("*").alias("n"))
+    return c.unionByName(T.docs(s, d).select((-1 - F.col("doc_id")).alias("id"), F.lit(1).cast("long").alias("n")))
