@@ -157,6 +157,10 @@ def main_text(page: str | None) -> str:
     while i < len(lines):
         if size[i] and sum(size[i : i + WINDOW]) >= SURGE:
             j = i
+            while j > max(0, i - WINDOW) and size[j - 1] and not kept[j - 1]:  # a heading before the surge
+                j -= 1
+                kept[j] = True
+            j = i
             while j < len(lines) and sum(size[j : j + WINDOW]) >= DIVE:
                 kept[j] = size[j] > 0
                 j += 1
