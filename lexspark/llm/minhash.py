@@ -23,6 +23,10 @@ SMALL = 32
 DEPTH = 8
 #: Pairs whose signatures agree in a smaller share are not confirmed: 5 deviations below 0.8.
 LEAST_SEEN = 0.55
+#: Signatures that agree in this share are most likely of linked sets.
+WELL = 0.85
+#: Bits of the map that tells which texts are needed again: 4 MB.
+BITMAP = 1 << 25
 
 _A = mix(np.arange(1, COORDINATES + 1, dtype=U64) * R1) | U64(1)
 _B = mix(np.arange(1, COORDINATES + 1, dtype=U64) * R2)
@@ -49,10 +53,9 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def _per_text(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
-    texts = batch.column(1).to_pylist()
     step = 512
-    for i in range(0, len(texts), step):
-        hashes, counts = tokens(texts[i : i + step])
+    for i in range(0, len(batch), step):
+        hashes, counts = tokens(batch.column(1).slice(i, step).to_pylist())
         at = 0
         for n in counts:
             yield shingles(hashes[at : at + n], width)
@@ -75,18 +78,32 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, s): the sets of the documents with these ids, and of a few others.
+
+    The ids go out as a bitmap of BITMAP bits, whatever their number, so the texts stay where
+    they are; a document whose bit another one has set is computed for nothing.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
+    found = ids.select(bit.alias("h")).groupBy(F.floor(F.col("h") / 32768).cast("int").alias("b")).agg(F.bitmap_construct_agg(F.pmod("h", F.lit(32768))).alias("m")).collect()
+    bits = np.zeros(BITMAP // 8, np.uint8)
+    for r in found:
+        bits[r.b * 4096 : (r.b + 1) * 4096] = np.frombuffer(r.m, np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            h = b.column(2).to_numpy()
+            b = b.filter(pa.array((shared.value[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in _per_text(b, width)], pa.binary())], ["doc_id", "s"])
 
-    return docs.mapInArrow(run, "doc_id long, s binary")
+    return rows.where("doc_id is not null").select("doc_id", "t", bit.alias("h")).mapInArrow(run, "doc_id long, s binary")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs(a, b) whose full sets have 100 * intersection >= percent * union."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(_sets(docs.join(ids, "doc_id", "left_semi"), width), "sets")
+    sets = stored(_sets(docs, ids, width), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,10 +132,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     smallest doc_id reachable, kept says whether that is the document itself.
 
     Documents with equal sets are one class, formed by a key of the set. For each of TREES trees
-    the class representatives branch by the value of one signature coordinate, chosen by node.
-    Nodes of up to SMALL are compared exhaustively; of larger ones every member is compared with
-    two members drawn by hash, and they branch again. What still is large after DEPTH branchings
-    is dense: there, members outside the largest component so far are compared with all others.
+    the class representatives are dealt to nodes by the value of one signature coordinate. Every
+    member of a node is compared with its least one, in nodes of more than SMALL with one drawn by
+    hash too. Then only nodes with several components so far matter: small ones are compared
+    exhaustively across components, larger ones with one drawn member, and branch again by a
+    coordinate chosen by node. What still is large after DEPTH branchings is dense: there, members
+    outside the largest component are compared with all members of others.
     So no group is cut off, and none is expanded into all its pairs.
 
     A null or empty text, or one of white space, links with nothing; fewer than width words are
@@ -135,21 +154,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     first = F.array(*[F.xxhash64(F.lit(t), F.element_at("sig", t * 37 % COORDINATES + 1)) for t in range(TREES)])
     level = reps.select("rep", F.explode(first).alias("node"))
-    pairs = None
-    tables = []
-    for depth in range(DEPTH + 1):
-        sizes = level.groupBy("node").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("node", "rep")).alias("p"), F.max_by("rep", F.xxhash64("node", "rep")).alias("q")).where("size > 1")
-        nodes = stored(level.join(sizes, "node"), "nodes")
-        tables.append(nodes)
-        small = nodes.where(F.col("size") <= SMALL).select("node", "rep")
-        near = small.alias("x").join(small.alias("y"), "node").where("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        large = nodes.where(F.col("size") > SMALL)
-        star = large.select("rep", F.explode(F.array("p", "q")).alias("o")).where("rep <> o").select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b"))
-        found = near.unionByName(star)
-        pairs = found if pairs is None else pairs.unionByName(found)
-        if depth == DEPTH or large.isEmpty():
-            break
-        level = large.join(reps.select("rep", "sig"), "rep").select("rep", F.xxhash64("node", F.element_at("sig", F.pmod("node", F.lit(COORDINATES)).cast("int") + 1)).alias("node"))
+    sizes = level.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("p"), F.min_by("rep", F.xxhash64("node", "rep")).alias("q")).where("size > 1")
+    shared = stored(level.join(sizes, "node"), "nodes")
+    ends = F.when(F.col("size") > SMALL, F.array("p", "q")).otherwise(F.array("p"))
+    stars = shared.select("rep", F.explode(ends).alias("o")).where("rep <> o").select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b"))
 
     def seen(p: DataFrame) -> DataFrame:
         """Distinct pairs that sizes and signatures do not rule out, with the agreement."""
@@ -157,29 +165,54 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         both = p.distinct().join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         return both.select("a", "b", _agreement(F.col("sa"), F.col("sb")).alias("agree")).where(F.col("agree") >= int(LEAST_SEEN * COORDINATES * percent / 80))
 
-    cand = stored(seen(pairs), "pairs")
-    ends = cand.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("e"))
-    best = ends.groupBy("e").agg(F.max_by(F.struct("a", "b"), F.struct("agree", -F.col("a"), -F.col("b"))).alias("m")).select("m.a", "m.b").distinct()
+    cand = stored(seen(stars), "pairs")
+    # first, one pair of each class: with the least id among those that agree well, so that a dense
+    # group meets at one member, else the one that agrees best
+    both = cand.select("a", "b", "agree").unionByName(cand.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
+    well = F.col("agree") >= int(WELL * COORDINATES)
+    best = both.groupBy("a").agg(F.max_by("b", F.struct(well, F.when(well, -F.col("b")).otherwise(F.col("agree")))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = _confirmed(best, rows, width, percent)
     comp = stored(components(links), "components")
 
-    def crossing(p: DataFrame) -> DataFrame:
-        """The pairs whose ends are in different components so far."""
-        c = lambda k: comp.select(F.col("node").alias(k), F.col("component").alias("c" + k))
-        return p.join(c("a"), "a", "left").join(c("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    rest = crossing(cand.select("a", "b"))
+    def labelled(p: DataFrame, *ids: str) -> DataFrame:
+        """p with each id's component so far, as c<id>."""
+        for k in ids:
+            p = p.join(comp.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col(k) == F.col("_n"), "left").withColumn("c" + k, F.coalesce("_c", k)).drop("_n", "_c")
+        return p
+
+    def joined(pairs: DataFrame) -> None:
+        """Confirms pairs between components and joins these."""
+        nonlocal links, comp
+        open_ = stored(labelled(pairs, "a", "b").where("ca <> cb").select("a", "b").distinct(), "rest")
+        if not open_.isEmpty():
+            links = links.unionByName(_confirmed(open_, rows, width, percent))
+            comp = stored(components(links), "components")
+        drop_stored(open_)
+
+    joined(cand.select("a", "b"))
+    level = labelled(shared.select("node", "rep"), "rep")
+    found, tables = None, [shared]
+    for depth in range(DEPTH + 1):
+        q = F.min_by(F.struct("rep", "crep"), F.xxhash64("node", "rep"))
+        mixed = level.groupBy("node").agg(F.count("*").alias("size"), F.min("crep").alias("lo"), F.max("crep").alias("hi"), q.alias("q")).where("lo <> hi")
+        nodes = stored(level.join(mixed.select("node", "size", F.col("q.rep").alias("q"), F.col("q.crep").alias("cq")), "node"), "nodes")
+        tables.append(nodes)
+        small, large = nodes.where(F.col("size") <= SMALL), nodes.where(F.col("size") > SMALL)
+        other = small.select("node", F.col("rep").alias("o"), F.col("crep").alias("co"))
+        near = small.join(other, "node").where("rep < o and crep <> co").select(F.col("rep").alias("a"), F.col("o").alias("b"))
+        star = large.where("crep <> cq").select(F.least("rep", "q").alias("a"), F.greatest("rep", "q").alias("b"))
+        found = near.unionByName(star) if found is None else found.unionByName(near).unionByName(star)
+        if depth == DEPTH or large.isEmpty():
+            break
+        level = large.join(reps.select("rep", "sig"), "rep").select("rep", "crep", F.xxhash64("node", F.element_at("sig", F.pmod("node", F.lit(COORDINATES)).cast("int") + 1)).alias("node"))
     if depth == DEPTH:
-        dense = large.select("node", "rep").join(comp, F.col("rep") == comp["node"], "left").select(large["node"], "rep", F.coalesce("component", "rep").alias("c"))
-        share = dense.groupBy("node", "c").count().groupBy("node").agg(F.max_by("c", F.struct("count", "c")).alias("most"))
-        odd = dense.join(share, "node").where("c <> most").select("node", F.col("rep").alias("x"), F.col("c").alias("cx"))
-        more = odd.join(dense, "node").where("c <> cx").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
-        rest = rest.unionByName(seen(more).select("a", "b")).distinct()
-    rest = stored(rest, "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(_confirmed(rest, rows, width, percent))
+        share = large.groupBy("node", "crep").count().groupBy("node").agg(F.max_by("crep", F.struct("count", "crep")).alias("most"))
+        odd = large.join(share, "node").where("crep <> most").select("node", F.col("rep").alias("x"), F.col("crep").alias("cx"))
+        more = odd.join(large.select("node", "rep", "crep"), "node").where("crep <> cx").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
+        found = found.unionByName(more)
+    joined(seen(found).select("a", "b"))
     comp = stored(components(links.unionByName(same_id)), "components")
-    for t in (*tables, cand, rest):
+    for t in (*tables, cand):
         drop_stored(t)
 
     of_rep = reps.select("k1", "k2", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("of_set"))
