@@ -18,7 +18,9 @@ COORDINATES = 64
 #: missed by all trees with probability (1 - 0.8**d)**TREES: 1e-9 for d = 2, 7e-6 for d = 4.
 TREES = 24
 #: Nodes of up to so many documents are compared exhaustively; larger ones branch.
-SMALL = 32
+SMALL = 64
+#: Shingles of the documents that share a block: 256 kB.
+BLOCK = 1 << 15
 #: Branchings before what is left of a large node is taken as one dense group.
 DEPTH = 8
 #: Pairs whose signatures agree in a smaller share are not confirmed: 5 deviations below 0.8.
@@ -120,6 +122,87 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     return out
 
 
+def _calls(members: DataFrame, percent: int) -> DataFrame:
+    """(rep, block, guest): which documents of members(node, rep, crep, n, sig, block) to compare where.
+
+    Two documents of a node and of different components, whose sizes and signatures do not rule
+    out a link, meet in the block of the lesser one; the other is a guest there.
+    """
+    least = int(LEAST_SEEN * COORDINATES * percent / 80)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            lists, reps, own, blocks = t.column(0), [], [], []
+            at, flat = lists.offsets.to_numpy(), lists.values
+            rep, crep, n, home = (flat.field(k).to_numpy() for k in ("rep", "crep", "n", "block"))
+            sig = flat.field("sig").flatten().to_numpy().reshape(-1, COORDINATES)
+            for i, j in zip(at[:-1], at[1:], strict=True):
+                r, c, size = rep[i:j], crep[i:j], n[i:j]
+                fit = (r[:, None] > r) & (c[:, None] != c) & (100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size))
+                x, y = np.nonzero(fit)
+                for k in range(0, len(x), 4096):
+                    u, v = x[k : k + 4096], y[k : k + 4096]
+                    fit[u, v] = (sig[i + u] == sig[i + v]).sum(axis=1) >= least
+                hosts = fit.any(axis=0)
+                for k in np.flatnonzero(hosts | fit.any(axis=1)):
+                    reps.append(r[k])
+                    own.append(home[i + k] if hosts[k] else None)
+                    blocks.append(np.unique(home[i:j][fit[k]]))
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(own, pa.int64()), pa.array(blocks, pa.list_(pa.int64()))], ["rep", "own", "blocks"])
+
+    lists = members.groupBy("node").agg(F.collect_list(F.struct("rep", "crep", "n", "block", "sig")).alias("m")).select("m")
+    found = lists.mapInArrow(run, "rep long, own long, blocks array<long>").groupBy("rep").agg(F.max("own").alias("own"), F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
+    found = stored(found, "found")
+    guests = found.select("rep", F.explode("blocks").alias("block"), F.lit(True).alias("guest"))
+    return guests.unionByName(found.where("own is not null").select("rep", F.col("own").alias("block"), F.lit(False).alias("guest")))
+
+
+def _blocks(calls: DataFrame, comp: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links(a, b) between the hosts of each block and its guests, on full sets.
+
+    A task holds the sets of one block's hosts at a time, and guests pass by one after the other.
+    """
+    sets = stored(_sets(docs, calls.select(F.col("rep").alias("doc_id")).distinct(), width), "sets")
+    named = calls.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("block", "guest", "rep", F.coalesce("component", "rep").alias("c"))
+    at = named.join(sets.select(F.col("doc_id").alias("rep"), "s"), "rep").select("block", "guest", "rep", "c", "s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hosts, table = None, [], None
+        for t in batches:
+            out = []
+            for block, guest, rep, c, s in zip(*(t.column(k).to_pylist() for k in range(4)), t.column(4), strict=True):
+                if block != now:
+                    now, hosts, table = block, [], None
+                u = np.frombuffer(s.as_buffer(), U64)
+                if not guest:
+                    hosts.append((rep, c, u))
+                    continue
+                if not hosts:
+                    continue
+                if table is None:
+                    every = np.concatenate([h[2] for h in hosts])
+                    order = np.argsort(every, kind="stable")
+                    owner = np.repeat(np.arange(len(hosts)), [len(h[2]) for h in hosts])[order]
+                    keys, first = np.unique(every[order], return_index=True)
+                    ids, of, sizes = (np.array(x) for x in ([h[0] for h in hosts], [h[1] for h in hosts], [len(h[2]) for h in hosts]))
+                    table = (keys, np.append(first, len(every)), owner, ids, of, sizes)
+                keys, first, owner, ids, of, sizes = table
+                pos = np.minimum(np.searchsorted(keys, u), len(keys) - 1)
+                pos = pos[keys[pos] == u]
+                length = first[pos + 1] - first[pos]
+                hit = np.repeat(first[pos] - np.cumsum(length) + length, length) + np.arange(length.sum())
+                common = np.bincount(owner[hit], minlength=len(ids))
+                linked = (100 * common >= percent * (sizes + len(u) - common)) & (of != c)
+                # one link to each component is enough
+                _, once = np.unique(of[linked], return_index=True)
+                out += [(int(x), rep) for x in ids[linked][once]]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
+
+    out = stored(at.repartition("block").sortWithinPartitions("block", "guest").mapInArrow(run, "a long, b long"), "links")
+    drop_stored(sets)
+    return out
+
+
 def _agreement(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
 
@@ -135,10 +218,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     the class representatives are dealt to nodes by the value of one signature coordinate. Every
     member of a node is compared with its least one, in nodes of more than SMALL with one drawn by
     hash too. Then only nodes with several components so far matter: small ones are compared
-    exhaustively across components, larger ones with one drawn member, and branch again by a
-    coordinate chosen by node. What still is large after DEPTH branchings is dense: there, members
-    outside the largest component are compared with all members of others.
-    So no group is cut off, and none is expanded into all its pairs.
+    exhaustively across components, larger ones branch again by a coordinate chosen by node. What
+    still is large after DEPTH branchings is dense: there, members outside the largest component
+    are compared with all members. These comparisons make no rows of pairs: a document is sent
+    once to each block of documents that it may be linked with, and compared with all of these
+    on the full sets. So no group is cut off, and none is expanded into all its pairs.
 
     A null or empty text, or one of white space, links with nothing; fewer than width words are
     one shingle. Equal ids are one document for linking. A row without an id has no component
@@ -153,8 +237,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     same_id = linked.select("doc_id", "k1", "k2").join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     first = F.array(*[F.xxhash64(F.lit(t), F.element_at("sig", t * 37 % COORDINATES + 1)) for t in range(TREES)])
-    level = reps.select("rep", F.explode(first).alias("node"))
-    sizes = level.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("p"), F.min_by("rep", F.xxhash64("node", "rep")).alias("q")).where("size > 1")
+    level = reps.select("rep", "n", F.explode(first).alias("node"))
+    sizes = level.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("p"), F.min_by("rep", F.xxhash64("node", "rep")).alias("q"), F.sum("n").alias("weight")).where("size > 1")
     shared = stored(level.join(sizes, "node"), "nodes")
     ends = F.when(F.col("size") > SMALL, F.array("p", "q")).otherwise(F.array("p"))
     stars = shared.select("rep", F.explode(ends).alias("o")).where("rep <> o").select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b"))
@@ -190,29 +274,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         drop_stored(open_)
 
     joined(cand.select("a", "b"))
+    # what is linked but not yet joined is sought by blocks: of the largest node that holds a
+    # document, so much as makes BLOCK shingles
+    home = shared.groupBy("rep").agg(F.max(F.struct("size", "node", "weight")).alias("h")).select("rep", F.xxhash64("h.node", F.pmod(F.xxhash64("rep"), F.ceil(F.col("h.weight") / BLOCK))).alias("block"))
+    info = stored(reps.select("rep", "n", "sig").join(home, "rep"), "blocks")
     level = labelled(shared.select("node", "rep"), "rep")
-    found, tables = None, [shared]
+    leaves, tables = None, [shared, info]
     for depth in range(DEPTH + 1):
-        q = F.min_by(F.struct("rep", "crep"), F.xxhash64("node", "rep"))
-        mixed = level.groupBy("node").agg(F.count("*").alias("size"), F.min("crep").alias("lo"), F.max("crep").alias("hi"), q.alias("q")).where("lo <> hi")
-        nodes = stored(level.join(mixed.select("node", "size", F.col("q.rep").alias("q"), F.col("q.crep").alias("cq")), "node"), "nodes")
+        mixed = level.groupBy("node").agg(F.count("*").alias("size"), F.min("crep").alias("lo"), F.max("crep").alias("hi")).where("lo <> hi")
+        nodes = stored(level.join(mixed.select("node", "size"), "node"), "nodes")
         tables.append(nodes)
-        small, large = nodes.where(F.col("size") <= SMALL), nodes.where(F.col("size") > SMALL)
-        other = small.select("node", F.col("rep").alias("o"), F.col("crep").alias("co"))
-        near = small.join(other, "node").where("rep < o and crep <> co").select(F.col("rep").alias("a"), F.col("o").alias("b"))
-        star = large.where("crep <> cq").select(F.least("rep", "q").alias("a"), F.greatest("rep", "q").alias("b"))
-        found = near.unionByName(star) if found is None else found.unionByName(near).unionByName(star)
+        small, large = nodes.where(F.col("size") <= SMALL).select("node", "rep", "crep"), nodes.where(F.col("size") > SMALL)
+        leaves = small if leaves is None else leaves.unionByName(small)
         if depth == DEPTH or large.isEmpty():
             break
-        level = large.join(reps.select("rep", "sig"), "rep").select("rep", "crep", F.xxhash64("node", F.element_at("sig", F.pmod("node", F.lit(COORDINATES)).cast("int") + 1)).alias("node"))
+        level = large.join(info.select("rep", "sig"), "rep").select("rep", "crep", F.xxhash64("node", F.element_at("sig", F.pmod("node", F.lit(COORDINATES)).cast("int") + 1)).alias("node"))
+    calls = _calls(leaves.join(info, "rep"), percent)
     if depth == DEPTH:
         share = large.groupBy("node", "crep").count().groupBy("node").agg(F.max_by("crep", F.struct("count", "crep")).alias("most"))
-        odd = large.join(share, "node").where("crep <> most").select("node", F.col("rep").alias("x"), F.col("crep").alias("cx"))
-        more = odd.join(large.select("node", "rep", "crep"), "node").where("crep <> cx").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
-        found = found.unionByName(more)
-    joined(seen(found).select("a", "b"))
+        odd = large.join(share, "node").where("crep <> most").select("node", "rep").join(info.select("rep", "block"), "rep")
+        guests = large.join(odd.select("node", "block").distinct(), "node").select("rep", "block", F.lit(True).alias("guest"))
+        calls = calls.unionByName(guests).unionByName(odd.select("rep", "block", F.lit(False).alias("guest")))
+    calls = stored(calls.distinct(), "calls")
+    if not calls.isEmpty():
+        links = links.unionByName(_blocks(calls, comp, rows, width, percent))
     comp = stored(components(links.unionByName(same_id)), "components")
-    for t in (*tables, cand):
+    for t in (*tables, cand, calls):
         drop_stored(t)
 
     of_rep = reps.select("k1", "k2", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("of_set"))
