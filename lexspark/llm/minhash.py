@@ -95,9 +95,11 @@ def _sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = b.column(2).to_numpy()
-            b = b.filter(pa.array((shared.value[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in _per_text(b, width)], pa.binary())], ["doc_id", "s"])
+            for i in range(0, len(b), 512):
+                part = b.slice(i, 512)
+                h = part.column(2).to_numpy()
+                part = part.filter(pa.array((shared.value[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in _per_text(part, width)], pa.binary())], ["doc_id", "s"])
 
     return rows.where("doc_id is not null").select("doc_id", "t", bit.alias("h")).mapInArrow(run, "doc_id long, s binary")
 
