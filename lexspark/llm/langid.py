@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm._common import CHUNK, R1, U64, mix
+from lexspark.llm._common import R1, U64, mix
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -22,6 +22,8 @@ ALPHABET = 65_536
 REJECT = 8.0
 #: Texts of a language are taken to differ by so many bits a character at least.
 LEAST_SPREAD = 0.25
+#: Characters that are looked up at a time; longer texts go in parts of so many.
+PART = 1 << 16
 START = 2
 UND = "und"
 
@@ -124,11 +126,11 @@ class Model:
 
         for i, t in enumerate(texts):
             # a long text goes in parts; only the history at a cut is lost
-            for at in range(0, len(t), CHUNK // 2):
-                c = characters(t[at : at + CHUNK // 2])
+            for at in range(0, len(t), PART):
+                c = characters(t[at : at + PART])
                 run.append((i, c))
                 size += len(c)
-                if size > CHUNK // 2:
+                if size > PART:
                     flush()
         flush()
         return -sums / np.maximum(n, 1)[:, None], n
@@ -245,8 +247,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, score, out = shared.value.predict(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], [*names, "lang_pred", "score", "rejected"])
+            for part in (b.slice(i, 512) for i in range(0, len(b), 512)):
+                lang, score, out = shared.value.predict(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], [*names, "lang_pred", "score", "rejected"])
 
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
