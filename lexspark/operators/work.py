@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
+from lexspark.operators.ranking import numbered
 
 
 def need(totals: DataFrame, counts: DataFrame, alpha: float = 5.0) -> DataFrame:
@@ -71,5 +72,4 @@ def critic_groups(labels: DataFrame, senses: DataFrame, least: int = 5, most: in
 
 def chunks(rows: DataFrame, order: list[str], size: int = 50_000) -> DataFrame:
     """Rows with custom_id, counted from 0 in order, and their chunk."""
-    span = rows.withColumn("custom_id", F.row_number().over(Window.orderBy(*order)) - 1)
-    return span.withColumn("chunk", F.floor(F.col("custom_id") / size))
+    return numbered(rows, order, "custom_id").withColumn("chunk", F.floor(F.col("custom_id") / size))

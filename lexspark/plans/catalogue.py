@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
-from lexspark.operators import dedup, index, mwe, state, stats, work
+from lexspark.operators import dedup, index, mwe, ranking, state, stats, work
 from lexspark.plans import derived as T
 from lexspark.plans.derived import BASE
 
@@ -564,9 +564,9 @@ def sense_order(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT form, ceil(row_number() OVER (ORDER BY total DESC, form) / count(*) OVER ()::DOUBLE * 100)::INT AS percentile FROM v")
 def freq_percentile(s: SparkSession, d: str) -> DataFrame:
-    # ranks over the vocabulary, one row a form
-    r = F.row_number().over(Window.orderBy(F.desc("total"), "form"))
-    return T.vocab(s, d).select("form", F.ceil(r / F.count("*").over(Window.partitionBy()).cast("double") * 100).cast("int").alias("percentile"))
+    r = ranking.numbered(T.vocab(s, d).select("form", "total"), [F.desc("total"), "form"], "r")
+    r = r.join(F.broadcast(r.agg(F.count("*").alias("n"))), F.lit(True))  # one row
+    return r.select("form", F.ceil((F.col("r") + 1) / F.col("n").cast("double") * 100).cast("int").alias("percentile"))
 
 
 @query()
