@@ -49,6 +49,22 @@ def allocate(rows: DataFrame, budget: int) -> DataFrame:
     return y.select("form", n.cast("long").alias("n")).where("n > 0")
 
 
+def sense_weights(senses: DataFrame, counts: DataFrame) -> DataFrame:
+    """(form, weight): the sum of 1 / sqrt(n + 1) over the senses that a form's menu draws on.
+
+    These are the senses of all its case variants, and for each variant whose senses name exactly
+    one base form those of the base. counts(form, sense_key, n) has the good labels of each sense.
+    Sums by form are made once and added up by lower-cased form, so variants are not paired.
+    """
+    n = counts.select("form", F.col("sense_key").alias("id"), "n")
+    x = senses.select("form", "id", "morph_base").join(n, ["form", "id"], "left")
+    base = F.when(F.min("morph_base") == F.max("morph_base"), F.min("morph_base"))
+    own = x.groupBy("form").agg(F.sum(1 / F.sqrt(F.coalesce("n", F.lit(0)) + 1)).alias("own"), base.alias("base"))
+    of_base = own.select(F.col("form").alias("base"), F.col("own").alias("more"))
+    full = own.join(of_base, "base", "left").select("form", F.lower("form").alias("key"), (F.col("own") + F.coalesce("more", F.lit(0.0))).alias("w"))
+    return full.select("form", "key").join(full.groupBy("key").agg(F.sum("w").alias("weight")), "key").select("form", "weight")
+
+
 def stale_split(labels: DataFrame, latest: DataFrame) -> DataFrame:
     """labels with stale: older than the form's newest sense."""
     return labels.join(latest, "form", "left").withColumn("stale", F.coalesce(F.col("updated_at") < F.col("latest"), F.lit(False))).drop("latest")

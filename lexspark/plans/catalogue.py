@@ -258,11 +258,13 @@ def uniform_refs(s: SparkSession, d: str) -> DataFrame:
     return work.uniform_sample(T.labels(s, d).select("form", "doc_id", "byte_offset"), ["form"], 3, "refs", ["doc_id", "byte_offset"]).drop("rank")
 
 
-@query(", n AS (SELECT sense_key, count_if(rating = 2) AS n FROM l GROUP BY 1) SELECT s.form, round(sum(1 / sqrt(coalesce(n, 0) + 1)), 6) AS weight FROM s LEFT JOIN n ON n.sense_key = s.id GROUP BY s.form")
+@query(""", n AS (SELECT form, sense_key, count_if(rating = 2) AS n FROM l GROUP BY 1, 2), x AS (SELECT s.form, s.id, morph_base, 1 / sqrt(coalesce(n, 0) + 1) AS w FROM s LEFT JOIN n ON n.form = s.form AND n.sense_key = s.id),
+b AS (SELECT form, any_value(morph_base) AS base FROM x GROUP BY form HAVING count(DISTINCT morph_base) = 1),
+m AS (SELECT form, w FROM x UNION ALL SELECT b.form, w FROM b JOIN x ON x.form = b.base)
+SELECT v.form, round(sum(w), 6) AS weight FROM (SELECT DISTINCT form FROM s) v JOIN m ON lower(m.form) = lower(v.form) GROUP BY v.form""")
 def sense_weights(s: SparkSession, d: str) -> DataFrame:
-    n = T.labels(s, d).groupBy("sense_key").agg(F.count_if(F.col("rating") == 2).alias("n"))
-    x = T.senses(s, d).join(n, F.col("id") == F.col("sense_key"), "left")
-    return x.groupBy("form").agg(F.round(F.sum(1 / F.sqrt(F.coalesce("n", F.lit(0)) + 1)), 6).alias("weight"))
+    n = T.labels(s, d).groupBy("form", "sense_key").agg(F.count_if(F.col("rating") == 2).alias("n"))
+    return work.sense_weights(T.senses(s, d), n).select("form", _r("weight"))
 
 
 @query(""", a AS (SELECT form, sqrt(total) AS weight, total - 40 AS avail FROM v WHERE total > 40), r AS (SELECT *, avail / weight AS q FROM a),

@@ -73,6 +73,13 @@ def test_allocation(spark):
     assert {r.form: r.n for r in work.allocate(spark.createDataFrame(rows, "form string, weight double, avail long"), 10_000).collect()} == {"a": 5, "b": 100, "c": 100}
 
 
+def test_sense_weights(spark):
+    senses = [("cat#1", "cat", None), ("Cat#1", "Cat", None), ("cats#1", "cats", "cat"), ("cats#2", "cats", None), ("x#1", "x", "cat"), ("x#2", "x", "cats"), ("y#1", "y", "none")]
+    n = spark.createDataFrame([("cat", "cat#1", 3), ("x", "cat#1", 99)], "form string, sense_key string, n long")
+    got = {r.form: r.weight for r in work.sense_weights(spark.createDataFrame(senses, "id string, form string, morph_base string"), n).collect()}
+    assert got == {"cat": 1.5, "Cat": 1.5, "cats": 2.5, "x": 2.0, "y": 1.0}  # two bases, and a base without senses, add nothing
+
+
 def test_state(spark):
     senses = spark.createDataFrame([("x#1", "x", 1, "Old", "strong"), ("x#2", "x", 2, "two", "weak")], "id string, form string, position int, definition string, model string")
     change = spark.createDataFrame([("x#1", "new", "weak"), ("x#2", "new", "weak")], "id string, definition string, by string")
