@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +62,34 @@ def context(text: Column, at: Column, form: Column, around: int) -> Column:
     return F.substring(text, start + 1, at + F.char_length(form) + around - start)
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def contexts(text: Column, around: int) -> Column:
+    """(piece, left, form, right) of every token, with up to around characters of the text on each side.
+
+    The sides are joined from the pieces near by, as every piece has a character at least; so the
+    work on a text grows with its length alone.
+    """
+    n = F.lit(around)
+
+    def of(ps: Column) -> Column:
+        tail = F.substring(text, F.aggregate(ps, F.lit(1), lambda a, p: a + F.char_length(p)), n)
+        near = F.struct(F.transform(ps, lambda p: F.right(p, n)).alias("ends"), F.concat(F.transform(ps, lambda p: F.left(p, n)), F.array(tail)).alias("starts"))
+
+        def one(x: Column, p: Column, i: Column) -> Column:
+            before = F.array_join(F.slice(x.ends, F.greatest(i - n, F.lit(0)) + 1, F.least(i, n)), "")
+            left = F.right(F.concat(before, F.regexp_extract(p, r"^(\s*)", 1)), n)
+            right = F.left(F.array_join(F.slice(x.starts, i + 2, n), ""), n)
+            return F.struct(p.alias("piece"), left.alias("left"), strip_left(p).alias("form"), right.alias("right"))
+
+        return _let(near, lambda x: F.transform(ps, lambda p, i: one(x, p, i)))
+
+    return _let(pieces(text), of)
+
+
 def escape_html(x: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         x = F.replace(x, F.lit(a), F.lit(b))

@@ -15,6 +15,13 @@ def tokenize(docs: DataFrame) -> DataFrame:
     return t.select("doc_id", "pos", "form", (F.sum(F.octet_length("piece")).over(w) - F.octet_length("form")).alias("byte_offset"))
 
 
+def in_context(docs: DataFrame, around: int) -> DataFrame:
+    """(doc_id, form, byte_offset, left, right): all tokens with the text around them."""
+    t = docs.select("doc_id", F.posexplode(X.contexts(F.col("text"), around)).alias("pos", "x")).select("doc_id", "pos", "x.*")
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    return t.select("doc_id", "form", (F.sum(F.octet_length("piece")).over(w) - F.octet_length("form")).alias("byte_offset"), "left", "right")
+
+
 def write_index(tokens: DataFrame, path: str, mode: str = "append") -> None:
     """The index by prefix of the form, sorted within files; append merges, overwrite replaces."""
     t = tokens.select("form", "doc_id", "byte_offset", X.prefix_of(F.col("form")).alias("prefix"), F.lower("form").alias("form_lower"))

@@ -86,24 +86,17 @@ def occurrence_lookup_ci(s: SparkSession, d: str) -> DataFrame:
     return index.occurrences(t, "The").select("form", "doc_id", "byte_offset")
 
 
-def _contexts(s: SparkSession, d: str) -> DataFrame:
-    t = T.tokens(s, d).where("pos % 97 = 0").join(T.docs(s, d).select("doc_id", "text"), "doc_id")
-    return t.withColumn("at", X.char_offset(F.col("text"), F.col("byte_offset")))
-
-
 @query("SELECT form, doc_id, byte_offset, true AS ok FROM t WHERE pos % 97 = 0")
 def context_window(s: SparkSession, d: str) -> DataFrame:
-    x = _contexts(s, d)
-    ctx = X.context(F.col("text"), F.col("at"), F.col("form"), 30)
-    ok = F.contains(ctx, F.col("form")) & (F.substring("text", F.col("at") + 1, F.char_length("form")) == F.col("form"))
-    return x.select("form", "doc_id", "byte_offset", ok.alias("ok"))
+    return index.in_context(T.docs(s, d), 30).select("form", "doc_id", "byte_offset", F.concat("left", "form", "right").alias("context"))
 
 
 @query(""", p AS (SELECT doc_id, pos, form, byte_offset, (sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos) - length(form))::BIGINT AS a FROM (SELECT t1.doc_id, t1.pos, piece, form, byte_offset FROM t1 JOIN t ON t.doc_id = t1.doc_id AND t.pos = t1.pos))
 SELECT form, doc_id, byte_offset, replace(replace(replace(replace(replace(substr(text, greatest(a - 30, 0) + 1, a - greatest(a - 30, 0)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '<strong>' || replace(replace(replace(replace(replace(form, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</strong>' || replace(replace(replace(replace(replace(substr(text, a + length(form) + 1, 30), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS context
 FROM p JOIN documents USING (doc_id) WHERE pos % 97 = 0""")
 def context_bold(s: SparkSession, d: str) -> DataFrame:
-    return _contexts(s, d).select("form", "doc_id", "byte_offset", X.marked_context(F.col("text"), F.col("at"), F.col("form"), 30, "<strong>", "</strong>", escape=True).alias("context"))
+    own = [X.escape_html(F.col(c)) for c in ("left", "form", "right")]
+    return index.in_context(T.docs(s, d), 30).select("form", "doc_id", "byte_offset", F.concat(own[0], F.lit("<strong>"), own[1], F.lit("</strong>"), own[2]).alias("context"))
 
 
 _GRAMS = r""" w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
