@@ -232,7 +232,7 @@ _NEED = ", c AS (SELECT form, count(*) AS n_labeled, count_if(rating >= 1) AS n_
 
 
 def _need(s: SparkSession, d: str) -> DataFrame:
-    c = T.reserved(s, d).where("doc_id % 4 = 0").groupBy("form").agg(F.count("*").alias("n_labeled"), F.count_if(F.col("rating") >= 1).alias("n_covered"))
+    c = T.reserved(s, d).groupBy("form").agg(F.count("*").alias("n_labeled"), F.count_if(F.col("rating") >= 1).alias("n_covered"))
     return work.need(T.vocab(s, d), c)
 
 
@@ -297,7 +297,7 @@ def critic_groups(s: SparkSession, d: str) -> DataFrame:
 
 @query(", r AS (SELECT form, doc_id, byte_offset, row_number() OVER (ORDER BY form, doc_id, byte_offset) - 1 AS custom_id FROM l WHERE rating = 2 AND doc_id % 10 = 0) SELECT form, doc_id, byte_offset, custom_id::BIGINT AS custom_id, (custom_id // 500)::BIGINT AS chunk FROM r")
 def batch_chunks(s: SparkSession, d: str) -> DataFrame:
-    x = T.labels(s, d).where("rating = 2 and doc_id % 10 = 0").select("form", "doc_id", "byte_offset")
+    x = T.labels(s, d).where("rating = 2").select("form", "doc_id", "byte_offset")
     return work.chunks(x, ["form", "doc_id", "byte_offset"], 500).withColumn("custom_id", F.col("custom_id").cast("long"))
 
 
@@ -311,7 +311,7 @@ def batch_range_match(s: SparkSession, d: str) -> DataFrame:
 
 @query(", j AS (SELECT doc_id, pos, form, rating, CASE WHEN pos % 7 = 0 THEN 'x' ELSE '{\"response\":{\"body\":{\"rating\":\"' || rating || '\"}}}' END AS body FROM l WHERE doc_id % 20 = 0) SELECT CASE WHEN pos % 7 = 0 THEN 'malformed' WHEN pos % 5 = 0 THEN 'unknown id' ELSE 'ok' END AS outcome, count(*) AS n FROM j GROUP BY 1")
 def batch_ingest_outcomes(s: SparkSession, d: str) -> DataFrame:
-    x = T.labels(s, d).where("doc_id % 20 = 0")
+    x = T.labels(s, d)
     good = F.concat(F.lit('{"response":{"body":{"rating":"'), F.col("rating"), F.lit('"}}}'))
     x = x.withColumn("body", F.when(F.col("pos") % 7 == 0, "x").otherwise(good))
     meta = x.where("pos % 5 <> 0").select("form", "doc_id", "byte_offset", F.lit(True).alias("known"))
@@ -519,7 +519,7 @@ def qc_instances(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT form, doc_id, byte_offset FROM l WHERE doc_id % 2 = 0 AND byte_offset > 0 AND pos % 50 = 1")
 def stale_labels(s: SparkSession, d: str) -> DataFrame:
-    x = T.labels(s, d).where("doc_id % 2 = 0")
+    x = T.labels(s, d)
     # every 50th label is moved off its form by changing the form it claims
     x = x.withColumn("claim", F.when((F.col("pos") % 50 == 1) & (F.col("byte_offset") > 0), F.concat(F.lit("\u0001"), F.col("form"))).otherwise(F.col("form")))
     x = x.join(T.docs(s, d).select("doc_id", F.encode("text", "UTF-8").alias("raw")), "doc_id")
@@ -538,8 +538,8 @@ def year_buckets(s: SparkSession, d: str) -> DataFrame:
 
 @query(_YEARS + ", c AS (SELECT sense_key, year, count_if(rating >= 1) AS n, count(*) AS total FROM y WHERE form = 'the' GROUP BY 1, 2), sp AS (SELECT min(year) AS lo, max(year) AS hi FROM c), g AS (SELECT i, lo - 2.5::DOUBLE + i * (hi - lo + 5.0::DOUBLE) / 299 AS x FROM sp, (SELECT unnest(range(0, 300)) AS i)) SELECT sense_key, round(x, 6) AS x, round(sum(exp(-0.5::DOUBLE * ((x - year) / 2.5::DOUBLE) ** 2) * n) / sum(exp(-0.5::DOUBLE * ((x - year) / 2.5::DOUBLE) ** 2) * total), 6) AS y FROM c, g GROUP BY sense_key, x HAVING sum(exp(-0.5::DOUBLE * ((x - year) / 2.5::DOUBLE) ** 2) * total) > 1e-10")
 def year_kde(s: SparkSession, d: str) -> DataFrame:
-    x = T.labels(s, d).where("form = 'the'").join(T.dated(s, d).where("year is not null").select("doc_id", "year"), "doc_id")
-    c = x.groupBy("sense_key", "year").agg(F.count_if(F.col("rating") >= 1).alias("n"), F.count("*").alias("total"))
+    x = T.labels(s, d).join(T.dated(s, d).where("year is not null").select("doc_id", "year"), "doc_id")
+    c = x.groupBy("form", "sense_key", "year").agg(F.count_if(F.col("rating") >= 1).alias("n"), F.count("*").alias("total"))
     return stats.year_kde(c).select("sense_key", _r("x"), _r("y"))
 
 
