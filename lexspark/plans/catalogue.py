@@ -580,7 +580,7 @@ j AS (SELECT form, s1, s2, n1, n2, sqrt(greatest(sum(p * log2(2 * p / (p + q)) +
 
 
 def _src(s: SparkSession, d: str) -> DataFrame:
-    x = T.reserved(s, d).join(T.docs(s, d).where(F.col("source").isin("src1", "src2", "src3", "src4")).select("doc_id", "source"), "doc_id")
+    x = T.reserved(s, d).join(T.docs(s, d).where("source is not null").select("doc_id", "source"), "doc_id")
     return x.groupBy("form", "source", "sense_key").agg(F.count("*").alias("n"))
 
 
@@ -591,10 +591,7 @@ def source_pair_jsd(s: SparkSession, d: str) -> DataFrame:
 
 @query(_JSD + ", k AS (SELECT form, max(t) / sum(t)::DOUBLE AS skew FROM tt WHERE t >= 5 GROUP BY form HAVING count(*) >= 2) SELECT form, round(avg(jsd), 4) AS mean_jsd, round(any_value(skew), 6) AS skew FROM j JOIN k USING (form) GROUP BY form")
 def form_divergence(s: SparkSession, d: str) -> DataFrame:
-    c = _src(s, d)
-    skew = c.groupBy("form", "source").agg(F.sum("n").alias("t")).where("t >= 5").groupBy("form").agg((F.max("t") / F.sum("t")).alias("skew"), F.count("*").alias("k")).where("k >= 2")
-    m = stats.jsd(c).groupBy("form").agg(F.avg("jsd").alias("m"))
-    return m.join(skew, "form").select("form", F.round("m", 4).alias("mean_jsd"), _r("skew"))
+    return stats.form_divergence(_src(s, d)).select("form", F.round("mean_jsd", 4).alias("mean_jsd"), _r("skew"))
 
 
 def _points(s: SparkSession, d: str) -> DataFrame:
