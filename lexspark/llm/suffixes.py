@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.llm._common import CHUNK, R1, R2, U64, chunked, mix, powers, stored
@@ -20,6 +20,8 @@ FLUSH = 1 << 20
 #: Windows sorted at once.
 WINDOWS = 200_000
 LEAD = 16
+#: Stands for a null id.
+LEAST = -(2**63)
 
 _I1, _I2 = (U64(pow(int(r), -1, 2**64)) for r in (R1, R2))
 _ANCHOR = [("k", U64), ("g", U64), ("doc", np.int64), ("s", np.int32), ("r", np.uint8), ("n", np.uint8)]
@@ -120,6 +122,16 @@ def split_repeats(x: np.ndarray, width: int) -> tuple[np.ndarray, tuple[np.ndarr
     return x[~again], merged(gone["doc"], s, s + gone["n"] - 1 + width)
 
 
+def ranked(doc: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each (doc, tie)'s place among them from 0, equal ones sharing it, and doc and tie by place."""
+    o = np.lexsort((tie, doc))
+    d, t = doc[o], tie[o]
+    new = np.concatenate(([True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])))[: len(o)]
+    out = np.empty(len(o), np.int64)
+    out[o] = np.cumsum(new) - 1
+    return out, d[new], t[new]
+
+
 def multikey_sort(words: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorts strings (rows of big-endian words) within groups, word by word.
 
@@ -188,28 +200,35 @@ def window_repeats(k: np.ndarray, doc: np.ndarray, s: np.ndarray, r: np.ndarray,
 
 
 def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
-    """(doc, s, e): bytes of rows(doc long, t binary) covered by width-byte strings seen earlier."""
+    """(doc, tie, s, e): bytes of rows(doc long, tie long, t binary) covered by width-byte strings seen earlier."""
     buckets = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        ids, ties = np.empty(0, np.int64), np.empty(0, np.int64)  # of the rows that held counts
 
         def flush() -> Iterator[pa.RecordBatch]:
-            x, (doc, s, e) = split_repeats(np.concatenate(held), width)
+            x = np.concatenate(held)
+            x["doc"], by_doc, by_tie = ranked(ids[x["doc"]], ties[x["doc"]])
+            x, (doc, s, e) = split_repeats(x, width)
             held.clear()
             to = (x["k"] % U64(buckets)).astype(np.int32)
             o = np.argsort(to, kind="stable")
             x, to = x[o], to[o]
             cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(x) else []
-            blobs = [b"".join(x[f][a:b].tobytes() for f, _ in _ANCHOR) for a, b in zip(cut, [*cut[1:], len(x)], strict=True)]
+            own = [by_doc[x["doc"]] if f == "doc" else x[f] for f, _ in _ANCHOR] + [by_tie[x["doc"]]]
+            blobs = [b"".join(c[a:b].tobytes() for c in own) for a, b in zip(cut, [*cut[1:], len(x)], strict=True)]
             none = lambda t, m: pa.nulls(m, t)
             m, z = len(blobs), len(doc)
-            yield pa.RecordBatch.from_arrays([pa.array([to[i] for i in cut], pa.int32()), pa.array(blobs, pa.binary()), none(pa.int64(), m), none(pa.int64(), m), none(pa.int64(), m)], names)
-            yield pa.RecordBatch.from_arrays([pa.array((doc % buckets).astype(np.int32)), none(pa.binary(), z), pa.array(doc), pa.array(s, pa.int64()), pa.array(e, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([to[i] for i in cut], pa.int32()), pa.array(blobs, pa.binary()), *[none(pa.int64(), m)] * 4], names)
+            doc, tie = by_doc[doc], by_tie[doc]
+            yield pa.RecordBatch.from_arrays([pa.array(((doc ^ tie) % buckets).astype(np.int32)), none(pa.binary(), z), pa.array(doc), pa.array(tie), pa.array(s, pa.int64()), pa.array(e, pa.int64())], names)
 
-        names = ["bucket", "blob", "doc", "s", "e"]
+        names = ["bucket", "blob", "doc", "tie", "s", "e"]
         for b in batches:
-            for x in doc_anchors(b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()], width):
+            first = len(ids)
+            ids, ties = np.concatenate((ids, b.column(0).to_numpy())), np.concatenate((ties, b.column(1).to_numpy()))
+            for x in doc_anchors(list(range(first, len(ids))), [t or b"" for t in b.column(2).to_pylist()], width):
                 held.append(x)
                 if sum(map(len, held)) > FLUSH:
                     yield from flush()
@@ -217,46 +236,51 @@ def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
             yield from flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "s", "e", "r", "n", "k"]
-        held = []
+        names = ["doc", "tie", "s", "e", "r", "n", "k"]
+        held, ties = [], []
         for b in batches:
             known = b.filter(pa.compute.is_valid(b.column(2)))
             if len(known):
-                yield pa.RecordBatch.from_arrays([known.column(2), known.column(3), known.column(4), pa.nulls(len(known), pa.int32()), pa.nulls(len(known), pa.int32()), pa.nulls(len(known), pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([known.column(2), known.column(3), known.column(4), known.column(5), pa.nulls(len(known), pa.int32()), pa.nulls(len(known), pa.int32()), pa.nulls(len(known), pa.int64())], names)
             for blob in b.column(1).drop_null():
                 raw = blob.as_buffer()
-                m = len(raw) // np.dtype(_ANCHOR).itemsize
+                m = len(raw) // (np.dtype(_ANCHOR).itemsize + 8)
                 x, at = np.empty(m, _ANCHOR), 0
                 for f, t in _ANCHOR:
                     x[f] = np.frombuffer(raw, t, m, at)
                     at += m * np.dtype(t).itemsize
                 held.append(x)
+                ties.append(np.frombuffer(raw, np.int64, m, at))
         if not held:
             return
-        x, (doc, s, e) = split_repeats(np.concatenate(held), width)
+        x = np.concatenate(held)
+        x["doc"], by_doc, by_tie = ranked(x["doc"], np.concatenate(ties))
+        x, (doc, s, e) = split_repeats(x, width)
         held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.int64())], names)
+        ties.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(by_doc[doc]), pa.array(by_tie[doc]), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.int64())], names)
         same = x["k"][1:] == x["k"][:-1]
         x = x[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(x) > 1 else x[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(x["doc"]), pa.array(x["s"].astype(np.int64)), pa.nulls(len(x), pa.int64()), pa.array(x["r"].astype(np.int32)), pa.array(x["n"].astype(np.int32)), pa.array(x["k"].view(np.int64))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(by_doc[x["doc"]]), pa.array(by_tie[x["doc"]]), pa.array(x["s"].astype(np.int64)), pa.nulls(len(x), pa.int64()), pa.array(x["r"].astype(np.int32)), pa.array(x["n"].astype(np.int32)), pa.array(x["k"].view(np.int64))], names)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.mapInArrow(scan, "bucket int, blob binary, doc long, s long, e long").repartition(parts, "bucket")
-    found = stored(dealt.mapInArrow(gather, "doc long, s long, e long, r int, n int, k long"), "anchors")
+    dealt = rows.mapInArrow(scan, "bucket int, blob binary, doc long, tie long, s long, e long").repartition(parts, "bucket")
+    found = stored(dealt.mapInArrow(gather, "doc long, tie long, s long, e long, r int, n int, k long"), "anchors")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lead, seg, doc, s, r, n, k = [], [], [], [], [], [], []
-            for d, t, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            lead, seg, doc, tie, s, r, n, k = [], [], [], [], [], [], [], []
+            for d, h, t, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for p in places:
                     lead.append(t[p["s"] + p["r"] : p["s"] + p["r"] + LEAD])
                     seg.append(t[p["s"] : p["s"] + p["n"] - 1 + width])
                     doc.append(d)
+                    tie.append(h)
                     s.append(p["s"])
                     r.append(p["r"])
                     n.append(p["n"])
                     k.append(p["k"])
-            yield pa.RecordBatch.from_arrays([pa.array(lead, pa.binary()), pa.array(seg, pa.binary()), pa.array(doc, pa.int64()), pa.array(s, pa.int64()), pa.array(r, pa.int32()), pa.array(n, pa.int32()), pa.array(k, pa.int64())], ["lead", "seg", "doc", "s", "r", "n", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array(lead, pa.binary()), pa.array(seg, pa.binary()), pa.array(doc, pa.int64()), pa.array(tie, pa.int64()), pa.array(s, pa.int64()), pa.array(r, pa.int32()), pa.array(n, pa.int32()), pa.array(k, pa.int64())], ["lead", "seg", "doc", "tie", "s", "r", "n", "k"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if len(b)]
@@ -264,13 +288,14 @@ def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
             return
         t = pa.Table.from_batches(got)
         col = lambda c: t.column(c).to_numpy()
-        doc, s, e = window_repeats(col("k"), col("doc"), col("s"), col("r"), col("n"), t.column("seg").to_pylist(), width)
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["doc", "s", "e"])
+        own, by_doc, by_tie = ranked(col("doc"), col("tie"))
+        doc, s, e = window_repeats(col("k"), own, col("s"), col("r"), col("n"), t.column("seg").to_pylist(), width)
+        yield pa.RecordBatch.from_arrays([pa.array(by_doc[doc]), pa.array(by_tie[doc]), pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["doc", "tie", "s", "e"])
 
-    open_ = found.where("k is not null").groupBy("doc").agg(F.collect_list(F.struct("s", "r", "n", "k")).alias("places"))
-    suffixes = rows.join(open_, "doc").mapInArrow(cut, "lead binary, seg binary, doc long, s long, r int, n int, k long")
-    late = suffixes.repartitionByRange(parts, "lead").mapInArrow(compare, "doc long, s long, e long")
-    return found.where("k is null").select("doc", "s", "e").unionByName(late)
+    open_ = found.where("k is not null").groupBy("doc", "tie").agg(F.collect_list(F.struct("s", "r", "n", "k")).alias("places"))
+    suffixes = rows.join(open_, ["doc", "tie"]).select("doc", "tie", "t", "places").mapInArrow(cut, "lead binary, seg binary, doc long, tie long, s long, r int, n int, k long")
+    late = suffixes.repartitionByRange(parts, "lead").mapInArrow(compare, "doc long, tie long, s long, e long")
+    return found.where("k is null").select("doc", "tie", "s", "e").unionByName(late)
 
 
 def cut_out(text: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
@@ -284,6 +309,12 @@ def cut_out(text: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
     return b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)), len(s)
 
 
+def _key(id_col: str, text_col: str) -> tuple[Column, Column, Column]:
+    """doc, tie and t: the id, a null one the smallest, the checksum of the text, and its bytes."""
+    t = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("doc"), F.xxhash64(t).alias("tie"), t.alias("t")
+
+
 def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: (doc_id, n_bytes, n_removed, n_spans, kept binary, kept_sha256).
 
@@ -298,25 +329,25 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     by a multikey sort in each bucket and compared byte by byte. Equal leading bytes meet in one
     bucket, so nothing is to compare across boundaries.
 
-    Null and empty texts keep nothing and lose nothing. Ids are meant to be unique: rows of one
-    id count as one document, with the spans found in any of them. A null id is the smallest.
+    Null and empty texts keep nothing and lose nothing. A null id is the smallest. Rows of one id,
+    or of none, are documents of their own in the order of their texts' checksums; only those of
+    equal texts too count as one document, and keep what neither repeats from another.
     Other columns are not read; an empty table gives an empty result.
     """
-    least = -(2**63)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("t"))
-    spans = repeated_spans(rows, width).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    rows = docs.select(*_key(id_col, text_col))
+    spans = repeated_spans(rows, width).groupBy("doc", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for d, t, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 kept, n = cut_out(t, spans)
-                out.append((None if d == least else d, len(t), len(t) - len(kept), n, kept, hashlib.sha256(kept).hexdigest()))
+                out.append((None if d == LEAST else d, len(t), len(t) - len(kept), n, kept, hashlib.sha256(kept).hexdigest()))
             cols = zip(*out, strict=True) if out else [[]] * 6
             types = [pa.int64()] * 4 + [pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return rows.join(spans, "doc", "left").select("doc", "t", "spans").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return rows.join(spans, ["doc", "tie"], "left").select("doc", "t", "spans").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
@@ -326,11 +357,10 @@ def without_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", t
     is left is empty; a null text stays null.
     """
     names = docs.columns
-    least = -(2**63)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("t"))
-    spans = repeated_spans(rows, width).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    own = docs.select(F.struct(*names).alias("d"), F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("doc"))
-    joined = own.join(spans, "doc", "left").select("d.*", F.col("spans").alias("_spans"))
+    rows = docs.select(*_key(id_col, text_col))
+    spans = repeated_spans(rows, width).groupBy("doc", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    own = docs.select(F.struct(*names).alias("d"), *_key(id_col, text_col)[:2])
+    joined = own.join(spans, ["doc", "tie"], "left").select("d.*", F.col("spans").alias("_spans"))
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
