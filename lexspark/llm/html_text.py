@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as htmllib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -138,37 +139,42 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in order, one a line; empty if there is none.
 
-    Where the page marks an article, that is the zone from its first to its last line. Otherwise
-    the lengths of text outside links are summed over sliding windows of WINDOW lines: a zone
+    The lengths of text outside links are summed over sliding windows of WINDOW lines: a zone
     begins where a window surges over SURGE characters, at the first line that is not mostly
     links, and dives where a window has less than DIVE. All zones' lines are kept, without lines
-    that are mostly links.
+    that are mostly links. What the page marks as an article is kept whole besides, and ends the
+    zones around it; no window reaches over its edge.
     """
     if not page:
         return ""
-    lines = lines_of(page)
-    inside = [t for t, _, article in lines if article and t]
-    if inside:
-        return "\n".join(inside)
-    lines = [x for x in lines if x[0]]
+    lines = [x for x in lines_of(page) if x[0]]
     size = [len(t) - 2 * k if 2 * k < len(t) else 0 for t, k, _ in lines]
-    kept = [False] * len(lines)
+    kept = []
+    for article, run in itertools.groupby(range(len(lines)), lambda i: lines[i][2]):
+        own = [size[i] for i in run]
+        kept += [True] * len(own) if article else _zones(own)
+    if not any(kept):  # a short page: what is not links
+        kept = [s > 0 for s in size]
+    return "\n".join(t for (t, _, _), k in zip(lines, kept, strict=True) if k)
+
+
+def _zones(size: list[int]) -> list[bool]:
+    """Which of the lines lie in a zone, by the size of each."""
+    kept = [False] * len(size)
     i = 0
-    while i < len(lines):
+    while i < len(size):
         if size[i] and sum(size[i : i + WINDOW]) >= SURGE:
             j = i
             while j > max(0, i - WINDOW) and size[j - 1] and not kept[j - 1]:  # a heading before the surge
                 j -= 1
                 kept[j] = True
             j = i
-            while j < len(lines) and sum(size[j : j + WINDOW]) >= DIVE:
+            while j < len(size) and sum(size[j : j + WINDOW]) >= DIVE:
                 kept[j] = size[j] > 0
                 j += 1
             i = j
         i += 1
-    if not any(kept):  # a short page: what is not links
-        kept = [s > 0 for s in size]
-    return "\n".join(t for (t, _, _), k in zip(lines, kept, strict=True) if k)
+    return kept
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
