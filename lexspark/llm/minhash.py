@@ -14,15 +14,19 @@ from lexspark.llm._graph import components
 
 #: Coordinates of a signature: the least of as many hashes over a document's shingles.
 COORDINATES = 64
-#: Independent trees. A pair of similarity 0.8 that shares small nodes after d branchings is
-#: missed by all trees with probability (1 - 0.8**d)**TREES: 1e-9 for d = 2, 7e-6 for d = 4.
+#: Trees, which draw on the same coordinates. A pair of similarity s agrees in a of these with a
+#: binomial chance and is missed by all trees with (1 - (a / COORDINATES)**d)**TREES after d
+#: branchings: at s = 0.8 that is 3e-8 for d = 2, 7e-6 for d = 3, 2e-4 for d = 4, 1.5e-3 for d = 5.
 TREES = 24
 #: Nodes of up to so many documents are compared exhaustively; larger ones branch.
 SMALL = 64
-#: Shingles of the documents that share a block: 256 kB.
-BLOCK = 1 << 15
-#: Branchings before what is left of a large node is taken as one dense group.
-DEPTH = 8
+#: Shingles of the documents that share a block: 8 MB.
+BLOCK = 1 << 20
+#: Guests of a block that one task compares.
+GUESTS = 1 << 15
+#: Branchings after the first, three in all, before what is left of a large node is compared whole:
+#: so deep, the trees still find all but 7e-6 of the pairs of similarity 0.8.
+DEPTH = 2
 #: Pairs whose signatures agree in a smaller share are not confirmed: 5 deviations below 0.8.
 LEAST_SEEN = 0.55
 #: Signatures that agree in this share are most likely of linked sets.
@@ -159,48 +163,95 @@ def _calls(members: DataFrame, percent: int) -> DataFrame:
     return guests.unionByName(found.where("own is not null").select("rep", F.col("own").alias("block"), F.lit(False).alias("guest")))
 
 
+class _Hosts:
+    """The sets of a block's hosts, made ready to count what a guest shares with each.
+
+    Shingles that many hosts hold become columns of a matrix, the others lists of hosts. The
+    matrix has at most 8 x BLOCK cells, whatever the block holds.
+    """
+
+    def __init__(self, hosts: list[tuple[int, int, np.ndarray]]) -> None:
+        self.ids, self.of, self.sizes = (np.array(x) for x in ([h[0] for h in hosts], [h[1] for h in hosts], [len(h[2]) for h in hosts]))
+        every = np.concatenate([h[2] for h in hosts])
+        order = np.argsort(every, kind="stable")
+        self.owner = np.repeat(np.arange(len(hosts)), self.sizes)[order]
+        self.keys, first = np.unique(every[order], return_index=True)
+        self.first = np.append(first, len(every))
+        common = np.flatnonzero(np.diff(self.first) > max(64, len(hosts) // 8))
+        self.column = np.full(len(self.keys), -1)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((len(hosts), len(common)), np.float32)
+        for c, k in enumerate(common):
+            self.dense[self.owner[self.first[k] : self.first[k + 1]], c] = 1
+
+    def shared(self, guests: list[np.ndarray]) -> np.ndarray:
+        """The number of shingles that each guest shares with each host."""
+        rows = np.zeros((len(guests), self.dense.shape[1]), np.float32)
+        out = np.zeros((len(guests), len(self.ids)), np.int64)
+        for i, u in enumerate(guests):
+            pos = np.minimum(np.searchsorted(self.keys, u), len(self.keys) - 1)
+            pos = pos[self.keys[pos] == u]
+            col = self.column[pos]
+            rows[i, col[col >= 0]] = 1
+            pos = pos[col < 0]
+            length = self.first[pos + 1] - self.first[pos]
+            hit = np.repeat(self.first[pos] - np.cumsum(length) + length, length) + np.arange(length.sum())
+            out[i] = np.bincount(self.owner[hit], minlength=len(self.ids))
+        return out + np.rint(rows @ self.dense.T).astype(np.int64)
+
+
+def _dealt(calls: DataFrame) -> DataFrame:
+    """calls(rep, block, guest) with a part: a block's guests in parts of about GUESTS, its hosts in every part."""
+    parts = calls.where("guest").groupBy("block").agg(F.ceil(F.count("*") / GUESTS).alias("parts"))
+    at = calls.join(stored(parts, "parts"), "block")
+    spread = F.when(F.col("guest"), F.array(F.pmod(F.xxhash64("rep"), F.col("parts")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    return at.select("rep", "block", "guest", F.explode(spread).alias("part"))
+
+
 def _blocks(calls: DataFrame, comp: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links(a, b) between the hosts of each block and its guests, on full sets.
 
     A task holds the sets of one block's hosts at a time, and guests pass by one after the other.
     """
     sets = stored(_sets(docs, calls.select(F.col("rep").alias("doc_id")).distinct(), width), "sets")
-    named = calls.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("block", "guest", "rep", F.coalesce("component", "rep").alias("c"))
-    at = named.join(sets.select(F.col("doc_id").alias("rep"), "s"), "rep").select("block", "guest", "rep", "c", "s")
+    named = calls.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("block", "part", "guest", "rep", F.coalesce("component", "rep").alias("c"))
+    at = named.join(sets.select(F.col("doc_id").alias("rep"), "s"), "rep").select("block", "part", "guest", "rep", "c", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, hosts, table = None, [], None
         for t in batches:
-            out = []
-            for block, guest, rep, c, s in zip(*(t.column(k).to_pylist() for k in range(4)), t.column(4), strict=True):
-                if block != now:
-                    now, hosts, table = block, [], None
+            out: list[tuple[int, int]] = []
+            guests: list[tuple[int, int, np.ndarray]] = []
+
+            def compare() -> None:
+                if guests and table is not None:
+                    n = np.array([len(u) for _, _, u in guests])
+                    common = table.shared([u for _, _, u in guests])
+                    linked = 100 * common >= percent * (table.sizes[None, :] + n[:, None] - common)
+                    for i in np.flatnonzero(linked.any(axis=1)):
+                        own = np.flatnonzero(linked[i] & (table.of != guests[i][1]))
+                        # one link to each component is enough
+                        _, once = np.unique(table.of[own], return_index=True)
+                        out.extend((int(x), guests[i][0]) for x in table.ids[own][once])
+                guests.clear()
+
+            for block, part, guest, rep, c, s in zip(*(t.column(k).to_pylist() for k in range(5)), t.column(5), strict=True):
+                if (block, part) != now:
+                    compare()
+                    now, hosts, table = (block, part), [], None
                 u = np.frombuffer(s.as_buffer(), U64)
                 if not guest:
                     hosts.append((rep, c, u))
-                    continue
-                if not hosts:
-                    continue
-                if table is None:
-                    every = np.concatenate([h[2] for h in hosts])
-                    order = np.argsort(every, kind="stable")
-                    owner = np.repeat(np.arange(len(hosts)), [len(h[2]) for h in hosts])[order]
-                    keys, first = np.unique(every[order], return_index=True)
-                    ids, of, sizes = (np.array(x) for x in ([h[0] for h in hosts], [h[1] for h in hosts], [len(h[2]) for h in hosts]))
-                    table = (keys, np.append(first, len(every)), owner, ids, of, sizes)
-                keys, first, owner, ids, of, sizes = table
-                pos = np.minimum(np.searchsorted(keys, u), len(keys) - 1)
-                pos = pos[keys[pos] == u]
-                length = first[pos + 1] - first[pos]
-                hit = np.repeat(first[pos] - np.cumsum(length) + length, length) + np.arange(length.sum())
-                common = np.bincount(owner[hit], minlength=len(ids))
-                linked = (100 * common >= percent * (sizes + len(u) - common)) & (of != c)
-                # one link to each component is enough
-                _, once = np.unique(of[linked], return_index=True)
-                out += [(int(x), rep) for x in ids[linked][once]]
+                elif hosts:
+                    if table is None:
+                        table = _Hosts(hosts)
+                    guests.append((rep, c, u))
+                    if len(guests) == 64:
+                        compare()
+            compare()
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
 
-    out = stored(at.repartition("block").sortWithinPartitions("block", "guest").mapInArrow(run, "a long, b long"), "links")
+    out = stored(at.repartition("block", "part").sortWithinPartitions("block", "part", "guest").mapInArrow(run, "a long, b long"), "links")
     drop_stored(sets)
     return out
 
@@ -221,10 +272,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     member of a node is compared with its least one, in nodes of more than SMALL with one drawn by
     hash too. Then only nodes with several components so far matter: small ones are compared
     exhaustively across components, larger ones branch again by a coordinate chosen by node. What
-    still is large after DEPTH branchings is dense: there, members outside the largest component
-    are compared with all members. These comparisons make no rows of pairs: a document is sent
-    once to each block of documents that it may be linked with, and compared with all of these
-    on the full sets. So no group is cut off, and none is expanded into all its pairs.
+    still is large after DEPTH more branchings is dense: there, members outside the largest
+    component are compared with all members, exactly. These comparisons make no rows of pairs: a
+    document is sent once to each block of documents that it may be linked with, and compared
+    with all of these on the full sets. So no group is cut off, and none is expanded into all its
+    pairs. A dense group of up to BLOCK shingles is one block, so its rows grow in proportion to
+    it; beyond, a document goes to one block for each BLOCK shingles of its group, and to none of
+    other groups. The pairs compared there grow with the square, as similarities just below the
+    threshold demand. Pairs of similarity 0.8 that all trees miss: 7e-6 of them, fewer above.
 
     A null or empty text, or one of white space, links with nothing; fewer than width words are
     one shingle. Equal ids are one document for linking. A row without an id has no component
@@ -283,9 +338,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     level = labelled(shared.select("node", "rep"), "rep")
     leaves, tables = None, [shared, info]
     for depth in range(DEPTH + 1):
-        mixed = level.groupBy("node").agg(F.count("*").alias("size"), F.min("crep").alias("lo"), F.max("crep").alias("hi")).where("lo <> hi")
-        nodes = stored(level.join(mixed.select("node", "size"), "node"), "nodes")
-        tables.append(nodes)
+        level = stored(level, "level")
+        # the sizes are stored, so that the join below can split a node that holds much of the rows
+        mixed = stored(level.groupBy("node").agg(F.count("*").alias("size"), F.min("crep").alias("lo"), F.max("crep").alias("hi")).where("lo <> hi").select("node", "size"), "sizes")
+        nodes = stored(level.join(mixed, "node"), "nodes")
+        drop_stored(level)
+        tables += [nodes, mixed]
         small, large = nodes.where(F.col("size") <= SMALL).select("node", "rep", "crep"), nodes.where(F.col("size") > SMALL)
         leaves = small if leaves is None else leaves.unionByName(small)
         if depth == DEPTH or large.isEmpty():
@@ -295,9 +353,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     if depth == DEPTH:
         share = large.groupBy("node", "crep").count().groupBy("node").agg(F.max_by("crep", F.struct("count", "crep")).alias("most"))
         odd = large.join(share, "node").where("crep <> most").select("node", "rep").join(info.select("rep", "block"), "rep")
-        guests = large.join(odd.select("node", "block").distinct(), "node").select("rep", "block", F.lit(True).alias("guest"))
+        guests = large.join(stored(odd.select("node", "block").distinct(), "odd"), "node").select("rep", "block", F.lit(True).alias("guest"))
         calls = calls.unionByName(guests).unionByName(odd.select("rep", "block", F.lit(False).alias("guest")))
-    calls = stored(calls.distinct(), "calls")
+    calls = stored(_dealt(stored(calls.distinct(), "asked")), "calls")
     if not calls.isEmpty():
         links = links.unionByName(_blocks(calls, comp, rows, width, percent))
     comp = stored(components(links.unionByName(same_id)), "components")
