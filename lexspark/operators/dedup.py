@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
+from lexspark.operators.store import stored
 
 THRESHOLD = 0.05
 EVERY = 10
@@ -38,14 +37,7 @@ def greedy(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     is accepted if even all open ones together have too few; the first open one is always
     decided. State is written to the shared folder.
     """
-    spark = docs.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lexspark"
-
-    def cut(df: DataFrame) -> DataFrame:
-        path = f"{root}/greedy-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
+    cut = lambda df: stored(df, "greedy")
     rows = gram_rows(docs)
     totals = rows.groupBy("id").agg(F.count("*").alias("total"))
     index = rows.where(F.col("i") % EVERY == 0).select("g", F.col("id").alias("src")).distinct()

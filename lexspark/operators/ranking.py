@@ -2,33 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.operators.store import stored
+
 #: monotonically_increasing_id() keeps the partition above this bit and the row's place below it.
 PART_BIT = 33
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder; a folder of its own only where none is set."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexspark-"))
-    return df.checkpoint()
-
-
 def numbered(rows: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """rows with their place in the order, from 0, as name.
 
     Rows are range-partitioned by the order and sorted there; a partition's first place is the sum
     of the counts before it, one row a partition. The ranges come from a sample, which need not be
-    drawn alike twice, so the sorted rows are checkpointed before they are counted. Rows that the
+    drawn alike twice, so the sorted rows are stored before they are counted. Rows that the
     order leaves tied get places in any order among themselves.
     """
-    at = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    at = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "numbered")
     at = at.withColumn("_p", F.shiftright("_m", PART_BIT))
     n = at.groupBy("_p").agg(F.count("*").alias("_n"))
     first = n.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_first"))

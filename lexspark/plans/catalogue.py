@@ -86,14 +86,17 @@ def occurrence_lookup_ci(s: SparkSession, d: str) -> DataFrame:
     return index.occurrences(t, "The").select("form", "doc_id", "byte_offset")
 
 
-@query("SELECT form, doc_id, byte_offset, true AS ok FROM t WHERE pos % 97 = 0")
+_PLACES = """, p AS (SELECT doc_id, pos, form, byte_offset, (sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos) - length(form))::BIGINT AS a FROM (SELECT t1.doc_id, t1.pos, piece, form, byte_offset FROM t1 JOIN t ON t.doc_id = t1.doc_id AND t.pos = t1.pos))"""
+
+
+@query(_PLACES + " SELECT form, doc_id, byte_offset, substr(text, greatest(a - 30, 0) + 1, a - greatest(a - 30, 0)) || form || substr(text, a + length(form) + 1, 30) AS context FROM p JOIN documents USING (doc_id)")
 def context_window(s: SparkSession, d: str) -> DataFrame:
     return index.in_context(T.docs(s, d), 30).select("form", "doc_id", "byte_offset", F.concat("left", "form", "right").alias("context"))
 
 
-@query(""", p AS (SELECT doc_id, pos, form, byte_offset, (sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos) - length(form))::BIGINT AS a FROM (SELECT t1.doc_id, t1.pos, piece, form, byte_offset FROM t1 JOIN t ON t.doc_id = t1.doc_id AND t.pos = t1.pos))
+@query(_PLACES + """
 SELECT form, doc_id, byte_offset, replace(replace(replace(replace(replace(substr(text, greatest(a - 30, 0) + 1, a - greatest(a - 30, 0)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '<strong>' || replace(replace(replace(replace(replace(form, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</strong>' || replace(replace(replace(replace(replace(substr(text, a + length(form) + 1, 30), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS context
-FROM p JOIN documents USING (doc_id) WHERE pos % 97 = 0""")
+FROM p JOIN documents USING (doc_id)""")
 def context_bold(s: SparkSession, d: str) -> DataFrame:
     own = [X.escape_html(F.col(c)) for c in ("left", "form", "right")]
     return index.in_context(T.docs(s, d), 30).select("form", "doc_id", "byte_offset", F.concat(own[0], F.lit("<strong>"), own[1], F.lit("</strong>"), own[2]).alias("context"))
@@ -151,8 +154,8 @@ def page_parse(s: SparkSession, d: str) -> DataFrame:
 # --- multi-word expressions ------------------------------------------------------------------
 
 _LEAD = ", a AS (SELECT doc_id, byte_offset, form AS w1, lead(form, 1) OVER w AS w2, lead(form, 2) OVER w AS w3 FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY byte_offset))"
-_PMI = _LEAD + r""", n AS (SELECT count(*) AS n FROM t), u AS (SELECT form, count(*) AS c FROM t GROUP BY form),
-b AS (SELECT w1, w2, 2 AS k, count(*) AS count FROM a WHERE w2 IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT w1, w3, 3, count(*) FROM a WHERE w2 = '-' AND w3 IS NOT NULL GROUP BY 1, 2),
+_PMI = _LEAD.replace("a AS (", "a AS MATERIALIZED (") + r""", n AS MATERIALIZED (SELECT count(*) AS n FROM a), u AS MATERIALIZED (SELECT w1 AS form, count(*) AS c FROM a GROUP BY w1),
+b AS MATERIALIZED (SELECT w1, w2, 2 AS k, count(*) AS count FROM a WHERE w2 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10 UNION ALL SELECT w1, w3, 3, count(*) FROM a WHERE w2 = '-' AND w3 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10),
 p AS (SELECT CASE WHEN k = 3 THEN w1 || '-' || w2 WHEN contains(w2, '''') THEN w1 || w2 ELSE w1 || ' ' || w2 END AS form, k, w1, w2, count, log2(count) - log2(u1.c) - log2(u2.c) + log2(n) AS pmi
       FROM b JOIN u u1 ON u1.form = w1 JOIN u u2 ON u2.form = w2, n WHERE count >= 10 AND regexp_matches(w1, '[a-zA-Z]') AND regexp_matches(w2, '[a-zA-Z]'))"""
 
@@ -172,7 +175,7 @@ def bigram_pmi(s: SparkSession, d: str) -> DataFrame:
     return mwe.pmi(T.tokens(s, d), min_pmi=-1e9, trigrams=False).select("form", "count", _r("pmi"))
 
 
-@query(_PMI.replace("count >= 10", "count >= 1") + " SELECT form, count, round(pmi, 6) AS pmi FROM p WHERE k = 3")
+@query(_PMI.replace("count >= 10", "count >= 1").replace("count(*) >= 10", "count(*) >= 1") + " SELECT form, count, round(pmi, 6) AS pmi FROM p WHERE k = 3")
 def hyphen_trigram_pmi(s: SparkSession, d: str) -> DataFrame:
     return mwe.pmi(T.tokens(s, d), min_count=1, min_pmi=-1e9, bigrams=False).select("form", "count", _r("pmi"))
 
@@ -228,7 +231,7 @@ def poor_coverage(s: SparkSession, d: str) -> DataFrame:
     return bad.withColumn("rn", F.row_number().over(w)).where("rn <= 10").join(top, "form").select("form", "n_bad", "doc_id", "byte_offset")
 
 
-_NEED = ", c AS (SELECT form, count(*) AS n_labeled, count_if(rating >= 1) AS n_covered FROM lr WHERE doc_id % 4 = 0 GROUP BY form), w AS (SELECT v.form, total, (coalesce(n_labeled, 0) - coalesce(n_covered, 0) + 5.0::DOUBLE) / (coalesce(n_labeled, 0) + 5.0::DOUBLE) AS bad_rate FROM v LEFT JOIN c ON c.form = v.form)"
+_NEED = ", c AS (SELECT form, count(*) AS n_labeled, count_if(rating >= 1) AS n_covered FROM lr GROUP BY form), w AS (SELECT v.form, total, (coalesce(n_labeled, 0) - coalesce(n_covered, 0) + 5.0::DOUBLE) / (coalesce(n_labeled, 0) + 5.0::DOUBLE) AS bad_rate FROM v LEFT JOIN c ON c.form = v.form)"
 
 
 def _need(s: SparkSession, d: str) -> DataFrame:
@@ -295,7 +298,7 @@ def critic_groups(s: SparkSession, d: str) -> DataFrame:
     return work.critic_groups(x, T.senses(s, d)).select("form", "doc_id", "byte_offset", "sense_key")
 
 
-@query(", r AS (SELECT form, doc_id, byte_offset, row_number() OVER (ORDER BY form, doc_id, byte_offset) - 1 AS custom_id FROM l WHERE rating = 2 AND doc_id % 10 = 0) SELECT form, doc_id, byte_offset, custom_id::BIGINT AS custom_id, (custom_id // 500)::BIGINT AS chunk FROM r")
+@query(", r AS (SELECT form, doc_id, byte_offset, row_number() OVER (ORDER BY form, doc_id, byte_offset) - 1 AS custom_id FROM l WHERE rating = 2) SELECT form, doc_id, byte_offset, custom_id::BIGINT AS custom_id, (custom_id // 500)::BIGINT AS chunk FROM r")
 def batch_chunks(s: SparkSession, d: str) -> DataFrame:
     x = T.labels(s, d).where("rating = 2").select("form", "doc_id", "byte_offset")
     return work.chunks(x, ["form", "doc_id", "byte_offset"], 500).withColumn("custom_id", F.col("custom_id").cast("long"))
@@ -309,7 +312,7 @@ def batch_range_match(s: SparkSession, d: str) -> DataFrame:
     return o.join(m, (F.floor(F.col("first") / 500) == F.floor(F.col("lo") / 500)) & F.col("first").between(F.col("lo"), F.col("hi"))).select("doc_id", "meta")
 
 
-@query(", j AS (SELECT doc_id, pos, form, rating, CASE WHEN pos % 7 = 0 THEN 'x' ELSE '{\"response\":{\"body\":{\"rating\":\"' || rating || '\"}}}' END AS body FROM l WHERE doc_id % 20 = 0) SELECT CASE WHEN pos % 7 = 0 THEN 'malformed' WHEN pos % 5 = 0 THEN 'unknown id' ELSE 'ok' END AS outcome, count(*) AS n FROM j GROUP BY 1")
+@query(", j AS (SELECT doc_id, pos, form, rating, CASE WHEN pos % 7 = 0 THEN 'x' ELSE '{\"response\":{\"body\":{\"rating\":\"' || rating || '\"}}}' END AS body FROM l) SELECT CASE WHEN pos % 7 = 0 THEN 'malformed' WHEN pos % 5 = 0 THEN 'unknown id' ELSE 'ok' END AS outcome, count(*) AS n FROM j GROUP BY 1")
 def batch_ingest_outcomes(s: SparkSession, d: str) -> DataFrame:
     x = T.labels(s, d)
     good = F.concat(F.lit('{"response":{"body":{"rating":"'), F.col("rating"), F.lit('"}}}'))
@@ -517,7 +520,7 @@ def qc_instances(s: SparkSession, d: str) -> DataFrame:
     return work.uniform_sample(T.labels(s, d).select("rating", "doc_id", "byte_offset", "form"), ["rating"], 50, "qc", ["doc_id", "byte_offset"]).drop("rank")
 
 
-@query("SELECT form, doc_id, byte_offset FROM l WHERE doc_id % 2 = 0 AND byte_offset > 0 AND pos % 50 = 1")
+@query("SELECT form, doc_id, byte_offset FROM l WHERE byte_offset > 0 AND pos % 50 = 1")
 def stale_labels(s: SparkSession, d: str) -> DataFrame:
     x = T.labels(s, d)
     # every 50th label is moved off its form by changing the form it claims
@@ -536,7 +539,7 @@ def year_buckets(s: SparkSession, d: str) -> DataFrame:
     return stats.year_shares(T.labels(s, d), T.dated(s, d)).select("form", "sense_key", "x", _r("y"))
 
 
-@query(_YEARS + ", c AS (SELECT sense_key, year, count_if(rating >= 1) AS n, count(*) AS total FROM y WHERE form = 'the' GROUP BY 1, 2), sp AS (SELECT min(year) AS lo, max(year) AS hi FROM c), g AS (SELECT i, lo - 2.5::DOUBLE + i * (hi - lo + 5.0::DOUBLE) / 299 AS x FROM sp, (SELECT unnest(range(0, 300)) AS i)) SELECT sense_key, round(x, 6) AS x, round(sum(exp(-0.5::DOUBLE * ((x - year) / 2.5::DOUBLE) ** 2) * n) / sum(exp(-0.5::DOUBLE * ((x - year) / 2.5::DOUBLE) ** 2) * total), 6) AS y FROM c, g GROUP BY sense_key, x HAVING sum(exp(-0.5::DOUBLE * ((x - year) / 2.5::DOUBLE) ** 2) * total) > 1e-10")
+@query(_YEARS + ", c AS (SELECT form, sense_key, year, count_if(rating >= 1) AS n, count(*) AS total FROM y GROUP BY 1, 2, 3), sp AS (SELECT form, min(year) AS lo, max(year) AS hi FROM c GROUP BY form), g AS (SELECT form, i, lo - 2.5::DOUBLE + i * (hi - lo + 5.0::DOUBLE) / 299 AS x FROM sp, (SELECT unnest(range(0, 300)) AS i)) SELECT sense_key, round(x, 6) AS x, round(sum(exp(-0.5::DOUBLE * ((x - year) / 2.5::DOUBLE) ** 2) * n) / sum(exp(-0.5::DOUBLE * ((x - year) / 2.5::DOUBLE) ** 2) * total), 6) AS y FROM c JOIN g USING (form) GROUP BY sense_key, x HAVING sum(exp(-0.5::DOUBLE * ((x - year) / 2.5::DOUBLE) ** 2) * total) > 1e-10")
 def year_kde(s: SparkSession, d: str) -> DataFrame:
     x = T.labels(s, d).join(T.dated(s, d).where("year is not null").select("doc_id", "year"), "doc_id")
     c = x.groupBy("form", "sense_key", "year").agg(F.count_if(F.col("rating") >= 1).alias("n"), F.count("*").alias("total"))
@@ -571,12 +574,15 @@ def compiled_entries(s: SparkSession, d: str) -> DataFrame:
     return own.join(bars, "form", "left").join(freq_percentile(s, d), "form", "left")
 
 
-_SRC = ", c AS (SELECT form, source, sense_key, count(*) AS n FROM lr JOIN documents USING (doc_id) WHERE source IN ('src1', 'src2', 'src3', 'src4') GROUP BY 1, 2, 3)"
-_JSD = _SRC + """, tt AS (SELECT form, source, sum(n) AS t FROM c GROUP BY 1, 2), p AS (SELECT a.form, a.source AS s1, b.source AS s2, a.t AS n1, b.t AS n2 FROM tt a JOIN tt b ON a.form = b.form AND a.source < b.source),
+_SRC = ", c AS MATERIALIZED (SELECT form, source, sense_key, count(*) AS n FROM lr JOIN documents USING (doc_id) WHERE source IS NOT NULL GROUP BY 1, 2, 3)"
+#: form_divergence: sources with 5 labels of a form, of their senses those with 5, forms with two of each; all cells filled.
+_CELLS = ", c0 AS MATERIALIZED (SELECT form, source, sense_key, count(*) AS n FROM lr JOIN documents USING (doc_id) WHERE source IS NOT NULL GROUP BY 1, 2, 3), o AS (SELECT form, source FROM c0 GROUP BY 1, 2 HAVING sum(n) >= 5), e AS (SELECT form, sense_key FROM c0 JOIN o USING (form, source) GROUP BY 1, 2 HAVING sum(n) >= 5), f2 AS (SELECT form FROM e GROUP BY 1 HAVING count(*) >= 2), c AS MATERIALIZED (SELECT o.form, o.source, e.sense_key, coalesce(c0.n, 0) AS n FROM o JOIN f2 ON f2.form = o.form JOIN e ON e.form = o.form LEFT JOIN c0 ON c0.form = o.form AND c0.source = o.source AND c0.sense_key = e.sense_key)"
+_PAIRS = """, tt AS (SELECT form, source, sum(n) AS t FROM c GROUP BY 1, 2), p AS (SELECT a.form, a.source AS s1, b.source AS s2, a.t AS n1, b.t AS n2 FROM tt a JOIN tt b ON a.form = b.form AND a.source < b.source),
 u AS (SELECT DISTINCT p.form, s1, s2, n1, n2, sense_key FROM p JOIN c ON c.form = p.form AND c.source IN (s1, s2)),
 w AS (SELECT u.*, coalesce(c1.n, 0) + 0.1::DOUBLE AS x, coalesce(c2.n, 0) + 0.1::DOUBLE AS y FROM u LEFT JOIN c c1 ON c1.form = u.form AND c1.source = s1 AND c1.sense_key = u.sense_key LEFT JOIN c c2 ON c2.form = u.form AND c2.source = s2 AND c2.sense_key = u.sense_key),
 q AS (SELECT *, x / sum(x) OVER (PARTITION BY form, s1, s2) AS p, y / sum(y) OVER (PARTITION BY form, s1, s2) AS q FROM w),
 j AS (SELECT form, s1, s2, n1, n2, sqrt(greatest(sum(p * log2(2 * p / (p + q)) + q * log2(2 * q / (p + q))) / 2, 0)) AS jsd FROM q GROUP BY ALL)"""
+_JSD = _SRC + _PAIRS
 
 
 def _src(s: SparkSession, d: str) -> DataFrame:
@@ -589,7 +595,7 @@ def source_pair_jsd(s: SparkSession, d: str) -> DataFrame:
     return stats.source_matrix(stats.jsd(_src(s, d))).select("s1", "s2", F.round("jsd", 5).alias("jsd"), "forms")
 
 
-@query(_JSD + ", k AS (SELECT form, max(t) / sum(t)::DOUBLE AS skew FROM tt WHERE t >= 5 GROUP BY form HAVING count(*) >= 2) SELECT form, round(avg(jsd), 4) AS mean_jsd, round(any_value(skew), 6) AS skew FROM j JOIN k USING (form) GROUP BY form")
+@query(_CELLS + _PAIRS + ", k AS (SELECT form, max(t) / sum(t)::DOUBLE AS skew FROM (SELECT form, source, sum(n) AS t FROM c0 GROUP BY 1, 2) WHERE t >= 5 GROUP BY form HAVING count(*) >= 2) SELECT form, round(avg(jsd), 4) AS mean_jsd, round(any_value(skew), 6) AS skew FROM j JOIN k USING (form) GROUP BY form")
 def form_divergence(s: SparkSession, d: str) -> DataFrame:
     return stats.form_divergence(_src(s, d)).select("form", F.round("mean_jsd", 4).alias("mean_jsd"), _r("skew"))
 

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _root(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexspark-")
+from lexspark.operators.store import shared_path
 
 
 def drain(spark: SparkSession, path: str, every: str | None = None, to: str | None = None) -> DataFrame:
@@ -20,7 +15,7 @@ def drain(spark: SparkSession, path: str, every: str | None = None, to: str | No
     what it wrote; rows without id or kind go to a dead-letter folder. With every, the queue is
     watched at that interval instead, until the query is stopped.
     """
-    to = to or f"{_root(spark)}/drain-{uuid.uuid4().hex}"
+    to = to or shared_path(spark, "drain")
     schema = spark.read.parquet(path).schema
 
     def apply(batch: DataFrame, epoch: int) -> None:
