@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexspark.operators.store import drop_stored, shared_path, stored
+
+__all__ = ["drop_stored", "shared_path", "stored"]
+
 U64 = np.uint64
 #: Odd multipliers of the polynomial hashes.
 R1, R2 = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
@@ -106,29 +108,3 @@ def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 def words_of(text: Column) -> Column:
     """The words of a text as an array; empty for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="lexspark-")  # no cluster: tests and single machines
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Deletes what stored() wrote for df."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for d in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(d)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
