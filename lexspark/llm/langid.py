@@ -108,28 +108,30 @@ class Model:
     def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy in bits a character by text and language, and the texts' lengths."""
         sums, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
-        run: list[tuple[int, np.ndarray]] = []
+        run: list[tuple[int, np.ndarray, int]] = []  # text, characters, how many of them are history
         size = 0
 
         def flush() -> None:
             nonlocal size
             if run:
-                k = {m: np.concatenate([keys(c, m) for _, c in run]) for m in range(1, ORDER + 1)}
+                k = {m: np.concatenate([keys(c, m)[h:] for _, c, h in run]) for m in range(1, ORDER + 1)}
                 for m in range(2, ORDER + 1):
-                    k[-m] = np.concatenate([np.concatenate((mix(_start(m - 1)), keys(c, m - 1)[:-1])) for _, c in run])
-                lens = np.array([len(c) for _, c in run])
+                    k[-m] = np.concatenate([np.concatenate((mix(_start(m - 1)), keys(c, m - 1)[:-1]))[h:] for _, c, h in run])
+                lens = np.array([len(c) - h for _, c, h in run])
                 v = np.add.reduceat(self._log2(k, ORDER), np.cumsum(lens) - lens, axis=0, dtype=np.float64)
-                np.add.at(sums, [i for i, _ in run], v)
-                np.add.at(n, [i for i, _ in run], lens)
+                np.add.at(sums, [i for i, _, _ in run], v)
+                np.add.at(n, [i for i, _, _ in run], lens)
             run.clear()
             size = 0
 
         for i, t in enumerate(texts):
-            # a long text goes in parts; only the history at a cut is lost
+            # a long text goes in parts; each has the last characters of the one before as history
+            before = np.empty(0, U64)
             for at in range(0, len(t), PART):
-                c = characters(t[at : at + PART])
-                run.append((i, c))
+                c = np.concatenate((before, characters(t[at : at + PART])))
+                run.append((i, c, len(before)))
                 size += len(c)
+                before = c[1 - ORDER :]
                 if size > PART:
                     flush()
         flush()
@@ -216,18 +218,24 @@ def sample_of(docs: DataFrame, train: Column, text_col: str, lang_col: str, id_c
     """Training texts by language, about chars characters each: those of the least hash of the id.
 
     The share that makes that size is computed first, so the driver gets no more than that, give
-    or take a text, for each language.
+    or take a text, for each language. Every language gives one text at least, that of the least
+    hash; no text gives more than its first chars characters to the sample.
     """
     d = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"), F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)).alias("h"))
-    sizes = d.groupBy("l").agg(F.sum(F.char_length("t")).alias("n"))
-    share = sizes.select(F.col("l").alias("of"), (F.lit(float(chars)) / F.greatest("n", F.lit(1)) * (1 << 30)).alias("cut"))
+    sizes = d.groupBy("l").agg(F.sum(F.least(F.char_length("t"), F.lit(chars))).alias("n"), F.min("h").alias("least"))
+    share = sizes.select(F.col("l").alias("of"), (F.lit(float(chars)) / F.greatest("n", F.lit(1)) * (1 << 30)).alias("cut"), "least")
     out: dict[str, list[str]] = {}
-    for r in d.join(F.broadcast(share), F.col("l") == F.col("of")).where("h < cut").select("l", "t").toLocalIterator():
+    for r in d.join(F.broadcast(share), F.col("l") == F.col("of")).where("h < cut or h = least").select("l", F.substring("t", 1, chars).alias("t")).toLocalIterator():
         out.setdefault(r.l, []).append(r.t)
     return out
 
 
 def train_model(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Models of the languages of docs, learned where train holds.
+
+    Rows whose text or language is null teach nothing; repeated rows are drawn together; no rows
+    give a model without languages. Texts and languages alone are read, and the id for its hash.
+    """
     return fit(sample_of(docs, train, text_col, lang_col, id_col))
 
 
@@ -258,7 +266,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents whose language is recognised, columns as they are; the models learn from docs."""
+    """The documents whose language is recognised, columns as they are; the models learn from docs.
+
+    Texts that are null or have no letter go; so do all if no row has a language. Repeated rows
+    share one verdict, names of other columns may be any, an empty table stays empty.
+    """
     model = train_model(docs, F.lit(True), id_col, text_col, lang_col)
     tagged = identify(docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).alias("t")), model, "t")
     return tagged.where(~F.col("rejected")).select("doc.*")
