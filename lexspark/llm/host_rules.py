@@ -16,14 +16,25 @@ SYMBOLS = r"[#*$%&|<>]"
 
 #: Words inside 3-word windows that occur twice or more, from w (words), n (their number), b
 #: (bits for a position) and sorted (a long a window: its hash above, its position in b bits).
-#: Sorting puts equal windows side by side; texts under 4 million words leave 41 bits of hash.
+#: Sorting puts windows of one hash side by side; texts under 4 million words leave 41 bits of it.
+#: Windows count as equal only if their three words are; the two next on each side are looked at,
+#: so that one other window of the same hash between two equal ones does not part them.
 WINDOWS = "sort_array(transform(sequence(0, n - 3), i -> shiftleft(shiftright(xxhash64(w[i], w[i + 1], w[i + 2]), b), b) | cast(i as bigint)))"
-REPEATED = """
+_PLACE = "cast({0} & (shiftleft(1L, b) - 1L) as int)"
+
+
+def _equal(at: int) -> str:
+    """SQL: whether the window x and the one that is `at` places from it in sorted are equal."""
+    other, inside = f"sorted[i + {at}]", f"i >= {-at}" if at < 0 else f"i < n - 2 - {at}"
+    p, q = _PLACE.format("x"), _PLACE.format(other)
+    words = " and ".join(f"w[{p} + {k}] = w[{q} + {k}]" for k in range(3))
+    return f"({inside} and shiftright({other}, b) = shiftright(x, b) and {words})"
+
+
+REPEATED = f"""
 aggregate(
   sort_array(filter(
-    transform(sorted, (x, i) -> if(
-      (i > 0 and shiftright(sorted[i - 1], b) = shiftright(x, b)) or (i < n - 3 and shiftright(sorted[i + 1], b) = shiftright(x, b)),
-      x & (shiftleft(1L, b) - 1L), -1L)),
+    transform(sorted, (x, i) -> if({" or ".join(_equal(k) for k in (-1, 1, -2, 2))}, x & (shiftleft(1L, b) - 1L), -1L)),
     p -> p >= 0)),
   named_struct('last', -9L, 'sum', 0L),
   (s, p) -> named_struct('last', p, 'sum', s.sum + least(3L, p - s.last)),
@@ -87,7 +98,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     ids are rows like others; an empty table gives an empty result; no other column is read.
     """
     rows = stored(measures(docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("_text")), "_text").drop("_text"), "rules")
-    hosts = host_verdicts(rows)
+    hosts = stored(host_verdicts(rows), "hosts")  # its size is known when the join below is planned
     out = rows.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
     return out.withColumn("kept", ~F.col("base_failed") & F.col("host_kept")).withColumnRenamed("host", host_col)
 
@@ -95,10 +106,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The documents that the rules keep, with their columns.
 
-    The rules run twice over the texts, once for the hosts: cheaper than moving the texts.
+    The rules run once, into a table of the documents with their verdicts; texts are not shuffled
+    unless the rejected hosts outgrow a broadcast. Null and empty texts go; a null host is a host
+    of its own; repeated rows and null ids are rows like others, and other columns may have any
+    name; an empty table stays empty.
     """
     d = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).alias("_text"), F.col(host_col).alias("host"))
-    rows = measures(d.select("host", "_text"), "_text").select("host", "base_failed")
-    bad = host_verdicts(rows).where(~F.col("host_kept")).select(F.col("host").alias("h"))
-    good = measures(d, "_text").where(~F.col("base_failed")).select("doc", "host")
-    return good.join(bad, F.col("host").eqNullSafe(F.col("h")), "left_anti").select("doc.*")
+    rows = stored(measures(d, "_text").select("doc", "host", "base_failed"), "rules")
+    # stored, so that its size is known when the join below is planned
+    bad = stored(host_verdicts(rows.select("host", "base_failed")).where(~F.col("host_kept")).select(F.col("host").alias("h")), "hosts")
+    return rows.where(~F.col("base_failed")).join(bad, F.col("host").eqNullSafe(F.col("h")), "left_anti").select("doc.*")
