@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as htmllib
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,11 +16,18 @@ from pyspark.sql import functions as F
 WINDOW = 3
 SURGE = 120
 DIVE = 25
+#: Characters that a line counts more if the page marks it as part of an article, where the marked
+#: lines hold at least this share of the page's text.
+ARTICLE = SURGE // WINDOW
+LEAST_SHARE = 0.5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|aria-label|style|itemprop)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "select"}
-_DROP = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head", "fieldset", "label", "datalist", "audio", "video"}
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_KEY = re.compile(r"[\s/]*(=?[^\s/>=]*)(?:(\s*=)\s*)?")
+_BARE = re.compile(r"[^\s>]*")
+_LINK = re.compile(r"<(/?)a(?=[\s/>])", re.I)
+#: Elements whose content is not markup.
+_RAW = {"script", "style", "noscript", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
+_DROP = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head", "fieldset", "label", "datalist", "audio", "video", "template", "svg", "math", "object", "canvas", "select"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "input"}
 #: Words of class, id and role names that mark what is not the article.
@@ -32,145 +40,240 @@ _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _marks(attrs: str) -> tuple[set[str], bool]:
+def _marks(tag: str, attrs: dict[str, str]) -> tuple[set[str], bool]:
     """Words of an element's names, and whether it is hidden."""
     names: set[str] = set()
-    hidden = False
-    if "=" in attrs or "hidden" in attrs:
-        for k, v in _ATTR.findall(attrs):
-            k, v = k.lower(), v.strip("\"'")
-            if k in ("class", "id", "role"):
-                names.update(_WORD.findall(_CAMEL.sub("-", v).lower()))
-            elif k == "hidden" or (k == "aria-hidden" and v.lower() == "true") or (k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I)):
-                hidden = True
-    return names, hidden
+    for k in ("class", "id", "role"):
+        if k in attrs:
+            names.update(_WORD.findall(_CAMEL.sub("-", attrs[k]).lower()))
+    style = attrs.get("style", "").lower().replace(" ", "")
+    return names, "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+
+
+class _Scanner:
+    """Tags and text of a page by the rules of HTML's tokeniser, in time proportional to its length.
+
+    Every step moves on, and what was once sought in vain to the end of the page is not sought
+    again. A quote that nothing closes is part of an unquoted value, so it swallows no text.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.gone: set[str] = set()  # what does not occur any more
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        p = self.page.find(what, at)
+        if p < 0:
+            self.gone.add(what)
+        return p
+
+    def attributes(self, at: int) -> tuple[dict[str, str], bool, int]:
+        """The attributes from at on, whether the tag closes itself, and the place after it."""
+        page, out = self.page, {}
+        while True:
+            m = _KEY.match(page, at)
+            key, at = m[1], m.end()
+            if not key:
+                return (out, False, at) if at >= len(page) else (out, page[at - 1] == "/", at + 1)
+            value = ""
+            if m[2]:
+                quote = page[at : at + 1]
+                end = self.find(quote, at + 1) if quote and quote in "\"'" else -1
+                if end >= 0:
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    v = _BARE.match(page, at)
+                    value, at = v[0], v.end()
+            out.setdefault(key.lower(), value)
+
+    def __iter__(self) -> Iterator[tuple[str, str, dict[str, str], bool, int]]:
+        """(kind, name or text, attributes, closes itself, place): kinds are text, open and close."""
+        page, at = self.page, 0
+        while at < len(page):
+            p = page.find("<", at)
+            if p < 0:
+                p = len(page)
+            if p > at:
+                yield "text", page[at:p], {}, False, at
+            if p == len(page):
+                return
+            after = page[p + 1 : p + 2]
+            if after == "!":
+                at = self.declaration(p)
+            elif after == "?":
+                at = self.beyond(">", p)
+            elif after == "/" and (m := _NAME.match(page, p + 2)):
+                _, _, at = self.attributes(m.end())
+                yield "close", m[0].lower(), {}, False, p
+            elif after == "/":
+                at = self.beyond(">", p)
+            elif m := _NAME.match(page, p + 1):
+                attrs, own, at = self.attributes(m.end())
+                name = m[0].lower()
+                if name in _RAW:
+                    at = self.raw(name, at)
+                else:
+                    yield "open", name, attrs, own, p
+            else:
+                yield "text", "<", {}, False, p
+                at = p + 1
+
+    def beyond(self, what: str, at: int) -> int:
+        p = self.find(what, at)
+        return len(self.page) if p < 0 else p + len(what)
+
+    def declaration(self, p: int) -> int:
+        """The place after a comment, a doctype or character data."""
+        page = self.page
+        if page.startswith("<!--", p):
+            if page.startswith((">", "->"), p + 4):
+                return page.index(">", p) + 1
+            return self.beyond("-->", p + 4)
+        if page.startswith("<![CDATA[", p) and self.find("]]>", p) >= 0:
+            return self.beyond("]]>", p)
+        return self.beyond(">", p)
+
+    def raw(self, name: str, at: int) -> int:
+        """The place after the end of a raw element; one without an end, but a script or style, is no element."""
+        if name not in self.gone:
+            if m := re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(self.page, at):
+                return m.end()
+            self.gone.add(name)
+        return len(self.page) if name in ("script", "style") else at
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters inside links, inside an article) of each block of a page, in order.
 
     Scripts, styles, comments and markup are stripped; blocks of menus, headers, footers,
-    sidebars, notices, adverts, forms and reader comments are left as empty lines.
+    sidebars, notices, adverts, forms and reader comments are left as empty lines. A link is an
+    `a` with an address; one that nothing closes before the next ends with its block.
     """
     out: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, dropped from here on, inside an article
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     link = 0
-    in_link = 0
+    linked, lasting = False, False  # inside a link; over the ends of blocks too
+    ends = [(m.start(), m[1] == "/") for m in _LINK.finditer(page)]
+    closed = {at for (at, close), (_, after) in zip(ends, ends[1:], strict=False) if not close and after}
 
-    def close() -> None:
-        nonlocal link
+    def close_block() -> None:
+        nonlocal link, linked
         text = " ".join(htmllib.unescape("".join(parts)).split())
         out.append((text, min(link, len(text)), bool(stack and stack[-1][2])))
         parts.clear()
         link = 0
+        linked = linked and lasting
 
     def text(s: str) -> None:
         nonlocal link
         if s and not (stack and stack[-1][1]):
             parts.append(s)
-            if in_link:
+            if linked:
                 link += len(" ".join(s.split()))
 
-    at = 0
-    while True:
-        m = _TOKEN.search(page, at)
-        if not m:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m[2].lower() if m[2] else ""
-        if not tag:
+    def pop() -> None:
+        open_tags[stack.pop()[0]] -= 1
+
+    def push(tag: str, dropped: bool, article: bool) -> None:
+        stack.append((tag, dropped, article))
+        open_tags[tag] += 1
+
+    for kind, tag, attrs, own_end, at in _Scanner(page):
+        if kind == "text":
+            text(tag)
             continue
-        if m[1]:
+        if kind == "close":
             if tag == "a":
-                in_link = max(0, in_link - 1)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close()
-                    del stack[i:]
-                    break
-            else:
-                if tag not in _INLINE:
-                    close()
-            continue
-        if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+                linked = False
+            elif open_tags[tag]:
+                if tag not in _INLINE or stack[-1][0] != tag or stack[-1][1]:
+                    close_block()
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
+            elif tag not in _INLINE:
+                close_block()
             continue
         if tag == "br":
             text(" ")
             continue
         if tag == "a":
-            in_link += 1
+            linked = "href" in attrs
+            lasting = at in closed
             continue
         inline = tag in _INLINE
         if not inline:
-            close()
-        if tag in _VOID or m[3].rstrip().endswith("/"):
+            close_block()
+        if tag in _VOID or own_end:
             continue
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # they end their like
-            own = {"p": "p", "li": "li", "tr": "tr", "option": "option"}.get(tag)
-            while stack and (stack[-1][0] == own or stack[-1][0] in _INLINE or (tag in ("dt", "dd") and stack[-1][0] in ("dt", "dd")) or (tag in ("td", "th") and stack[-1][0] in ("td", "th"))):
-                if stack[-1][0] in _INLINE and not any(t == own for t, _, _ in stack[-8:]):
-                    break
-                stack.pop()
-        elif tag[0] == "h" and tag[1:].isdigit() and stack and stack[-1][0] == "p":
-            stack.pop()
-        names, hidden = _marks(m[3])
-        dropped = bool(stack and stack[-1][1])
-        article = bool(stack and stack[-1][2])
+        if tag in _ENDED:  # they end their like
+            depth = next((i for i in range(1, min(9, len(stack) + 1)) if stack[-i][0] in _ENDED[tag] or stack[-i][0] not in _INLINE), 0)
+            if depth and stack[-depth][0] in _ENDED[tag]:
+                for _ in range(depth):
+                    pop()
+        names, hidden = _marks(tag, attrs) if attrs else (set(), False)
+        dropped, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         if inline:
-            if hidden or (names & _BOILER and tag == "span"):
-                stack.append((tag, True, article))
-            elif stack and stack[-1][1]:
-                stack.append((tag, True, article))
+            if hidden or dropped or (names & _BOILER and tag == "span"):
+                push(tag, True, article)
             continue
-        main = tag in ("article", "main") or "main" in names and "role" in m[3].lower()
+        main = tag in ("article", "main") or attrs.get("role", "").lower() == "main"
         big = tag in ("body", "html", "article", "main")
         bad = hidden or tag in _DROP or (not big and bool(names & _BOILER)) or (tag == "article" and bool(names & {"comment", "comments", "reply", "ad", "ads", "promo", "related"}))
         bad = bad or (not article and not big and (tag == "header" or bool(names & _HEADER)))
-        stack.append((tag, dropped or bad, (article or main) and not bad))
-    close()
+        push(tag, dropped or bad, (article or main) and not bad)
+    close_block()
     return out
 
 
+#: Open elements that a start tag ends, where only inline ones lie between.
+_ENDED = {t: {"p"} for t in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "div", "ul", "ol", "table", "blockquote", "pre", "section", "article", "header", "footer", "form", "hr", "address", "dl", "figure", "main", "nav", "aside")}
+_ENDED |= {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "option": {"option"}}
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in order, one a line; empty if there is none.
 
     The lengths of text outside links are summed over sliding windows of WINDOW lines: a zone
     begins where a window surges over SURGE characters, at the first line that is not mostly
-    links, and dives where a window has less than DIVE. All zones' lines are kept, without lines
-    that are mostly links. What the page marks as an article is kept whole besides, and ends the
-    zones around it; no window reaches over its edge.
+    links, and dives where a window has less than DIVE; the lines between are kept. Lines that the
+    page marks as an article count ARTICLE more each, as far as they are not mostly links and hold
+    most of the page's text: so an article of short lines surges too, menus and lists of links in
+    it dive, and teasers beside a longer text count as what they are. No window reaches over an
+    article's edge. Outside articles, lines that are mostly links go from a zone too.
     """
     if not page:
         return ""
     lines = [x for x in lines_of(page) if x[0]]
     size = [len(t) - 2 * k if 2 * k < len(t) else 0 for t, k, _ in lines]
-    kept = []
+    marked = sum(n for n, x in zip(size, lines, strict=True) if x[2])
+    more = ARTICLE if marked >= LEAST_SHARE * sum(size) else 0
+    kept: list[bool] = []
     for article, run in itertools.groupby(range(len(lines)), lambda i: lines[i][2]):
-        own = [size[i] for i in run]
-        kept += [True] * len(own) if article else _zones(own)
+        own = [size[i] + more * (article and size[i] > 0) for i in run]
+        kept += zones(own, article and more > 0)
     if not any(kept):  # a short page: what is not links
         kept = [s > 0 for s in size]
     return "\n".join(t for (t, _, _), k in zip(lines, kept, strict=True) if k)
 
 
-def _zones(size: list[int]) -> list[bool]:
-    """Which of the lines lie in a zone, by the size of each."""
+def zones(size: list[int], whole: bool = False) -> list[bool]:
+    """Which of the lines lie between a surge and a dive, by the size of each; empty ones only if whole."""
     kept = [False] * len(size)
     i = 0
     while i < len(size):
-        if size[i] and sum(size[i : i + WINDOW]) >= SURGE:
+        if size[i] and sum(size[i : i + WINDOW]) >= SURGE or (whole and size[i]):
             j = i
             while j > max(0, i - WINDOW) and size[j - 1] and not kept[j - 1]:  # a heading before the surge
                 j -= 1
                 kept[j] = True
             j = i
             while j < len(size) and sum(size[j : j + WINDOW]) >= DIVE:
-                kept[j] = size[j] > 0
+                kept[j] = whole or size[j] > 0
                 j += 1
             i = j
         i += 1
