@@ -11,26 +11,41 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm._common import R1, U64, mix, stored, tokens
+from lexspark.llm._common import R1, R2, U64, mix, stored, tokens
 
 END, START = U64(0x5BD1E9955BD1E995), U64(0xC6A4A7935BD1E995)
-#: Word pairs seen less often become no arc; their mass goes to the failure arc.
-LEAST_PAIR = 2
-DISCOUNT = 0.75
+#: Weight of the failure arc against the times that a state was left: of states of one word, and of two.
+BACK = (256.0, 64.0)
 #: Bytes of text in a block, the unit that gathers its share of the automaton.
-BLOCK = 8 << 20
-#: Words over this share of a block's tokens have their arcs dealt by both words.
-HOT = 0.001
+BLOCK = 12 << 20
+#: Bytes of text for each bucket of n-grams; a bucket is what one task holds at a time.
+BUCKET = 16 << 20
+#: Low bits of a hash that pairs and triples do without.
+CUT = 6
 _Z = pa.Codec("zstd", 1)
 
 
-def _squeeze(a: np.ndarray) -> bytes:
-    raw = a.tobytes()
-    z = _Z.compress(raw, asbytes=True)
-    return np.array([len(raw), len(z)], "<u4").tobytes() + z
+class Writer:
+    """Sorted hashes and counts, packed: differences in as few bytes as the largest needs."""
 
+    def __init__(self) -> None:
+        self.parts: list[bytes] = []
 
-class _Reader:
+    def squeezed(self, a: np.ndarray) -> None:
+        raw = a.tobytes()
+        z = _Z.compress(raw, asbytes=True)
+        self.parts += [np.array([len(raw), len(z)], "<u4").tobytes(), z]
+
+    def hashes(self, h: np.ndarray, shift: int) -> None:
+        d = np.diff(h >> U64(shift), prepend=U64(0))
+        width = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
+        self.parts += [np.array([len(d), width], "<u4").tobytes(), d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()]
+
+    def bytes(self) -> bytes:
+        return b"".join(self.parts)
+
+
+class Reader:
     def __init__(self, raw: bytes) -> None:
         self.raw, self.at = memoryview(raw), 0
 
@@ -40,16 +55,22 @@ class _Reader:
         return out
 
     def squeezed(self, dtype: str) -> np.ndarray:
-        full, n = self.plain("<u4", 2)
-        out = np.frombuffer(_Z.decompress(self.raw[self.at : self.at + n], int(full), asbytes=True), dtype)
-        self.at += int(n)
+        full, n = (int(x) for x in self.plain("<u4", 2))
+        out = np.frombuffer(_Z.decompress(self.raw[self.at : self.at + n], full, asbytes=True), dtype)
+        self.at += n
         return out
 
+    def hashes(self, shift: int) -> np.ndarray:
+        n, width = (int(x) for x in self.plain("<u4", 2))
+        d = np.zeros((n, 8), np.uint8)
+        d[:, :width] = self.plain("u1", n * width).reshape(n, width)
+        return np.cumsum(d.view("<u8").ravel().astype(U64), dtype=U64) << U64(shift)
+
 
 class Block:
-    """Tokens of some texts, with the words and word pairs that occur in them."""
+    """Tokens of some texts, and the words, pairs and triples that occur in them, by hash."""
 
-    def __init__(self, texts: list[bytes | None], train: np.ndarray, hot: np.ndarray, buckets: int) -> None:
+    def __init__(self, texts: list[bytes | None], train: np.ndarray) -> None:
         hashes, counts = tokens(texts)
         self.n = counts + 1
         ends = np.cumsum(self.n) - 1
@@ -58,86 +79,103 @@ class Block:
         is_end[ends] = True
         t[is_end], t[~is_end] = END, hashes
         self.starts = ends - self.n + 1
+        self.first = np.zeros(len(t), bool)
+        self.first[self.starts] = True
+        before = np.concatenate(([START], t[:-1]))[: len(t)]
+        before[self.first] = START
+        two = np.concatenate(([START], before[:-1]))[: len(t)]
+        low = ~U64((1 << CUT) - 1)
+        pairs = mix(before * R1 + t) & low
+        triples = mix(two * R2 + pairs) & low
         tr = np.repeat(train, self.n)
-        self.words, self.word = np.unique(t, return_inverse=True)
-        self.word_count = np.bincount(self.word[tr], minlength=len(self.words))
-        state = np.empty(len(t), np.int64)
-        state[1:] = self.word[:-1]
-        state[self.starts] = len(self.words)  # the start state
-        size = max(1, len(self.words))
-        keys, self.pair = np.unique(state * size + self.word, return_inverse=True)
-        self.pair_count = np.bincount(self.pair[tr], minlength=len(keys))
-        self.pair_state, self.pair_word = keys // size, keys % size
-        names = np.append(self.words, START)
-        self.state_hot = np.isin(names, hot) | (names == START)
-        self.to_word = ((self.words >> U64(20)) % U64(buckets)).astype(np.int64)
-        of_pair = mix(names[self.pair_state] * R1 + self.words[self.pair_word]) >> U64(20)
-        self.to_pair = np.where(self.state_hot[self.pair_state], (of_pair % U64(buckets)).astype(np.int64), np.append(self.to_word, 0)[self.pair_state])
-        self.names = names
-        self.digest = int(mix(t + U64(1)).sum(dtype=U64).astype(np.int64))
-
-    def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(bucket, its words, its pairs); pairs of states that are words of the bucket come first."""
-        wo = np.argsort(self.to_word, kind="stable")
-        cold = ~self.state_hot[self.pair_state]
-        po = np.lexsort((~cold, self.to_pair))
-        nb = sorted(set(np.unique(self.to_word).tolist()) | set(np.unique(self.to_pair).tolist()))
-        w0, w1 = np.searchsorted(self.to_word[wo], nb), np.searchsorted(self.to_word[wo], nb, side="right")
-        p0, p1 = np.searchsorted(self.to_pair[po], nb), np.searchsorted(self.to_pair[po], nb, side="right")
-        for i, b in enumerate(nb):
-            yield b, wo[w0[i] : w1[i]], po[p0[i] : p1[i]]
-
-    def request(self, w: np.ndarray, p: np.ndarray) -> bytes:
-        """What a bucket must know of the block: words, pairs and how often both occur here."""
-        cold = p[~self.state_hot[self.pair_state[p]]]
-        hot = p[len(cold) :]
-        followers = np.bincount(self.pair_state[cold], minlength=len(self.names))[w].astype("<u4")
-        hs, hn = np.unique(self.pair_state[hot], return_counts=True)
-        tails = np.ascontiguousarray(self.words[self.pair_word[p]].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, 1:]
-        head = np.array([len(w), len(hs), len(p)], "<u4").tobytes()
-        return b"".join([head, self.words[w].astype("<u8").tobytes(), self.names[hs].astype("<u8").tobytes(), tails.tobytes(), _squeeze(self.word_count[w].astype("<u4")), _squeeze(followers), _squeeze(hn.astype("<u4")), _squeeze(self.pair_count[p].astype("<u4"))])
-
-
-def _answers(blocks: np.ndarray, blobs: list[bytes]) -> tuple[list[bytes], dict]:
-    """Replies to requests of one set of buckets, in order, and sums over these buckets."""
-    words, wc, pair_state, pair_word, pc, nw, npairs = [], [], [], [], [], [], []
-    for raw in blobs:
-        r = _Reader(raw)
-        w, h, p = (int(x) for x in r.plain("<u4", 3))
-        own, hot = r.plain("<u8", w), r.plain("<u8", h)
-        tails = np.zeros((p, 8), np.uint8)
-        tails[:, 1:] = r.plain("u1", 7 * p).reshape(p, 7)
-        wc.append(r.squeezed("<u4"))
-        followers, hn = r.squeezed("<u4"), r.squeezed("<u4")
-        # the block sorts its pairs by state, then word; words are sorted too
-        pair_state.append(np.concatenate([np.repeat(own, followers), np.repeat(hot, hn)]))
-        pair_word.append(tails.view("<u8").ravel())
-        pc.append(r.squeezed("<u4"))
-        words.append(own)
-        nw.append(w)
-        npairs.append(p)
-    cat = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-    words, wc, ps, pw, pc = cat(words, U64), cat(wc, np.int64), cat(pair_state, U64), cat(pair_word, U64), cat(pc, np.int64)
-    uw, wi = np.unique(words, return_inverse=True)
-    count = np.bincount(wi, wc, len(uw)).astype(np.int64)
-    o = np.lexsort((pw, ps))
-    new = np.concatenate(([True], (ps[o][1:] != ps[o][:-1]) | (pw[o][1:] != pw[o][:-1])))[: len(o)]
-    run = np.cumsum(new) - 1
-    total = np.bincount(run, pc[o], run[-1] + 1 if len(run) else 0).astype(np.int64)
-    arc = np.where(total >= LEAST_PAIR, total, 0)
-    owner = ps[o][new]
-    mass = np.where(arc > 0, arc - DISCOUNT, 0.0)
-    at = np.searchsorted(uw, owner)
-    at[at == len(uw)] = 0
-    cold = uw[at] == owner if len(uw) else np.zeros(len(owner), bool)
-    kept = np.bincount(at[cold], mass[cold], len(uw)) if len(uw) else np.empty(0)
-    hot_names, hi = np.unique(owner[~cold], return_inverse=True)
-    hot_mass, hot_total = np.bincount(hi, mass[~cold], len(hot_names)), np.bincount(hi, total[~cold], len(hot_names))
-    of_pair = np.empty(len(o), np.int64)
-    of_pair[o] = arc[run] if len(run) else 0
-    wcut, pcut = np.cumsum([0, *nw]), np.cumsum([0, *npairs])
-    replies = [_squeeze(count[wi[a:b]].astype("<u4")) + _squeeze(kept[wi[a:b]].astype("<f8")) + _squeeze(of_pair[c:d].astype("<u4")) for a, b, c, d in zip(wcut[:-1], wcut[1:], pcut[:-1], pcut[1:], strict=True)]
-    return replies, {"tokens": int(count.sum()), "distinct": int((count > 0).sum()), "hot": list(zip(hot_names.astype(np.int64).tolist(), hot_mass.tolist(), hot_total.tolist(), strict=True))}
+        #: by order: the distinct n-grams, which one each token ends, and how often in training texts
+        self.grams, self.ending, self.count = [], [], []
+        for k, where in ((t, None), (pairs, None), (triples, ~self.first)):  # no text's first token ends a triple
+            own, at, of = (k, tr, slice(None)) if where is None else (k[where], tr[where], where)
+            u, i = np.unique(own, return_inverse=True)
+            ending = np.full(len(t), -1, np.int32)
+            ending[of] = i
+            self.grams.append(u)
+            self.ending.append(ending)
+            self.count.append(np.bincount(i[at], minlength=len(u)).astype("<u4"))
+        self.train_texts = int(np.count_nonzero(train))
+
+    def parts(self, buckets: int) -> Iterator[tuple[int, list[slice]]]:
+        """(bucket, its words, pairs and triples); buckets are ranges of hashes, a power of two of them."""
+        edges = np.arange(1, buckets, dtype=U64) << U64(64 - buckets.bit_length() + 1) if buckets > 1 else np.empty(0, U64)
+        cuts = [np.concatenate(([0], np.searchsorted(g, edges), [len(g)])) for g in self.grams]
+        for b in range(buckets):
+            own = [slice(int(c[b]), int(c[b + 1])) for c in cuts]
+            if any(s.stop > s.start for s in own):
+                yield b, own
+
+    def request(self, own: list[slice]) -> bytes:
+        """What a bucket must know of the block: its n-grams and how often they occur here."""
+        w = Writer()
+        for g, c, s, shift in zip(self.grams, self.count, own, (0, CUT, CUT), strict=True):
+            w.hashes(g[s], shift)
+            w.squeezed(c[s])
+        return w.bytes()
+
+
+def answers(blobs: list[bytes]) -> tuple[list[bytes], int, int]:
+    """Replies to the requests of one bucket, in order; the training tokens and distinct words in it."""
+    out = [Writer() for _ in blobs]
+    readers = [Reader(x) for x in blobs]
+    n = v = 0
+    for order, shift in enumerate((0, CUT, CUT)):
+        asked = []
+        for r in readers:
+            asked.append((r.hashes(shift), r.squeezed("<u4")))
+        every = np.concatenate([h for h, _ in asked])
+        u, i = np.unique(every, return_inverse=True)
+        total = np.bincount(i, np.concatenate([c for _, c in asked]), len(u)).astype(np.int64)
+        if order == 0:
+            n, v = int(total.sum()), int(np.count_nonzero(total))
+        cut = np.cumsum([0, *(len(h) for h, _ in asked)])
+        for w, a, b in zip(out, cut[:-1], cut[1:], strict=True):
+            w.squeezed(np.minimum(total[i[a:b]], 2**32 - 1).astype("<u4"))
+    return [w.bytes() for w in out], n, v
+
+
+class Automaton:
+    """The part of the automaton that a block's texts can reach.
+
+    States are the words and pairs seen in training, a start and the state without history. An
+    arc by a token was seen so often from its state (`arcs`, by order) and leads to the state of
+    the longest seen end of what was read. A state of history h, left n times, has a failure arc
+    of weight BACK / (n + BACK) to the state of h without its first word, and an arc seen c times
+    has (c + BACK * p) / (n + BACK), where p is the probability behind the failure arc. The state
+    without history has the add-one unigrams, with one class for all unknown words. So the arcs
+    of a state and what its failure arc leads to sum to 1 over all words.
+    """
+
+    def __init__(self, block: Block, arcs: list[np.ndarray], n: int, v: int, texts: int) -> None:
+        self.block, self.arcs, self.texts = block, arcs, texts
+        self.unigram = (arcs[0] + 1.0) / (n + v + 1.0)
+
+    def walk(self) -> np.ndarray:
+        """log10 probability of each token, read from left to right.
+
+        The state at a place follows from the two tokens before it, so the steps of all texts of
+        the block are taken together, one order at a time: where an arc leaves the state its
+        weight counts, else the failure arc is added and the step is tried from the state it
+        leads to.
+        """
+        b = self.block
+        p = self.unigram[b.ending[0]]
+        for order, back in ((1, BACK[0]), (2, BACK[1])):
+            # how often the state was left: its own n-gram's count, as each text ends with an end token
+            seen = self.arcs[order - 1][b.ending[order - 1]]
+            left = np.concatenate(([0], seen[:-1]))[: len(p)].astype(np.float64)
+            if order == 1:
+                left[b.first] = self.texts
+                taken = self.arcs[1][b.ending[1]]
+            else:
+                left[b.first] = 0  # the start has no longer history
+                taken = np.where(b.first, 0, np.append(self.arcs[2], 0)[b.ending[2]])
+            p = (taken + back * p) / (left + back)
+        return np.log10(p)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list, list]]:
@@ -157,38 +195,20 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
         yield part << 24 | k, ids, texts, train
 
 
-def _hot_words(rows: DataFrame) -> np.ndarray:
-    """Hashes of very common words: no more than 1 / HOT a task, and 2 / HOT in all.
-
-    They only decide how arcs are dealt to tasks, and change no result.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, _ = tokens(b.column(1).to_pylist())
-            u, c = np.unique(h, return_counts=True)
-            big = c >= max(2, HOT * len(h))
-            yield pa.RecordBatch.from_arrays([pa.array(u[big].view(np.int64)), pa.array(c[big], pa.int64()), pa.array(np.full(big.sum(), len(h)), pa.int64())], ["w", "c", "n"])
-
-    found = rows.mapInArrow(run, "w long, c long, n long").groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(int(2 / HOT)).collect()
-    return np.sort(np.array([r.w for r in found], np.int64).view(U64))
-
-
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Tokens are a text's words, A-Z lowered, and one end; a null text counts as empty. base_score
-    is the add-one unigram model's log10 probability, score that of the automaton: its states are
-    the words seen in training (and a start), an arc from u by w has probability
-    (c(u w) - DISCOUNT) / c(u) + back(u) * P(w) if u w was seen LEAST_PAIR times, and the failure
-    arc costs back(u), what the arcs leave of 1, on the way to the state without history, whose
-    arcs are the add-one unigrams with one class for all unknown words. Both sum to 1 over all
-    words. A text is traversed once from left to right; its sum is the score.
+    is the add-one unigram model's log10 probability, score that of the automaton (see Automaton)
+    of words, pairs and triples. A text is traversed once from left to right; the sum of its
+    steps is the score.
 
     The automaton is as large as the corpus asks for and never in one place. A block of texts
-    sends the words and pairs it holds, with counts, to buckets by hash; each bucket adds up its
-    own and answers every block on just these, so a block gets its part of the automaton and
-    scores its texts with it. Very common words' arcs are dealt by both words.
+    sends the n-grams it holds, with their counts in training texts, to buckets by hash; each
+    bucket adds up its own and answers every block on just these, so a block gets its part of the
+    automaton and walks its texts on it. An n-gram goes to its bucket by its own hash, so no
+    common word or pair gathers in one. Buckets follow the bytes of the texts, and a task holds
+    one at a time. Hashes are of 64 bits, of 58 for pairs and triples; equal ones count as one.
 
     docs must give the same rows in the same partitions when read twice, as files do (else store
     it first); a block checks that and fails rather than score wrongly. Repeated rows, equal ids
@@ -196,78 +216,73 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     make every word unknown. Columns besides id, text and those of train are not read.
     """
     spark = docs.sparkSession
+    # ids travel as text: pandas would make doubles of long ones beside a null
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).cast("binary").alias("t"), F.coalesce(train, F.lit(False)).alias("tr"))
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"), F.coalesce(train, F.lit(False)).alias("tr"))
-    hot = _hot_words(rows)
+    buckets = 1 << max(1, int(np.ceil(np.log2(max(2 * parts, size / BUCKET)))))
+    names = ["bucket", "block", "data", "texts"]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, texts, tr in _blocks(batches):
-            x = Block(texts, np.array(tr), hot, buckets)
-            for b, w, p in x.parts():
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block], pa.int64()), pa.array([x.request(w, p)], pa.binary())], ["bucket", "block", "data"])
+            x = Block(texts, np.array(tr))
+            n = x.train_texts
+            for b, own in x.parts(buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block], pa.int64()), pa.array([x.request(own)], pa.binary()), pa.array([n], pa.int64())], names)
+                n = 0
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, tuple[list, list]] = {}
-        for b in batches:
-            for bucket, block, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own = by.setdefault(bucket, ([], []))
-                own[0].append(block)
-                own[1].append(data)
-        for bucket in sorted(by):
-            blocks, blobs = by.pop(bucket)
-            replies, sums = _answers(np.array(blocks), blobs)
-            m = len(blocks)
-            h = sums["hot"]
-            yield pa.RecordBatch.from_arrays([pa.array([bucket] * m, pa.int32()), pa.array(blocks, pa.int64()), pa.array(replies, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([0.0]), pa.array([sums["tokens"]], pa.int64()), pa.array([sums["distinct"]], pa.int64())], names)
-            yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(h), pa.int32()), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.binary()), pa.array([x[0] for x in h], pa.int64()), pa.array([x[1] for x in h], pa.float64()), pa.array([int(x[2]) for x in h], pa.int64()), pa.nulls(len(h), pa.int64())], names)
-
-    names = ["bucket", "block", "data", "word", "mass", "n", "v"]
-    asked = rows.mapInArrow(ask, "bucket int, block long, data binary").repartition(parts, "bucket")
-    answered = stored(asked.mapInArrow(answer, "bucket int, block long, data binary, word long, mass double, n long, v long"), "answers")
-    total = answered.where("block is null and word is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    n_train, v_train = total.n or 0, total.v or 0
-    # at most 2 / HOT words and the start
-    hot_sums = {r.word: (r.mass, r.n) for r in answered.where("word is not null").groupBy("word").agg(F.sum("mass").alias("mass"), F.sum("n").alias("n")).collect()}
+        def flush() -> pa.RecordBatch:
+            replies, n, v = answers([x[1] for x in held])
+            first = [i == 0 for i in range(len(held))]
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(held), pa.int32()), pa.array([x[0] for x in held], pa.int64()), pa.array(replies, pa.binary()), pa.array([x[2] for x in held], pa.int64()), pa.array([n * f for f in first], pa.int64()), pa.array([v * f for f in first], pa.int64())], [*names, "n", "v"])
+
+        now, held = None, []
+        for batch in batches:
+            for bucket, block, data, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now and held:
+                    yield flush()
+                    held = []
+                now = bucket
+                held.append((block, data, texts))
+        if held:
+            yield flush()
+
+    asked = rows.mapInArrow(ask, "bucket int, block long, data binary, texts long").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    answered = stored(asked.mapInArrow(answer, "bucket int, block long, data binary, texts long, n long, v long"), "answers")
+    total = answered.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("texts").alias("texts")).first()
+    n_train, v_train, n_texts = total.n or 0, total.v or 0, total.texts or 0
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, texts, tr in _blocks(batches):
             for i in range(0, len(ids), 4096):
                 m = len(ids[i : i + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array([block] * m, pa.int64()), pa.array(range(i, i + m), pa.int32()), pa.array(ids[i : i + 4096], pa.int64()), pa.array(texts[i : i + 4096], pa.binary()), pa.array(tr[i : i + 4096], pa.bool_())], ["block", "at", "id", "t", "tr"])
+                yield pa.RecordBatch.from_arrays([pa.array([block] * m, pa.int64()), pa.array(range(i, i + m), pa.int32()), pa.array(ids[i : i + 4096], pa.string()), pa.array(texts[i : i + 4096], pa.binary()), pa.array(tr[i : i + 4096], pa.bool_())], ["block", "at", "id", "t", "tr"])
 
     def traverse(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        changed = "the documents changed between two reads; store them first"
         own = own.sort_values("at")
-        x = Block(own.t.tolist(), own.tr.to_numpy(bool), hot, buckets)
-        count, kept, arc = np.zeros(len(x.words)), np.zeros(len(x.words) + 1), np.zeros(len(x.pair_word))
+        tr = own.tr.to_numpy(bool)
+        x = Block(own.t.tolist(), tr)
+        arcs = [np.zeros(len(g)) for g in x.grams]
         got = dict(zip(replies.bucket, replies.data, strict=True))
-        for b, w, p in x.parts():
+        for b, part in x.parts(buckets):
             if b not in got:
-                raise RuntimeError("the documents changed between two reads; store them first")
-            r = _Reader(got.pop(b))
-            c, k, a = r.squeezed("<u4"), r.squeezed("<f8"), r.squeezed("<u4")
-            if len(c) != len(w) or len(a) != len(p):
-                raise RuntimeError("the documents changed between two reads; store them first")
-            count[w], kept[w], arc[p] = c, k, a
-        if (count < x.word_count).any():
-            raise RuntimeError("the documents changed between two reads; store them first")
-        seen = np.append(count, 0.0)
-        for i in np.flatnonzero(x.state_hot):
-            mass, n = hot_sums.get(int(x.names[i].astype(np.int64)), (0.0, 0))
-            kept[i] += mass  # the word's own bucket has counted what arcs fell there
-            if i == len(x.words):
-                seen[i] = n
-        unigram = (count + 1.0) / (n_train + v_train + 1.0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            back = np.where(seen > 0, 1.0 - kept / seen, 1.0)
-            direct = np.where(arc > 0, (arc - DISCOUNT) / seen[x.pair_state], 0.0)
-        by_pair = np.log10(direct + back[x.pair_state] * unigram[x.pair_word])
+                raise RuntimeError(changed)
+            r = Reader(got.pop(b))
+            for a, s in zip(arcs, part, strict=True):
+                c = r.squeezed("<u4")
+                if len(c) != s.stop - s.start:
+                    raise RuntimeError(changed)
+                a[s] = c
+        if got or any((a < c).any() for a, c in zip(arcs, x.count, strict=True)):
+            raise RuntimeError(changed)
+        m = Automaton(x, arcs, n_train, v_train, n_texts)
         sums = lambda v: np.add.reduceat(v, x.starts)
-        return pd.DataFrame({"doc_id": own.id.astype("Int64").to_numpy() if own.id.isna().any() else own.id.to_numpy(), "held_out": ~own.tr.to_numpy(bool), "n_tokens": x.n, "n_known": sums((count > 0)[x.word].astype(np.int64)), "train_tokens": n_train, "base_score": sums(np.log10(unigram)[x.word]), "score": sums(by_pair[x.pair])})
-
-    texts = rows.mapInArrow(tag, "block long, at int, id long, t binary, tr boolean")
-    replies = answered.where("block is not null").select("block", "bucket", "data")
-    return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(traverse, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
+        word = x.ending[0]
+        return pd.DataFrame({"doc_id": own.id.to_numpy(), "held_out": ~tr, "n_tokens": x.n, "n_known": sums((arcs[0] > 0)[word].astype(np.int64)), "train_tokens": n_train, "base_score": sums(np.log10(m.unigram)[word]), "score": sums(m.walk())})
 
+    texts = rows.mapInArrow(tag, "block long, at int, id string, t binary, tr boolean")
+    replies = answered.select("block", "bucket", "data")
+    out = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(traverse, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))

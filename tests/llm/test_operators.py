@@ -114,37 +114,6 @@ def test_repeats_long_text(spark, monkeypatch):
     assert set(left["doc"]) == {1, 2} and len(spans) == 3
 
 
-def test_automaton(docs, none):
-    train = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
-    got = {r.doc_id: r for r in lm.score(docs, train).collect()}
-    toks = {r[0]: (r[1] or "").encode().lower().split() + [None] for r in ROWS}
-    own = {k: zlib.crc32(str(k).encode()) % 7 != 2 for k in toks}
-    c = collections.Counter(w for k, t in toks.items() if own[k] for w in t)
-    n, v = sum(c.values()), len(c)
-    pair = collections.Counter(p for k, t in toks.items() if own[k] for p in zip(["<s>", *t], t))
-    hist, mass = collections.Counter(), collections.Counter()
-    for (u, _), k in pair.items():
-        hist[u] += k
-        mass[u] += k - 0.75 if k >= 2 else 0
-
-    def p(u, w):
-        low = (c[w] + 1) / (n + v + 1)
-        if not hist[u]:
-            return low
-        return (pair[u, w] - 0.75 if pair[u, w] >= 2 else 0) / hist[u] + (1 - mass[u] / hist[u]) * low
-
-    for k, t in toks.items():
-        g = got[k]
-        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (not own[k], len(t), sum(c[w] > 0 for w in t), n)
-        assert math.isclose(g.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
-        assert math.isclose(g.score, sum(math.log10(p(u, w)) for u, w in zip(["<s>", *t], t)), rel_tol=1e-9)
-    for u in ["<s>", "w1", "unseen"]:  # arcs and failure arc sum to one over all words
-        u = u if u == "<s>" else u.encode()
-        assert math.isclose(sum(p(u, w) for w in c) + p(u, "unknown"), 1.0, rel_tol=1e-9)
-    assert lm.score(none, train).count() == 0
-    assert lm.score(docs, F.lit(False)).agg(F.sum("n_known")).first()[0] == 0
-
-
 def test_language_id(spark, none):
     rows = []
     alphabets = {"aa": "abcde ", "bb": "vwxyz ", "cc": "кирлц "}
