@@ -26,7 +26,7 @@ _Z = pa.Codec("zstd", 1)
 
 
 class Writer:
-    """Sorted hashes and counts, packed: differences in as few bytes as the largest needs."""
+    """Sorted hashes and counts, packed: of differences the low 4 bytes as they are, what is above compressed."""
 
     def __init__(self) -> None:
         self.parts: list[bytes] = []
@@ -38,8 +38,8 @@ class Writer:
 
     def hashes(self, h: np.ndarray, shift: int) -> None:
         d = np.diff(h >> U64(shift), prepend=U64(0))
-        width = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
-        self.parts += [np.array([len(d), width], "<u4").tobytes(), d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()]
+        self.parts += [np.array([len(d)], "<u4").tobytes(), d.astype("<u4").tobytes()]
+        self.squeezed(np.ascontiguousarray((d >> U64(32)).astype("<u4").view(np.uint8).reshape(-1, 4).T))
 
     def bytes(self) -> bytes:
         return b"".join(self.parts)
@@ -61,10 +61,10 @@ class Reader:
         return out
 
     def hashes(self, shift: int) -> np.ndarray:
-        n, width = (int(x) for x in self.plain("<u4", 2))
-        d = np.zeros((n, 8), np.uint8)
-        d[:, :width] = self.plain("u1", n * width).reshape(n, width)
-        return np.cumsum(d.view("<u8").ravel().astype(U64), dtype=U64) << U64(shift)
+        n = int(self.plain("<u4", 1)[0])
+        low = self.plain("<u4", n).astype(U64)
+        high = np.ascontiguousarray(self.squeezed("u1").reshape(4, n).T).view("<u4").ravel().astype(U64)
+        return np.cumsum(low | high << U64(32), dtype=U64) << U64(shift)
 
 
 class Block:
