@@ -15,6 +15,8 @@ from lexspark.llm._common import CHUNK, R1, R2, U64, chunked, mix, powers, store
 
 #: Bytes of the strings that make an anchor.
 GRAM = 32
+#: Bytes of text for each bucket of anchors.
+BUCKET = 16 << 20
 #: Anchors gathered in a task before repeats among them are taken out.
 FLUSH = 1 << 20
 #: Windows sorted at once.
@@ -201,7 +203,9 @@ def window_repeats(k: np.ndarray, doc: np.ndarray, s: np.ndarray, r: np.ndarray,
 
 def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
     """(doc, tie, s, e): bytes of rows(doc long, tie long, t binary) covered by width-byte strings seen earlier."""
-    buckets = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    buckets = max(8 * parts, -(-size // BUCKET))  # one is held at a time
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -237,12 +241,31 @@ def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "tie", "s", "e", "r", "n", "k"]
-        held, ties = [], []
+        held: list[np.ndarray] = []
+        ties: list[np.ndarray] = []
+        now = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            x = np.concatenate(held)
+            x["doc"], by_doc, by_tie = ranked(x["doc"], np.concatenate(ties))
+            held.clear()
+            ties.clear()
+            x, (doc, s, e) = split_repeats(x, width)
+            yield pa.RecordBatch.from_arrays([pa.array(by_doc[doc]), pa.array(by_tie[doc]), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.int64())], names)
+            same = x["k"][1:] == x["k"][:-1]
+            x = x[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(x) > 1 else x[:0]
+            yield pa.RecordBatch.from_arrays([pa.array(by_doc[x["doc"]]), pa.array(by_tie[x["doc"]]), pa.array(x["s"].astype(np.int64)), pa.nulls(len(x), pa.int64()), pa.array(x["r"].astype(np.int32)), pa.array(x["n"].astype(np.int32)), pa.array(x["k"].view(np.int64))], names)
+
         for b in batches:
             known = b.filter(pa.compute.is_valid(b.column(2)))
             if len(known):
                 yield pa.RecordBatch.from_arrays([known.column(2), known.column(3), known.column(4), known.column(5), pa.nulls(len(known), pa.int32()), pa.nulls(len(known), pa.int32()), pa.nulls(len(known), pa.int64())], names)
-            for blob in b.column(1).drop_null():
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if not blob.is_valid:
+                    continue
+                if bucket != now and held:
+                    yield from flush()
+                now = bucket
                 raw = blob.as_buffer()
                 m = len(raw) // (np.dtype(_ANCHOR).itemsize + 8)
                 x, at = np.empty(m, _ANCHOR), 0
@@ -251,20 +274,10 @@ def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
                     at += m * np.dtype(t).itemsize
                 held.append(x)
                 ties.append(np.frombuffer(raw, np.int64, m, at))
-        if not held:
-            return
-        x = np.concatenate(held)
-        x["doc"], by_doc, by_tie = ranked(x["doc"], np.concatenate(ties))
-        x, (doc, s, e) = split_repeats(x, width)
-        held.clear()
-        ties.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(by_doc[doc]), pa.array(by_tie[doc]), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.int64())], names)
-        same = x["k"][1:] == x["k"][:-1]
-        x = x[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(x) > 1 else x[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(by_doc[x["doc"]]), pa.array(by_tie[x["doc"]]), pa.array(x["s"].astype(np.int64)), pa.nulls(len(x), pa.int64()), pa.array(x["r"].astype(np.int32)), pa.array(x["n"].astype(np.int32)), pa.array(x["k"].view(np.int64))], names)
+        if held:
+            yield from flush()
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.mapInArrow(scan, "bucket int, blob binary, doc long, tie long, s long, e long").repartition(parts, "bucket")
+    dealt = rows.mapInArrow(scan, "bucket int, blob binary, doc long, tie long, s long, e long").repartition(parts, "bucket").sortWithinPartitions("bucket")
     found = stored(dealt.mapInArrow(gather, "doc long, tie long, s long, e long, r int, n int, k long"), "anchors")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,18 +296,34 @@ def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(lead, pa.binary()), pa.array(seg, pa.binary()), pa.array(doc, pa.int64()), pa.array(tie, pa.int64()), pa.array(s, pa.int64()), pa.array(r, pa.int32()), pa.array(n, pa.int32()), pa.array(k, pa.int64())], ["lead", "seg", "doc", "tie", "s", "r", "n", "k"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        col = lambda c: t.column(c).to_numpy()
-        own, by_doc, by_tie = ranked(col("doc"), col("tie"))
-        doc, s, e = window_repeats(col("k"), own, col("s"), col("r"), col("n"), t.column("seg").to_pylist(), width)
-        yield pa.RecordBatch.from_arrays([pa.array(by_doc[doc]), pa.array(by_tie[doc]), pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["doc", "tie", "s", "e"])
+        """Anchors come sorted, so those of a bucket's next WINDOWS places are held, up to the end of an anchor."""
+
+        def flush(t: pa.Table) -> pa.RecordBatch:
+            col = lambda c: t.column(c).to_numpy()
+            own, by_doc, by_tie = ranked(col("doc"), col("tie"))
+            doc, s, e = window_repeats(col("k"), own, col("s"), col("r"), col("n"), t.column("seg").to_pylist(), width)
+            return pa.RecordBatch.from_arrays([pa.array(by_doc[doc]), pa.array(by_tie[doc]), pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["doc", "tie", "s", "e"])
+
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            k = b.column("k").to_numpy()
+            cut = np.flatnonzero(k[1:] != k[:-1])
+            if held and sum(map(len, held)) >= WINDOWS:
+                last = held[-1].column("k")[-1].as_py()
+                end = 0 if len(k) and k[0] != last else int(cut[0]) + 1 if len(cut) else len(b)
+                held.append(b.slice(0, end))
+                if end < len(b):
+                    yield flush(pa.Table.from_batches(held))
+                    held = []
+                b = b.slice(end)
+            if len(b):
+                held.append(b)
+        if held:
+            yield flush(pa.Table.from_batches(held))
 
     open_ = found.where("k is not null").groupBy("doc", "tie").agg(F.collect_list(F.struct("s", "r", "n", "k")).alias("places"))
     suffixes = rows.join(open_, ["doc", "tie"]).select("doc", "tie", "t", "places").mapInArrow(cut, "lead binary, seg binary, doc long, tie long, s long, r int, n int, k long")
-    late = suffixes.repartitionByRange(parts, "lead").mapInArrow(compare, "doc long, tie long, s long, e long")
+    late = suffixes.repartitionByRange(parts, "lead").sortWithinPartitions("lead", "k").mapInArrow(compare, "doc long, tie long, s long, e long")
     return found.where("k is null").select("doc", "tie", "s", "e").unionByName(late)
 
 

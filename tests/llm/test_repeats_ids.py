@@ -28,3 +28,23 @@ def test_order_among_rows_without_id(spark):
     rows = [(None, part + str(i) * 30) for i in range(5)]
     got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(r.n_removed for r in got) == [0] + [400] * 4
+
+
+def test_small_buckets_and_windows(spark, monkeypatch):
+    """Anchors held in many small pieces give the bytes of brute force."""
+    for name, value in (("BUCKET", 500), ("WINDOWS", 3), ("FLUSH", 50)):
+        monkeypatch.setattr(suffixes, name, value)
+    rnd = random.Random(6)
+    text = lambda n: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
+    parts = [text(rnd.randrange(90, 300)) for _ in range(6)]
+    rows = [(i, "".join(rnd.choice(parts)[rnd.randrange(20) :] + text(rnd.randrange(0, 60)) for _ in range(4))) for i in range(40)]
+    seen, want = set(), {}
+    for i, t in rows:
+        gone = [False] * len(t)
+        for at in range(len(t) - 99):
+            if t[at : at + 100] in seen:
+                gone[at : at + 100] = [True] * 100
+            seen.add(t[at : at + 100])
+        want[i] = "".join(c for c, g in zip(t, gone, strict=True) if not g)
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: bytes(r.kept).decode() for r in got} == want
