@@ -154,3 +154,25 @@ def morph_definition(relation: Column, base: Column) -> Column:
     words = F.replace(relation, F.lit("_"), F.lit(" "))
     other = F.concat(F.upper(F.substring(words, 1, 1)), F.lower(F.substring(words, F.lit(2), F.char_length(words))), F.lit(" of "), base, F.lit("."))
     return F.coalesce(known, other)
+
+
+def chunks(text: Column, most: int) -> Column:
+    """The text in pieces of up to most characters, cut after the last space that fits; joined, they are the text."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{most}}}\z|.{{0,{most - 1}}} |.{{1,{most}}}"), F.lit(0))
+
+
+def sense_key(index: Column) -> Column:
+    """The key, from 1, of a sense's place, from 0."""
+    return (index + 1).cast("string")
+
+
+def sense_index(key: Column) -> Column:
+    """The place, from 0, of a key; null for one that is no number from 1."""
+    n = F.trim(key).try_cast("int")
+    return F.when(n >= 1, n - 1)
+
+
+def content_int(text: Column) -> Column:
+    """The first 8 bytes of the SHA-256, least significant first, as a signed integer."""
+    h = F.sha2(text, 256)
+    return F.conv(F.concat(*[F.substring(h, i, 2) for i in range(15, 0, -2)]), 16, -10).cast("long")

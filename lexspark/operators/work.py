@@ -89,3 +89,11 @@ def critic_groups(labels: DataFrame, senses: DataFrame, least: int = 5, most: in
 def chunks(rows: DataFrame, order: list[str], size: int = 50_000) -> DataFrame:
     """Rows with custom_id, counted from 0 in order, and their chunk."""
     return numbered(rows, order, "custom_id").withColumn("chunk", F.floor(F.col("custom_id") / size))
+
+
+def pinned(pins: DataFrame, existing: DataFrame, group: list[str], key: list[str]) -> DataFrame:
+    """Of each group's pins those that exist; all of them where none does."""
+    both = pins.select(*group, *key).intersect(existing.select(*group, *key)).withColumn("there", F.lit(True))
+    some = both.select(*group).distinct().withColumn("some", F.lit(True))
+    x = pins.join(both, [*group, *key], "left").join(some, group, "left")
+    return x.where("there or some is null").drop("there", "some")

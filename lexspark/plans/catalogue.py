@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
-from lexspark.operators import dedup, index, mwe, ranking, state, stats, work
+from lexspark.operators import batch, dedup, index, jobs, mwe, ranking, review, state, stats, work
 from lexspark.plans import derived as T
 from lexspark.plans.derived import BASE
+from lexspark.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -813,3 +814,97 @@ def viewer_word(s: SparkSession, d: str) -> DataFrame:
 def union_sources(s: SparkSession, d: str) -> DataFrame:
     c = s.read.parquet(f"{d}/conversations.parquet").groupBy(F.col("conv_id").alias("id")).agg(F.count("*").alias("n"))
     return c.unionByName(T.docs(s, d).select((-1 - F.col("doc_id")).alias("id"), F.lit(1).cast("long").alias("n")))
+
+
+# --- batches, reviews, queues ----------------------------------------------------------------
+
+_REQUESTS = """, m AS (SELECT form, '["' || string_agg(definition, '","' ORDER BY position) || '"]' AS menu, max(position) AS n FROM s GROUP BY form),
+r AS (SELECT form, doc_id, byte_offset, menu, n, row_number() OVER (ORDER BY form, doc_id, byte_offset) - 1 AS custom_id FROM l JOIN m USING (form) WHERE rating = 0)"""
+
+
+def _requests(s: SparkSession, d: str) -> DataFrame:
+    return batch.requests(T.labels(s, d).where("rating = 0"), T.senses(s, d), 5000)
+
+
+@query(_REQUESTS + """ SELECT custom_id, custom_id // 5000 AS chunk, form, doc_id, byte_offset, '{"custom_id":"r-' || custom_id || '","form":"' || form || '","senses":' || menu || '}' AS request FROM r""")
+def batch_requests(s: SparkSession, d: str) -> DataFrame:
+    return _requests(s, d)
+
+
+def _replies(x: DataFrame) -> DataFrame:
+    """What a service might send back: every 7th broken, senses from 0 to 3, one id in 11 unknown."""
+    body = F.when(F.col("custom_id") % 7 == 0, "{oops").otherwise(F.to_json(F.struct((F.col("custom_id") % 4).cast("int").alias("sense"), (F.col("custom_id") % 3).cast("int").alias("rating"))))
+    return x.select(F.when(F.col("custom_id") % 11 == 0, -1 - F.col("custom_id")).otherwise(F.col("custom_id")).alias("custom_id"), body.alias("body"))
+
+
+@query(_REQUESTS + " SELECT form, doc_id, byte_offset, CASE WHEN custom_id % 4 = 0 THEN '0' ELSE form || '#' || (custom_id % 4) END AS sense_key, (custom_id % 3)::INT AS rating FROM r WHERE custom_id % 7 <> 0 AND custom_id % 11 <> 0 AND custom_id % 4 <= n")
+def batch_ingest_labels(s: SparkSession, d: str) -> DataFrame:
+    x = _requests(s, d)
+    return batch.labels(batch.outcomes(_replies(x), x, T.senses(s, d)))
+
+
+@query(""", f AS (SELECT form, length(form) % 3 AS k FROM v) SELECT form, 'rewrite' AS op, 1 AS position, 'new' AS arg FROM f WHERE k = 0 UNION ALL SELECT form, 'skipped', 3, NULL FROM f WHERE k = 0
+UNION ALL SELECT form, unnest(['delete_entry', 'blocklist']), 0, 'why' FROM f WHERE k = 1 UNION ALL SELECT form, 'rejected', 0, NULL FROM f WHERE k = 2""")
+def review_apply_events(s: SparkSession, d: str) -> DataFrame:
+    k = F.char_length("form") % 3
+    ops = F.when(k == 0, F.expr("array(named_struct('op', 'rewrite', 'position', 1, 'arg', 'new'), named_struct('op', 'prune', 'position', 3, 'arg', cast(null as string)))"))
+    ops = ops.when(k == 1, F.expr("array(named_struct('op', 'delete_entry', 'position', cast(null as int), 'arg', 'why'))"))
+    ops = ops.otherwise(F.expr("array(named_struct('op', 'delete_entry', 'position', cast(null as int), 'arg', 'x'), named_struct('op', 'prune', 'position', 1, 'arg', 'y'))"))
+    return review.events(T.vocab(s, d).select("form", ops.alias("ops")), T.senses(s, d)).fillna(0, ["position"])
+
+
+@query(_PLACES + ", r AS (SELECT form, doc_id, byte_offset, row_number() OVER (PARTITION BY form ORDER BY md5('ind|' || doc_id || '|' || byte_offset), doc_id, byte_offset) AS rank FROM l) SELECT p.form, doc_id, p.byte_offset, substr(text, greatest(a - 30, 0) + 1, a - greatest(a - 30, 0)) || p.form || substr(text, a + length(p.form) + 1, 30) AS context FROM p JOIN r USING (doc_id, byte_offset) JOIN documents USING (doc_id) WHERE rank <= 20")
+def induction_contexts(s: SparkSession, d: str) -> DataFrame:
+    refs = work.uniform_sample(T.labels(s, d).select("form", "doc_id", "byte_offset"), ["form"], 20, "ind", ["doc_id", "byte_offset"]).drop("rank")
+    x = index.in_context(T.docs(s, d), 30).select("form", "doc_id", "byte_offset", F.concat("left", "form", "right").alias("context"))
+    return x.join(refs, _K)
+
+
+@query(", r AS (SELECT form, doc_id, byte_offset, row_number() OVER (PARTITION BY form ORDER BY md5('pins|' || doc_id || '|' || byte_offset), doc_id, byte_offset) AS rank FROM l), p AS (SELECT form, doc_id FROM r WHERE rank <= 3 GROUP BY 1, 2), b AS (SELECT form, doc_id FROM p INTERSECT SELECT form, doc_id FROM l WHERE rating = 2 AND doc_id % 2 = 0) SELECT form, doc_id FROM p WHERE (form, doc_id) IN (SELECT (form, doc_id) FROM b) OR form NOT IN (SELECT form FROM b)")
+def pinned_refs(s: SparkSession, d: str) -> DataFrame:
+    x = T.labels(s, d)
+    pins = work.uniform_sample(x.select("form", "doc_id", "byte_offset"), ["form"], 3, "pins", ["doc_id", "byte_offset"]).select("form", "doc_id").distinct()
+    return work.pinned(pins, x.where("rating = 2 and doc_id % 2 = 0"), ["form"], ["doc_id"])
+
+
+@query(r"SELECT doc_id, unnest(c) AS chunk, generate_subscripts(c, 1)::INT - 1 AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s).{1,200}\z|.{0,199} |.{1,200}') AS c FROM documents)", base=False)
+def text_chunks(s: SparkSession, d: str) -> DataFrame:
+    return T.docs(s, d).select("doc_id", F.posexplode(X.chunks(F.col("text"), 200)).alias("i", "chunk"))
+
+
+@query("SELECT id, position::VARCHAR AS key, (position - 1)::INT AS place, -1 AS bad FROM s")
+def sense_key_codec(s: SparkSession, d: str) -> DataFrame:
+    key = X.sense_key(F.col("position") - 1)
+    return T.senses(s, d).select("id", key.alias("key"), X.sense_index(F.concat(F.lit(" "), key)).alias("place"), F.coalesce(X.sense_index(F.lit("0")), F.lit(-1)).alias("bad"))
+
+
+@query("SELECT doc_id, CASE WHEN u >= 9223372036854775808 THEN (u::HUGEINT - 18446744073709551616)::BIGINT ELSE u::BIGINT END AS h FROM (SELECT doc_id, ('0x' || substr(x, 15, 2) || substr(x, 13, 2) || substr(x, 11, 2) || substr(x, 9, 2) || substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2))::UBIGINT AS u FROM (SELECT doc_id, sha256(text) AS x FROM documents))", base=False)
+def content_int(s: SparkSession, d: str) -> DataFrame:
+    return T.docs(s, d).select("doc_id", X.content_int(F.col("text")).alias("h"))
+
+
+@query("SELECT event_type, round(avg(epoch_us(n) - epoch_us(ts)) / 1e6, 3) AS mean_seconds, count(n) AS runs FROM (SELECT event_type, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) GROUP BY 1", base=False)
+def mean_duration(s: SparkSession, d: str) -> DataFrame:
+    e = s.read.parquet(f"{d}/events.parquet").withColumn("n", F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    took = F.unix_micros(F.col("n").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    return e.groupBy("event_type").agg(F.round(F.avg(took) / 1e6, 3).alias("mean_seconds"), F.count("n").alias("runs"))
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id > 499 THEN 'pending' WHEN event_type = 'error' THEN 'failed' WHEN event_id % 10 = 3 THEN 'claimed' ELSE 'done' END AS state FROM events", base=False)
+def queue_states(s: SparkSession, d: str) -> DataFrame:
+    """The first 500 jobs are claimed; all of these but a tenth are settled, errors as failures."""
+    e = s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), "event_type")
+    q = jobs.claim(jobs.enqueue(s.createDataFrame([], "id long, state string, error string"), e), 500)
+    out = e.where("id % 10 <> 3 or event_type = 'error'").select("id", F.when(F.col("event_type") == "error", "error").alias("error"))
+    return jobs.settle(q, out).select("id", "state")
+
+
+@query("SELECT form, CASE WHEN regexp_matches(lower(form), '^[a-z]') THEN left(lower(form), 1) || '/' || left(lower(form), 2) ELSE 'special' END AS bucket FROM v")
+def export_forms(s: SparkSession, d: str) -> DataFrame:
+    return T.vocab(s, d).select("form", sinks.bucket(F.col("form")).alias("bucket"))
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM l WHERE rating = 2 GROUP BY doc_id HAVING count(*) >= 20)")
+def needed_docs(s: SparkSession, d: str) -> DataFrame:
+    need = T.labels(s, d).where("rating = 2").groupBy("doc_id").agg(F.count("*").alias("n")).where("n >= 20")
+    return T.docs(s, d).select("doc_id", "n_chars").join(need, "doc_id", "left_semi")
