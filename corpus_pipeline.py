@@ -13,27 +13,42 @@ from lexspark.llm._common import shared_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the rules or whose host does."""
+    """Drops documents that fail the rules or whose host does.
+
+    Null and empty texts fail; a null source is a host of its own; repeated rows and null ids are
+    rows like others; other columns are kept as they are; an empty table stays empty.
+    """
     return host_rules.keep(docs)
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is not recognised."""
+    """Drops documents whose language is not recognised, null texts and those without a letter too.
+
+    The models learn from the documents given; ties go to the first name of a language. Repeated
+    rows share a verdict; if no row names a language, none is kept.
+    """
     return langid.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near-duplicates (five-word shingles, 0.8)."""
+    """Keeps the first document of each group of near-duplicates (five-word shingles, 0.8).
+
+    Texts without words and rows without an id stay; rows of one id stay or go together.
+    """
     return minhash.keep_one(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out passages that occur earlier; what that cuts inside a character is dropped."""
+    """Takes out passages that occur earlier; what that cuts inside a character is dropped.
+
+    No row goes; a text that repeats whole is left empty and a null one null. Rows of one id, or
+    of none, are documents of their own unless their texts are equal too.
+    """
     return suffixes.without_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places every document's tokens in training sequences."""
+    """Places every document's tokens in training sequences; an empty text has its end token."""
     return packing.pack(docs)
 
 
