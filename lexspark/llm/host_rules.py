@@ -12,34 +12,45 @@ MIN_WORDS = 50
 MAX_HOST_RATE = 0.6
 DEVIATIONS = 2.0
 SYMBOLS = r"[#*$%&|<>]"
+#: The hash of the window at i.
+HASH = "xxhash64(w[i], w[i + 1], w[i + 2])"
+_WORDS = ("w[{0}]", "w[{0} + 1]", "w[{0} + 2]")
+_PLACE = "cast({0} & (shiftleft(1L, b) - 1L) as int)"
+_SAME = "shiftright(sorted[i], b) = shiftright(sorted[i + 1], b)"
+#: Adds up the words that the windows at the sorted places {0} cover.
+_COVER = """
+aggregate({0}, named_struct('last', -9L, 'sum', 0L),
+          (s, p) -> named_struct('last', p, 'sum', s.sum + least(3L, p - s.last)), s -> s.sum)
+"""
 
 
-#: Words inside 3-word windows that occur twice or more, from w (words), n (their number), b
-#: (bits for a position) and sorted (a long a window: its hash above, its position in b bits).
-#: Sorting puts windows of one hash side by side; texts under 4 million words leave 41 bits of it.
-#: Windows count as equal only if their three words are; the two next on each side are looked at,
-#: so that one other window of the same hash between two equal ones does not part them.
-WINDOWS = "sort_array(transform(sequence(0, n - 3), i -> shiftleft(shiftright(xxhash64(w[i], w[i + 1], w[i + 2]), b), b) | cast(i as bigint)))"
-_PLACE = "cast({0} & (shiftleft(1L, b) - 1L) as int)"
+def _windows() -> str:
+    """SQL: a long for each window of w (n words), sorted: its hash above, its place in b bits."""
+    return f"sort_array(transform(sequence(0, n - 3), i -> shiftleft(shiftright({HASH}, b), b) | cast(i as bigint)))"
 
 
-def _equal(at: int) -> str:
-    """SQL: whether the window x and the one that is `at` places from it in sorted are equal."""
-    other, inside = f"sorted[i + {at}]", f"i >= {-at}" if at < 0 else f"i < n - 2 - {at}"
-    p, q = _PLACE.format("x"), _PLACE.format(other)
-    words = " and ".join(f"w[{p} + {k}] = w[{q} + {k}]" for k in range(3))
-    return f"({inside} and shiftright({other}, b) = shiftright(x, b) and {words})"
+def _collided() -> str:
+    """SQL: whether two windows of one hash differ in a word. If none do, equal hashes mean equal windows."""
+    p, q = _PLACE.format("sorted[i]"), _PLACE.format("sorted[i + 1]")
+    words = " and ".join(f"{x.format(p)} = {x.format(q)}" for x in _WORDS)
+    return f"exists(sequence(0, n - 4), i -> {_SAME} and not ({words}))"
 
 
-REPEATED = f"""
-aggregate(
-  sort_array(filter(
-    transform(sorted, (x, i) -> if({" or ".join(_equal(k) for k in (-1, 1, -2, 2))}, x & (shiftleft(1L, b) - 1L), -1L)),
-    p -> p >= 0)),
-  named_struct('last', -9L, 'sum', 0L),
-  (s, p) -> named_struct('last', p, 'sum', s.sum + least(3L, p - s.last)),
-  s -> s.sum)
-"""
+def _repeated() -> str:
+    """SQL: the words inside 3-word windows that occur twice or more, from sorted.
+
+    Sorting puts windows of one hash side by side. Where hashes collide (texts under 4 million
+    words leave 41 bits of one), the windows are sorted by their words instead.
+    """
+    twins = f"transform(sorted, (x, i) -> if((i > 0 and {_SAME.replace('i + 1', 'i - 1')}) or (i < n - 3 and {_SAME}), x & (shiftleft(1L, b) - 1L), -1L))"
+    named = ", ".join(f"{x.format('i')} as {k}" for x, k in zip(_WORDS, "xyz", strict=True))
+    by_words = f"sort_array(transform(sequence(0, n - 3), i -> struct({named}, cast(i as bigint) as at)))"
+    same = " and ".join(f"u[i].{k} = u[{{0}}].{k}" for k in "xyz")
+    exact = f"transform(u, (x, i) -> if((i > 0 and {same.format('i - 1')}) or (i < n - 3 and {same.format('i + 1')}), x.at, -1L))"
+    # a lambda over an array of one element names the sorted windows, so that they are sorted once
+    exact = f"transform(array({by_words}), u -> {exact})[0]"
+    cover = [_COVER.format(f"sort_array(filter({places}, p -> p >= 0))") for places in (exact, twins)]
+    return f"case when n < 4 then 0L when {_collided()} then {cover[0]} else {cover[1]} end"
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -60,8 +71,8 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         }
     )
     df = df.withColumn("b", F.ceil(F.log2(F.greatest(F.col("n"), F.lit(2)).cast("double"))).cast("int") + 1)
-    df = df.withColumn("sorted", F.when(F.col("n") >= 4, F.expr(WINDOWS)))
-    df = df.withColumn("n_repeat_words", F.coalesce(F.expr(REPEATED), F.lit(0).cast("long")))
+    df = df.withColumn("sorted", F.when(F.col("n") >= 4, F.expr(_windows())))
+    df = df.withColumn("n_repeat_words", F.expr(_repeated()))
     # a filter on base_failed must not move below the columns it needs: it would compute them once
     # for each of their uses, inside the lambdas too; one that is not deterministic stays
     df = df.withColumn("part", F.spark_partition_id())

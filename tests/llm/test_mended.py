@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexspark.llm import embeddings, host_rules, langid, sharding
@@ -77,10 +78,10 @@ def test_slots_do_not_follow_the_file_split(spark, tmp_path):
     assert max(load.values()) - min(load.values()) <= max(size.values())
 
 
-def test_equal_hashes_are_not_equal_windows(spark, monkeypatch):
-    weak = host_rules.WINDOWS.replace("xxhash64(w[i], w[i + 1], w[i + 2])", "shiftleft(pmod(xxhash64(w[i], w[i + 1], w[i + 2]), 500L), 40)")
-    assert weak != host_rules.WINDOWS
-    monkeypatch.setattr(host_rules, "WINDOWS", weak)
+@pytest.mark.parametrize("kinds", [1, 3, 500])
+def test_equal_hashes_are_not_equal_windows(spark, monkeypatch, kinds):
+    weak = f"shiftleft(pmod({host_rules.HASH}, {kinds}L), 40)"
+    monkeypatch.setattr(host_rules, "HASH", weak)
     texts = [" ".join(f"w{rnd.randrange(k)}" for _ in range(n)) for n, k in [(60, 1000), (80, 30), (100, 12), (3, 2), (4, 1), (5, 1), (90, 4)] for _ in range(6)]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("h"))
     got = {r.doc_id: r.n_repeat_words for r in host_rules.judge(d).collect()}
