@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 TRIES = 3
 #: What an answer must hold, by task.
-SCHEMAS = {"label": "sense int, rating int", "senses": "senses array<struct<definition:string, pos:string>>", "covered": "all_covered boolean", "critic": "ok boolean, reason string"}
+SCHEMAS = {"label": "sense int, rating int", "senses": "senses array<struct<definition:string, pos:string>>", "covered": "all_covered boolean", "critic": "ok boolean, reason string", "pos": "pos string"}
+#: A model: from a batch of prompts to an answer for each.
+Model = Callable[[list[str]], list[str]]
 
 
 def label_prompt(form: Column, menu: Column, context: Column) -> Column:
@@ -25,6 +27,16 @@ def sense_prompt(form: Column, contexts: Column, known: Column) -> Column:
     return F.concat(F.lit("Define the senses of the word that the known ones leave out.\nWord: "), form, F.lit("\nKnown:\n"), F.array_join(known, "\n"), F.lit("\nTexts:\n"), F.array_join(contexts, "\n"), F.lit('\nAnswer as JSON: {"senses": [{"definition": text, "pos": text}]}'))
 
 
+def pos_prompt(form: Column, definition: Column, contexts: Column, known: tuple[str, ...]) -> Column:
+    """Asks for the part of speech of a sense, one of those known."""
+    return F.concat(F.lit(f"Which part of speech is it: {', '.join(known)}?\nWord: "), form, F.lit("\nSense: "), definition, F.lit("\nTexts:\n"), F.array_join(contexts, "\n"), F.lit('\nAnswer as JSON: {"pos": text}'))
+
+
+def critic_prompt(form: Column, definition: Column, question: Column) -> Column:
+    """Asks a yes or no question on a sense."""
+    return F.concat(question, F.lit("\nWord: "), form, F.lit("\nSense: "), definition, F.lit('\nAnswer as JSON: {"ok": true or false, "reason": text}'))
+
+
 def found_json(answer: str) -> str | None:
     """The JSON object of an answer: all of it, what a fence holds, or the first object that can be read."""
     fence = re.search(r"```(?:json)?\s*(.*?)```", answer, re.S)
@@ -44,7 +56,7 @@ def found_json(answer: str) -> str | None:
     return None
 
 
-def ask(rows: DataFrame, ask_model: Callable[[list[str]], list[str]], schema: str, prompt: str = "prompt", tries: int = TRIES) -> DataFrame:
+def ask(rows: DataFrame, ask_model: Model, schema: str, prompt: str = "prompt", tries: int = TRIES) -> DataFrame:
     """rows with the answer to their prompt, as a struct of the schema; null where no try gave one.
 
     ask_model takes a batch of prompts in a task; those without readable JSON are asked again, up

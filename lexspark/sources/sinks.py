@@ -62,3 +62,35 @@ def merged(*parts: DataFrame, key: str = "form", order: str = "updated_at") -> D
     for p in parts[1:]:
         x = x.unionByName(p)
     return x.groupBy(key).agg(F.max_by(F.struct(*x.columns), F.struct(order, F.xxhash64(*x.columns))).alias("e")).select("e.*")
+
+
+def log_new(events: DataFrame, path: str, key: str = "id", at: str = "created_at") -> None:
+    """Adds the events that the log at path lacks, by month of their time (`unknown` for none), in order of it."""
+    spark = events.sparkSession
+    new = events.dropDuplicates([key])
+    if _exists(spark, path):
+        logged = spark.read.schema(new.select(key).schema).json(path)
+        new = new.join(logged, key, "left_anti")
+    new = new.withColumn("month", F.coalesce(F.date_format(at, "yyyy-MM"), F.lit("unknown")))
+    new.repartition("month").sortWithinPartitions("month", at, key).write.mode("append").partitionBy("month").json(path)
+
+
+def copy_files(spark: SparkSession, paths: list[str], to: str) -> None:
+    """Copies files or folders under the folder to, over what is there; those that do not exist are left out."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    there = jvm.org.apache.hadoop.fs.Path(to)
+    there.getFileSystem(conf).mkdirs(there)
+    for path in paths:
+        src = jvm.org.apache.hadoop.fs.Path(path)
+        if _exists(spark, path):
+            dst = jvm.org.apache.hadoop.fs.Path(there, src.getName())
+            dst.getFileSystem(conf).delete(dst, True)
+            jvm.org.apache.hadoop.fs.FileUtil.copy(src.getFileSystem(conf), src, dst.getFileSystem(conf), dst, False, conf)
+
+
+def backup(entries: DataFrame, path: str, events: DataFrame | None = None, lists: list[str] | None = None) -> None:
+    """Entries by letter and digraph, the new change events, and copies of the control lists, under path."""
+    write_export(entries, f"{path}/entries")
+    if events is not None:
+        log_new(events, f"{path}/mutations")
+    copy_files(entries.sparkSession, lists or [], f"{path}/lists")
