@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm._common import stored, words_of
+from lexspark.llm._common import drop_stored, stored, words_of
 
 MIN_WORDS = 50
 #: A host is rejected if its shrunken failure rate, less its posterior deviations, is above this.
@@ -117,13 +117,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The documents that the rules keep, with their columns.
 
-    The rules run once, into a table of the documents with their verdicts; texts are not shuffled
+    The rules run once over all texts to judge the hosts and again over the texts of the hosts that
+    stay, so what is stored is two columns a document and no text, and texts are not shuffled
     unless the rejected hosts outgrow a broadcast. Null and empty texts go; a null host is a host
     of its own; repeated rows and null ids are rows like others, and other columns may have any
     name; an empty table stays empty.
     """
     d = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).alias("_text"), F.col(host_col).alias("host"))
-    rows = stored(measures(d, "_text").select("doc", "host", "base_failed"), "rules")
+    rows = stored(measures(d.select("_text", "host"), "_text").select("host", "base_failed"), "rules")
     # stored, so that its size is known when the join below is planned
-    bad = stored(host_verdicts(rows.select("host", "base_failed")).where(~F.col("host_kept")).select(F.col("host").alias("h")), "hosts")
-    return rows.where(~F.col("base_failed")).join(bad, F.col("host").eqNullSafe(F.col("h")), "left_anti").select("doc.*")
+    bad = stored(host_verdicts(rows).where(~F.col("host_kept")).select(F.col("host").alias("h")), "hosts")
+    drop_stored(rows)
+    stay = d.join(bad, F.col("host").eqNullSafe(F.col("h")), "left_anti")
+    return measures(stay, "_text").where(~F.col("base_failed")).select("doc.*")
