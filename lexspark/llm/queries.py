@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import bpe, embeddings, host_rules, html_text, langid, lm, minhash, packing, sharding, suffixes
+from lexspark.llm import bpe, embeddings, host_rules, html_text, langid, lm, minhash, packing, runs, sharding, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,13 +60,17 @@ def op10_html(spark: SparkSession, d: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{d}/pages.parquet"))
 
 
+def op11_runs(spark: SparkSession, d: str) -> DataFrame:
+    return runs.periodic_runs(_docs(spark, d), plant=True, digests=True)
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, d)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_packing, op4_sharding, op5_minhash, op6_host_rules, op7_embeddings, op8_suffixes, op9_bpe, op10_html, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_packing, op4_sharding, op5_minhash, op6_host_rules, op7_embeddings, op8_suffixes, op9_bpe, op10_html, op11_runs, pipeline)}
 
 #: DuckDB. Host failure rates are shrunk by the same formula as in host_rules.
 ORACLES: dict[str, str] = {
