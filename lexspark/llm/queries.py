@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import bpe, embeddings, host_rules, html_text, langid, lm, minhash, packing, runs, sharding, suffixes
+from lexspark.llm import bpe, embeddings, host_rules, html_text, langid, lm, merkle, minhash, packing, runs, sharding, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,13 +64,21 @@ def op11_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.periodic_runs(_docs(spark, d), plant=True, digests=True)
 
 
+def op12_merkle(spark: SparkSession, d: str) -> DataFrame:
+    chars = F.col("n_chars") + F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, 1).otherwise(0)
+    leaves = [merkle.leaf(*(F.col(c) for c in ("doc_id", "source", "lang")), n, F.col("text")) for n in (F.col("n_chars"), chars)]
+    rows = _docs(spark, d).select("doc_id", "lang", leaves[0].alias("leaf"), leaves[1].alias("changed"))
+    proven = merkle.folded_roots(merkle.manifest(rows, "lang", ["doc_id"]), "changed", "folded_root")
+    return proven.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, d)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_packing, op4_sharding, op5_minhash, op6_host_rules, op7_embeddings, op8_suffixes, op9_bpe, op10_html, op11_runs, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_packing, op4_sharding, op5_minhash, op6_host_rules, op7_embeddings, op8_suffixes, op9_bpe, op10_html, op11_runs, op12_merkle, pipeline)}
 
 #: DuckDB. Host failure rates are shrunk by the same formula as in host_rules.
 ORACLES: dict[str, str] = {
@@ -98,5 +106,41 @@ q AS (SELECT source, m * s + f AS a, (1 - m) * s + d - f AS c FROM h, p),
 v AS (SELECT source, a / (a + c) - 2 * sqrt(a / (a + c) * (1 - a / (a + c)) / (a + c + 1)) <= 0.6 AS ok FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
+""",
+    "op12_merkle": r"""
+WITH RECURSIVE
+d AS (
+  SELECT doc_id, lang, text, n_chars,
+    CASE WHEN doc_id IS NULL THEN 1 ELSE xor(4294967295, list_reduce(
+      list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384::BIGINT * (y & 1))))) END AS crc,
+    list_transform([doc_id::VARCHAR, source, lang], lambda v: coalesce(strlen(v) || ':' || v, '-')) AS head, coalesce(strlen(text) || ':' || text, '-') AS body
+  FROM documents),
+e AS (
+  SELECT doc_id, lang, sha256(array_to_string(head, '') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || body) AS leaf,
+    sha256(array_to_string(head, '') || coalesce(strlen(m::VARCHAR) || ':' || m, '-') || body) AS changed
+  FROM (SELECT *, n_chars + (crc % 7 = 0)::INT AS m FROM d)),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM e),
+t AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM l GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], ''))) FROM t WHERE len(nodes) > 1),
+s AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM t WHERE len(nodes) = 1),
+u AS (
+  SELECT 0 AS level, list(subroot ORDER BY pos) AS nodes FROM s
+  UNION ALL
+  SELECT level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], ''))) FROM u WHERE len(nodes) > 1),
+w AS (
+  SELECT l.doc_id, l.leaf, l.lang, l.pos, 0 AS part, level, l.pos >> level AS i, nodes FROM l JOIN t ON t.lang IS NOT DISTINCT FROM l.lang WHERE len(nodes) > 1
+  UNION ALL
+  SELECT l.doc_id, l.leaf, l.lang, l.pos, 1, level, s.pos >> level, nodes FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang, u WHERE len(nodes) > 1),
+p AS (
+  SELECT lang, pos, list(CASE WHEN i % 2 = 1 THEN 'l' || nodes[i] WHEN i + 1 < len(nodes) THEN 'r' || nodes[i + 2] ELSE 'n' END ORDER BY part, level) AS way
+  FROM w GROUP BY lang, pos),
+f AS (
+  SELECT l.doc_id, l.leaf, s.subroot, (SELECT nodes[1] FROM u WHERE len(nodes) = 1) AS root, coalesce(p.way, []) AS way, l.changed
+  FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang LEFT JOIN p ON p.lang IS NOT DISTINCT FROM l.lang AND p.pos = l.pos)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda x: x[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM (SELECT *, list_reduce(list_concat([changed], way), lambda a, x: sha256(CASE x[1] WHEN 'l' THEN x[2:] || a WHEN 'r' THEN a || x[2:] ELSE a END)) AS folded_root FROM f)
 """,
 }
