@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import bpe, embeddings, host_rules, html_text, langid, lm, merkle, minhash, packing, runs, sharding, suffixes
+from lexspark.llm import bpe, decontam, embeddings, host_rules, html_text, langid, lm, merkle, minhash, packing, runs, sharding, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,13 +72,18 @@ def op12_merkle(spark: SparkSession, d: str) -> DataFrame:
     return proven.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    found = decontam.contaminated(_docs(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, d)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_packing, op4_sharding, op5_minhash, op6_host_rules, op7_embeddings, op8_suffixes, op9_bpe, op10_html, op11_runs, op12_merkle, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_packing, op4_sharding, op5_minhash, op6_host_rules, op7_embeddings, op8_suffixes, op9_bpe, op10_html, op11_runs, op12_merkle, op13_decontamination, pipeline)}
 
 #: DuckDB. Host failure rates are shrunk by the same formula as in host_rules.
 ORACLES: dict[str, str] = {
@@ -142,5 +147,23 @@ f AS (
   FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang LEFT JOIN p ON p.lang IS NOT DISTINCT FROM l.lang AND p.pos = l.pos)
 SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda x: x[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified
 FROM (SELECT *, list_reduce(list_concat([changed], way), lambda a, x: sha256(CASE x[1] WHEN 'l' THEN x[2:] || a WHEN 'r' THEN a || x[2:] ELSE a END)) AS folded_root FROM f)
+""",
+    "op13_decontamination": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, w, least(len(w), 10) AS size FROM (SELECT item_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark) WHERE len(w) > 0),
+v AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM b)),
+x AS (SELECT r, size, i, array_to_string(w[i:i + size - 1], ' ') AS win FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM v))),
+m AS (SELECT DISTINCT r, x.size, i, item_id FROM x JOIN v USING (win)),
+n AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + size)) AS p FROM m) GROUP BY r),
+k AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM m WHERE item_id IS NOT NULL GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, len(coalesce(ids, []))::BIGINT AS n_items,
+  sha256(array_to_string(coalesce(ids, []), ',')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN k ON k.r = d.r
 """,
 }
