@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
-from lexspark.operators.store import stored
+from lexspark.operators.store import drop_stored, stored
 
 THRESHOLD = 0.05
 EVERY = 10
+#: Rows of undecided documents that one task may take.
+LAST_ROWS = 200_000
 
 
 def exact(docs: DataFrame, digits: int = 64) -> DataFrame:
@@ -29,34 +32,77 @@ def overlap(docs: DataFrame, index: DataFrame) -> DataFrame:
     return gram_rows(docs).join(known, "g", "left").groupBy("id").agg(F.count("hit").alias("hits"), F.count("*").alias("total"))
 
 
-def greedy(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, accepted): in id order, a document goes if enough of its grams are indexed by an accepted earlier one.
+def greedy(docs: DataFrame, threshold: float = THRESHOLD, seed: DataFrame | None = None, order: str = "doc_id") -> DataFrame:
+    """(order, accepted): by ascending order, a document goes if enough of its grams are indexed.
 
-    Only gram occurrences that an earlier document indexes matter. Documents without any are
-    accepted. In each round a document goes if accepted ones alone have enough of its grams, and
-    is accepted if even all open ones together have too few; the first open one is always
-    decided. State is written to the shared folder.
+    Indexed are the grams of seed(g), and every 10th gram of each earlier document that is accepted.
+    For a document it only matters whether the first accepted one that indexes a gram comes before
+    it, so each gram has one such place, and is joined by it: documents are never paired, however
+    many share a gram. Only grams that seed or an earlier document indexes are looked at; most
+    documents are decided by their number alone. Of the others, in each round, one goes if the
+    accepted ones alone index enough of its grams, and is accepted if even all open ones together
+    index too few; the first open one is always decided. Once few rows are left, one task takes
+    the rest in order, so that a long chain of documents does not need a round each.
+
+    order must be a column of distinct numbers. Texts of fewer than eight words have no grams and
+    are accepted. State is written to the shared folder.
     """
-    cut = lambda df: stored(df, "greedy")
-    rows = gram_rows(docs)
-    totals = rows.groupBy("id").agg(F.count("*").alias("total"))
-    index = rows.where(F.col("i") % EVERY == 0).select("g", F.col("id").alias("src")).distinct()
-    hits = cut(rows.select("id", "i", "g").join(index, "g").where("src < id").select("id", "i", "src").distinct())
-    open_ = cut(hits.select("id").distinct())
-    state = cut(docs.select(F.col("doc_id").alias("id")).join(open_, "id", "left_anti").select("id", F.lit(True).alias("accepted")))
-    while not open_.isEmpty():
-        live = hits.join(open_, "id", "left_semi")
-        known = state.where("accepted").select(F.col("id").alias("src"), F.lit(True).alias("sure"))
-        able = known.unionByName(open_.select(F.col("id").alias("src"), F.lit(False).alias("sure")))
-        by_gram = live.join(able, "src").groupBy("id", "i").agg(F.bool_or("sure").alias("sure"))
-        n = by_gram.groupBy("id").agg(F.count_if("sure").alias("low"), F.count("*").alias("high"))
-        x = open_.join(n, "id", "left").join(totals, "id")
-        bar = threshold * F.col("total")
-        verdict = F.when(F.coalesce("low", F.lit(0)) >= bar, F.lit(False)).when(F.coalesce("high", F.lit(0)) < bar, F.lit(True))
-        decided = x.select("id", verdict.alias("accepted")).where("accepted is not null")
-        state = cut(state.unionByName(decided))
-        open_ = cut(open_.join(state, "id", "left_anti"))
-    return state.select(F.col("id").alias("doc_id"), "accepted")
+    rows = gram_rows(docs, order).withColumnRenamed("id", "o")
+    grams = stored(rows.groupBy("o", "g").agg(F.count("*").alias("n"), F.bool_or(F.col("i") % EVERY == 0).alias("s")), "greedy-grams")
+    known = (seed.select("g").distinct() if seed is not None else grams.select("g").limit(0)).withColumn("seeded", F.lit(True))
+    first = grams.where("s").groupBy("g").agg(F.min("o").alias("first"))
+    near = grams.join(first, "g", "left").join(known, "g", "left").withColumn("seeded", F.coalesce("seeded", F.lit(False)))
+    near = stored(near.withColumn("hit", F.col("seeded") | F.coalesce(F.col("first") < F.col("o"), F.lit(False))).drop("first"), "greedy-near")
+    counts = near.groupBy("o").agg(F.sum(F.when(F.col("seeded"), F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("high"), F.sum("n").alias("total"))
+    bar = F.lit(threshold) * F.col("total")
+    verdict = F.when(F.col("total").isNull() | (F.col("high") < bar), True).when(F.col("low") >= bar, False)
+    state = stored(docs.select(F.col(order).alias("o")).join(counts, "o", "left").select("o", "total", verdict.alias("accepted")), "greedy")
+
+    # what matters from here on: hits of open documents, and who indexes these grams
+    hits = stored(near.where("hit").join(state.where("accepted is null").select("o"), "o", "left_semi").select("o", "g", "n", "seeded"), "greedy-hits")
+    by = stored(near.where("s").join(hits.select("g").distinct(), "g", "left_semi").select("o", "g"), "greedy-by")
+    drop_stored(grams)
+    drop_stored(near)
+    while True:
+        open_ = state.where("accepted is null").select("o", "total")
+        if open_.isEmpty():
+            break
+        sure = by.join(state.where("accepted").select("o"), "o", "left_semi").groupBy("g").agg(F.min("o").alias("sure"))
+        live = hits.join(open_, "o").join(sure, "g", "left").withColumn("low", F.col("seeded") | F.coalesce(F.col("sure") < F.col("o"), F.lit(False)))
+        live = stored(live.select("o", "total", "g", "n", "low"), "greedy-live")
+        own = by.join(open_.select("o"), "o", "left_semi")
+        if live.count() + own.count() <= LAST_ROWS:
+            decided = _in_order(live, own, threshold)
+        else:
+            able = own.groupBy("g").agg(F.min("o").alias("able"))
+            n = live.join(able, "g", "left").groupBy("o", "total").agg(F.sum(F.when(F.col("low"), F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(F.col("low") | (F.col("able") < F.col("o")), F.col("n")).otherwise(0)).alias("high"))
+            decided = n.select("o", F.when(F.col("low") >= bar, False).when(F.col("high") < bar, True).alias("now"))
+        after = stored(state.join(decided, "o", "left").select("o", "total", F.coalesce("accepted", "now").alias("accepted")), "greedy")
+        for t in (state, live):
+            drop_stored(t)
+        state = after
+    drop_stored(hits)
+    drop_stored(by)
+    return state.select(F.col("o").alias(order), "accepted")
+
+
+def _in_order(live: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
+    """(o, now): the open documents decided one after the other, in a task; for LAST_ROWS rows at most."""
+
+    def run(_: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        indexed: set[str] = set()
+        out = []
+        adds = t[t["total"].isna()].groupby("o")["g"].agg(list).to_dict()
+        for o, x in t[t["total"].notna()].groupby("o"):  # ascending
+            n = sum(k for g, k, low in zip(x["g"], x["n"], x["low"], strict=True) if low or g in indexed)
+            out.append((o, not n >= threshold * x["total"].iloc[0]))
+            if out[-1][1]:
+                indexed.update(adds.get(o, ()))
+        return pd.DataFrame(out, columns=["o", "now"])
+
+    both = live.unionByName(own, allowMissingColumns=True)
+    kind = live.schema["o"].dataType.simpleString()
+    return both.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, f"o {kind}, now boolean")
 
 
 def keep_first(rows: DataFrame, key: list[str], order: list) -> DataFrame:

@@ -1,4 +1,4 @@
-"""One run of ingestion: pages to documents, both dedups, and the append, resumed from a cursor."""
+"""Ingestion in runs that can break off anywhere: pages to documents, both dedups, and the append."""
 
 from __future__ import annotations
 
@@ -8,41 +8,79 @@ from pyspark.sql import functions as F
 from lexspark.operators import dedup
 from lexspark.operators.ranking import numbered
 from lexspark.operators.store import drop_stored, stored
+from lexspark.operators.versions import Change, Snapshot, Store, Table
 from lexspark.sources import readers
-from lexspark.sources.sinks import read_list
 
-CURSOR = "source string, pages long"
+TABLES = {
+    "staged": Table("origin string, no long, " + readers.PAGE),
+    "corpus": Table("doc_id string, " + readers.PAGE),
+    "grams": Table("g string"),
+}
 
 
-def cursor(spark: SparkSession, path: str, source: str) -> int:
+def opened(spark: SparkSession, root: str) -> Store:
+    """The corpus at root: its documents, the grams that index them, the pages staged, and each source's cursor."""
+    return Store(spark, root, TABLES)
+
+
+def cursor(store: Store, source: str) -> int:
     """Pages of the source that earlier runs have taken."""
-    return read_list(spark, path, CURSOR).where(F.col("source") == source).agg(F.coalesce(F.max("pages"), F.lit(0))).first()[0]
+    return store.snapshot().marks.get(f"cursor:{source}", 0)
+
+
+def stage(store: Store, source: readers.Source) -> int:
+    """Reads and numbers the source's pages, by title and text, once for all runs; returns their number.
+
+    They lie in order, so a run reads the row groups of its own pages only.
+    """
+    mark = f"staged:{source.name}"
 
+    def change(now: Snapshot) -> Change | None:
+        if mark in now.marks:
+            return None
+        pages = stored(numbered(readers.read(store.spark, source), ["title", "text"], "no"), "pages")
+        return Change({"staged": pages.withColumn("origin", F.lit(source.name)).sortWithinPartitions("no")}, marks={mark: pages.count()})
 
-def augment(spark: SparkSession, source: readers.Source, corpus: str, cursors: str, n_pages: int, grams: str | None = None) -> dict[str, int]:
-    """Takes the source's next n_pages pages, by title; returns counts of pages, new, exact and near ones.
+    store.update(change, [mark])
+    return store.snapshot().marks[mark]
 
-    A document goes if the corpus has its content, or if enough of its word 8-grams are in the
-    stored table of grams (g); the grams of those that stay are added to it. The cursor is saved
-    last, so a run that broke off is taken again, and what it had appended is then exact.
+
+def _decided(now: Snapshot, docs: DataFrame) -> DataFrame:
+    """docs(no, doc_id, text) that are the first of their content and new to the corpus, with accepted."""
+    new = docs.groupBy("doc_id").agg(F.min_by(F.struct("no", "text"), "no").alias("d")).select("doc_id", "d.*")
+    new = stored(new.join(now.table("corpus").select("doc_id"), "doc_id", "left_anti"), "new")
+    return new.select("no").join(dedup.greedy(new, seed=now.table("grams"), order="no"), "no")
+
+
+def augment(store: Store, source: readers.Source, n_docs: int = 10_000, n_pages: int | None = None) -> dict[str, int]:
+    """Adds up to n_docs documents of the source's next n_pages pages (all that are left); returns counts.
+
+    pages is the number of pages taken; of their documents new are added, exact have a text that
+    the corpus or an earlier page has, near share enough word 8-grams with what was there or was
+    added before, in the order of the pages (see dedup.greedy). With n_docs reached, the rest of
+    the pages is left to the next run. Documents, their grams and the cursor are one commit: a run
+    that breaks off, wherever, has done nothing, and one that another writer overtakes decides
+    again on what that one has added.
     """
-    done = cursor(spark, cursors, source.name)
-    pages = numbered(readers.read(spark, source), ["title", "text"], "_n").where((F.col("_n") >= done) & (F.col("_n") < done + n_pages)).drop("_n")
-    docs = stored(readers.to_docs(pages, source.base_url).dropDuplicates(["doc_id"]), "augment")
-    taken, all_docs = pages.count(), docs.count()
-    near = 0
-    if grams:
-        known = read_list(spark, grams, "g string").withColumn("hit", F.lit(1))
-        rows = dedup.gram_rows(docs)
-        hits = rows.join(known.distinct(), "g", "left").groupBy("id").agg(F.count("hit").alias("hits"), F.count("*").alias("total"))
-        close = stored(hits.where(F.col("hits") >= dedup.THRESHOLD * F.col("total")).select(F.col("id").alias("doc_id")), "near")
-        there = spark.read.parquet(corpus).select("doc_id") if done else docs.limit(0).select("doc_id")
-        fresh = stored(docs.join(close, "doc_id", "left_anti").join(there, "doc_id", "left_anti"), "fresh")
-        near = close.join(there, "doc_id", "left_anti").count()
-        dedup.gram_rows(fresh).where(F.col("i") % dedup.EVERY == 0).select("g").distinct().write.mode("append").json(grams)
-    else:
-        fresh = docs
-    new = readers.append(fresh, corpus)
-    spark.createDataFrame([(source.name, done + taken)], CURSOR).write.mode("append").json(cursors)
-    drop_stored(docs)
-    return {"pages": taken, "new": new, "near": near, "exact": all_docs - new - near}
+    total = stage(store, source)
+    counts: dict[str, int] = {}
+
+    def change(now: Snapshot) -> Change | None:
+        done = now.marks.get(f"cursor:{source.name}", 0)
+        end = total if n_pages is None else min(total, done + n_pages)
+        pages = now.table("staged").where((F.col("origin") == source.name) & (F.col("no") >= done) & (F.col("no") < end)).drop("origin")
+        docs = stored(readers.to_docs(pages, source.base_url), "docs")
+        decided = stored(_decided(now, docs), "decided")
+        accepted = decided.where("accepted").select("no")
+        if accepted.count() > n_docs:
+            end = numbered(accepted, ["no"], "place").where(F.col("place") == n_docs - 1).first()["no"] + 1
+        own = decided.where(F.col("no") < end)
+        fresh = stored(docs.join(own.where("accepted").select("no"), "no", "left_semi"), "fresh")
+        new, seen = fresh.count(), own.count()
+        counts.update(pages=end - done, new=new, near=seen - new, exact=docs.where(F.col("no") < end).count() - seen)
+        grams = dedup.gram_rows(fresh, "no").where(F.col("i") % dedup.EVERY == 0).select("g").distinct().join(now.table("grams"), "g", "left_anti")
+        drop_stored(docs)
+        return Change({"corpus": fresh, "grams": grams}, marks={f"cursor:{source.name}": end}) if end > done else None
+
+    store.update(change)
+    return counts

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
+from lexspark.operators.store import drop_stored, stored
 
 #: Only what is used of a dump's page; an explicit schema spares a pass over the file.
 DUMP = "title string, ns int, redirect struct<_title:string>, revision struct<timestamp:string, contributor:struct<username:string>, text:struct<_VALUE:string>>"
@@ -102,10 +103,9 @@ def append(docs: DataFrame, path: str) -> int:
     new = docs.dropDuplicates(["doc_id"])
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        old = spark.read.parquet(path)
-        before = old.count()
-        new = new.join(old.select("doc_id"), "doc_id", "left_anti")
-    else:
-        before = 0
+        new = new.join(spark.read.parquet(path).select("doc_id"), "doc_id", "left_anti")
+    new = stored(new, "append")
     new.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    n = new.count()
+    drop_stored(new)
+    return n

@@ -1,11 +1,25 @@
-"""Draining an event folder with Structured Streaming."""
+"""Event folders with Structured Streaming: draining one, and keeping labels up to date from one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.operators.store import shared_path
+from lexspark.operators import state
+from lexspark.operators.store import shared_path, stored
+from lexspark.operators.versions import Change, Snapshot, Store, Table, replaced
+
+EVENT = "event_id string, kind string, form string, doc_id long, byte_offset long, sense_key string, at long, seq long"
+KINDS = ("upsert", "delete_by_sense", "delete_by_form")
+TABLES = {
+    "seen": Table("event_id string, at long", ("event_id",)),
+    "upserts": Table("form string, doc_id long, byte_offset long, sense_key string, at long, seq long", tuple(state.KEY)),
+    "by_sense": Table("sense_key string, at long, seq long", ("sense_key",)),
+    "by_form": Table("form string, at long, seq long", ("form",)),
+    "labels": Table("form string, doc_id long, byte_offset long, sense_key string", tuple(state.KEY)),
+    "counts": Table("sense_key string, n long", ("sense_key",)),
+    "dead": Table(EVENT + ", reason string"),
+}
 
 
 def drain(spark: SparkSession, path: str, every: str | None = None, to: str | None = None) -> DataFrame:
@@ -33,3 +47,79 @@ def drain(spark: SparkSession, path: str, every: str | None = None, to: str | No
     if not every:
         q.awaitTermination()
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{to}/done")
+
+
+def _newest(rows: DataFrame, key: list[str], old: DataFrame) -> DataFrame:
+    """The last event of each key, by at and seq, where old has no later one."""
+    cols = old.columns
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*cols), F.struct("at", "seq")).alias("e")).select("e.*")
+    before = old.select(*key, F.struct("at", "seq").alias("_o"))
+    return last.join(before, key, "left").where("_o is null or _o < struct(at, seq)").select(*cols)
+
+
+def applied(now: Snapshot, batch: DataFrame, delay: int | None = None) -> Change:
+    """What a batch of events (EVENT) changes in the tables of a label store.
+
+    The last upsert of an occurrence stands, unless a later delete names its form or sense; so the
+    labels depend on the events alone, not on the order or the batches in which they come.
+    An event whose id was seen is dropped. One without id, of an unknown kind or without time goes
+    to `dead`, as does one that is more than delay behind the latest of the batches before; ids
+    older than that are forgotten. counts has the labels of each sense, added up from changes.
+    """
+    latest = now.marks.get("latest")
+    bound = None if delay is None or latest is None else latest - delay
+    order = F.struct("at", "seq")
+    bad = F.when(F.col("event_id").isNull() | ~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)) | F.col("at").isNull(), "malformed")
+    late = bad if bound is None else bad.when(F.col("at") < bound, "late")
+    x = stored(batch.withColumn("reason", late), "batch")
+    good = x.where("reason is null").dropDuplicates(["event_id"]).join(now.table("seen").select("event_id"), "event_id", "left_anti")
+    good = stored(good.withColumn("seq", F.coalesce("seq", F.lit(0))), "events")
+
+    upserts = stored(_newest(good.where("kind = 'upsert'"), state.KEY, now.table("upserts")), "upserts")
+    by_sense = stored(_newest(good.where("kind = 'delete_by_sense' and sense_key is not null"), ["sense_key"], now.table("by_sense")), "by-sense")
+    by_form = stored(_newest(good.where("kind = 'delete_by_form' and form is not null"), ["form"], now.table("by_form")), "by-form")
+
+    # the occurrences whose label may differ now: those put, and those that a delete may reach
+    every = state.upsert(now.table("upserts"), upserts, state.KEY)
+    reach = every.join(by_sense.select("sense_key"), "sense_key", "left_semi").select(*state.KEY).unionByName(every.join(by_form.select("form"), "form", "left_semi").select(*state.KEY))
+    touched = stored(reach.unionByName(upserts.select(*state.KEY)).distinct(), "touched")
+    gone = {c: state.upsert(now.table(t), new, [c]).select(c, order.alias(f"{c}_gone")) for c, t, new in (("sense_key", "by_sense", by_sense), ("form", "by_form", by_form))}
+    own = every.join(touched, state.KEY, "left_semi").join(gone["sense_key"], "sense_key", "left").join(gone["form"], "form", "left")
+    live = own.where("(sense_key_gone is null or struct(at, seq) > sense_key_gone) and (form_gone is null or struct(at, seq) > form_gone)").select(*state.KEY, "sense_key")
+    old = now.table("labels").join(touched, state.KEY, "left_semi")
+    put, drop = (stored(t, "labels") for t in replaced(old, live, state.KEY))
+    lost = old.join(put.select(*state.KEY).unionByName(drop), state.KEY, "left_semi").select("sense_key", F.lit(-1).alias("n"))
+    more = lost.unionByName(put.select("sense_key", F.lit(1).alias("n"))).groupBy("sense_key").agg(F.sum("n").alias("d")).where("d <> 0")
+    counts = more.join(now.table("counts"), "sense_key", "left").select("sense_key", (F.coalesce("n", F.lit(0)) + F.col("d")).alias("n"))
+
+    newest = good.agg(F.max("at")).first()[0]
+    newest = max((v for v in (newest, latest) if v is not None), default=None)
+    change = Change({"seen": good.select("event_id", "at"), "upserts": upserts, "by_sense": by_sense, "by_form": by_form, "labels": put, "counts": counts.where("n > 0"), "dead": x.where("reason is not null")}, {"labels": drop, "counts": counts.where("n = 0")})
+    if delay is not None and newest is not None:
+        change.drop["seen"] = now.table("seen").where(F.col("at") < newest - delay)
+    change.marks = {"latest": newest}
+    return change
+
+
+def follow(spark: SparkSession, path: str, root: str, delay: int | None = None, every: str | None = None, files: int = 1000) -> Store:
+    """Keeps the label store at root up to date from the event files (Parquet, EVENT) that come to the folder path.
+
+    Without `every`, what is there is applied and the store returned; with it, the folder is
+    watched at that interval until the query is stopped. A micro-batch is one commit, with its
+    number as a mark, so one that is repeated after a failure is not applied again.
+    """
+    store = Store(spark, root, TABLES)
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        store.update(lambda now: None if now.marks.get("epoch", -1) >= epoch else _marked(applied(now, batch, delay), epoch))
+
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files).parquet(path).writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/_offsets")
+    q = (stream.trigger(processingTime=every) if every else stream.trigger(availableNow=True)).start()
+    if not every:
+        q.awaitTermination()
+    return store
+
+
+def _marked(change: Change, epoch: int) -> Change:
+    change.marks["epoch"] = epoch
+    return change
