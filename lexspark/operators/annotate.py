@@ -9,17 +9,24 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TRIES = 3
 #: What an answer must hold, by task.
-SCHEMAS = {"label": "sense int, rating int", "senses": "senses array<struct<definition:string, pos:string>>", "covered": "all_covered boolean", "critic": "ok boolean, reason string", "pos": "pos string"}
+SCHEMAS = {"label": "sense int, rating int", "menu": "sense string, rating int, synonyms array<string>", "senses": "senses array<struct<definition:string, pos:string>>", "covered": "all_covered boolean", "critic": "ok boolean, reason string", "pos": "pos string"}
 #: A model: from a batch of prompts to an answer for each.
 Model = Callable[[list[str]], list[str]]
 
 
 def label_prompt(form: Column, menu: Column, context: Column) -> Column:
-    """Asks for the sense of a marked form among those of a menu."""
-    return F.concat(F.lit("Which sense does the marked word have?\nWord: "), form, F.lit("\nText: "), context, F.lit("\nSenses:\n"), menu, F.lit('\nAnswer as JSON: {"sense": number, or 0 if none fits, "rating": 0 to 2}'))
+    """Asks for the sense of a marked form among those of a menu, how well it fits, and words that would fit as well."""
+    rules = (
+        "\nRate the fit: 2 if the sense fits well, 1 if a closer one could exist, 0 if none of them is meant; between 0 and 1 take 0."
+        '\nWith rating 0 the sense is "0" for noise, a name or a use that will not come again, and "_none" for a real meaning that the senses lack.'
+        "\nList synonyms that could stand in its place, roughly; none if there are none."
+        '\nAnswer as JSON: {"sense": "1", "rating": 2, "synonyms": ["word"]}'
+    )
+    return F.concat(F.lit("Which sense does the marked word have?\nWord: "), form, F.lit("\nText: "), context, F.lit("\nSenses:\n"), menu, F.lit(rules))
 
 
 def sense_prompt(form: Column, contexts: Column, known: Column) -> Column:
@@ -37,23 +44,29 @@ def critic_prompt(form: Column, definition: Column, question: Column) -> Column:
     return F.concat(question, F.lit("\nWord: "), form, F.lit("\nSense: "), definition, F.lit('\nAnswer as JSON: {"ok": true or false, "reason": text}'))
 
 
-def found_json(answer: str) -> str | None:
-    """The JSON object of an answer: all of it, what a fence holds, or the first object that can be read."""
+def found_json(answer: str, expected: tuple[str, ...] = ()) -> str | None:
+    """The JSON object of an answer: what a fence holds, or all of it, or one that stands in it.
+
+    Of several in the text it is the last one with an expected key, as models think aloud before
+    they answer; where none has one, the first.
+    """
     fence = re.search(r"```(?:json)?\s*(.*?)```", answer, re.S)
-    for part in (answer, fence[1] if fence else ""):
+    for part in (fence[1] if fence else "", answer):
         try:
             if isinstance(json.loads(part), dict):
                 return part.strip()
         except ValueError:
             pass
-    at = answer.find("{")
+    found, at = [], answer.find("{")
     while at >= 0:
         try:
-            _, n = json.JSONDecoder().raw_decode(answer[at:])
-            return answer[at : at + n]
+            value, end = json.JSONDecoder().raw_decode(answer, at)
+            found.append((value, answer[at:end]))
+            at = answer.find("{", end)
         except ValueError:
             at = answer.find("{", at + 1)
-    return None
+    fit = [text for value, text in found if any(k in value for k in expected)]
+    return fit[-1] if fit else found[0][1] if found else None
 
 
 def ask(rows: DataFrame, ask_model: Model, schema: str, prompt: str = "prompt", tries: int = TRIES) -> DataFrame:
@@ -63,6 +76,7 @@ def ask(rows: DataFrame, ask_model: Model, schema: str, prompt: str = "prompt",
     to tries times. A null prompt is not asked. Repeated rows are asked each.
     """
     names = rows.columns
+    keys = tuple(f.name for f in StructType.fromDDL(schema).fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -72,7 +86,7 @@ def ask(rows: DataFrame, ask_model: Model, schema: str, prompt: str = "prompt",
                 if not open_:
                     break
                 for i, a in zip(open_, ask_model([b[prompt].iloc[i] for i in open_]), strict=True):
-                    answers[i] = found_json(a) if a else None
+                    answers[i] = found_json(a, keys) if a else None
                 open_ = [i for i in open_ if answers[i] is None]
             yield b.assign(_answer=[answers.get(i) for i in range(len(b))])
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
 from lexspark.operators import state
+from lexspark.operators.store import stored
 from lexspark.operators.versions import Change, Snapshot, Store, Table, replaced
 
 TABLES = {
@@ -125,36 +126,37 @@ def decide(now: Snapshot, decisions: DataFrame, by: str, at: str) -> Change:
     when = F.lit(at).cast("timestamp")
     entries, every = now.table("entries"), now.table("senses")
     none = F.lit(None).cast("string")
-    d = decisions.where(F.col("op").isin(*OPS))
+    d = stored(decisions.where(F.col("op").isin(*OPS)), "decisions")
 
     # entries that go
     leave = d.where("op in ('delete_entry', 'normalize_case')").groupBy("form").agg(F.max_by(F.struct("op", "arg"), F.struct(F.col("op") == "delete_entry", "arg")).alias("d")).select("form", "d.*")
     leave = leave.join(entries.select("form"), "form", "left_semi")
     held = _of(every, leave)
-    leave = leave.join(held.where(state.rank(F.col("model")) > state.rank(F.lit(by))).select("form").distinct(), "form", "left_anti")
+    leave = stored(leave.join(held.where(state.rank(F.col("model")) > state.rank(F.lit(by))).select("form").distinct(), "form", "left_anti"), "leave")
     gone = leave.select("form")
     there = entries.join(gone, "form", "left_anti").select(F.col("form").alias("base"))
-    to = leave.where("op = 'normalize_case'").select("form", F.col("arg").alias("to")).join(entries.select(F.col("form").alias("to")), "to", "left_anti").where(F.col("to") != F.col("form"))
+    to = leave.where("op = 'normalize_case'").select("form", F.col("arg").alias("to")).join(entries.select(F.col("form").alias("to")), "to", "left_anti")
+    to = stored(to.where(F.col("to") != F.col("form")), "moves")
     moving = every.join(to, "form").withColumn("d", state.normal(F.col("definition")))
     first = Window.partitionBy("to", "d").orderBy("form", "position", "id")
     moving = moving.withColumn("_n", F.row_number().over(first)).where("_n = 1").withColumn("from", F.struct("form", "position")).withColumn("form", F.col("to"))
 
     # senses that change
     own = d.join(gone, "form", "left_anti").where("position is not null").select("form", "position", "op", "arg", "base", "relation", "promote")
-    at_sense = own.join(every.select("form", "position", "id", F.col("definition").alias("was"), F.col("pos").alias("was_pos"), "model"), ["form", "position"])
+    at_sense = stored(own.join(every.select("form", "position", "id", F.col("definition").alias("was"), F.col("pos").alias("was_pos"), "model"), ["form", "position"]), "senses")
     redirect = at_sense.where("op = 'morph_redirect'").join(there, "base", "left_semi")
     trusted = state.rank(F.lit(by)) >= state.rank(F.col("model"))
     set_one = lambda op, name: F.max(F.when(F.col("op") == op, F.col("arg"))).alias(name)
     kept = at_sense.where(F.col("op").isin("rewrite", "update_pos") & trusted).unionByName(redirect)
     edits = kept.groupBy("id").agg(set_one("rewrite", "new_definition"), set_one("update_pos", "new_pos"), F.max(F.when(F.col("op") == "morph_redirect", F.struct("base", "relation", F.coalesce("arg", X.morph_definition(F.col("relation"), F.col("base"))).alias("definition")))).alias("r"))
     pruned = at_sense.where("op = 'prune'").select("id", "form").distinct()
-    pruned = _of(pruned, _allowed(every, pruned, by))
+    pruned = stored(_of(pruned, _allowed(every, pruned, by)), "pruned")
     promoted = redirect.where("promote").select(
         F.substring(F.sha2(F.concat_ws(">", "id", "base"), 256), 1, 32).alias("id"), F.col("base").alias("form"), F.struct("form", "position").alias("from"), F.col("was").alias("definition"), F.col("was_pos").alias("pos")
     ).dropDuplicates(["id"])
 
     touched = gone.union(to.select("to")).union(at_sense.select("form")).union(promoted.select("form"))
-    old = _of(every, touched)
+    old = stored(_of(every, touched), "before")
     left = old.join(gone, "form", "left_anti").join(pruned.select("id"), "id", "left_anti").join(edits, "id", "left")
     edited = F.coalesce("new_definition", "new_pos").isNotNull() | F.col("r").isNotNull()
     start = F.struct(F.lit("").alias("form"), F.col("position").alias("position"))

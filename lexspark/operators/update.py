@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.operators import annotate, state, work
+from lexspark.functions import text as X
+from lexspark.operators import annotate, menus, state, work
 from lexspark.operators.annotate import Model
 from lexspark.operators.store import stored
 
@@ -52,24 +53,48 @@ def induce(targets: DataFrame, occurrences: DataFrame, senses: DataFrame, model:
 
 
 def label(targets: DataFrame, occurrences: DataFrame, senses: DataFrame, labels: DataFrame, model: Model) -> DataFrame:
-    """(form, doc_id, byte_offset, sense_key, rating) for up to MAX_LABELS unlabelled occurrences of each target.
+    """(form, doc_id, byte_offset, sense_key, rating, synonyms) for up to MAX_LABELS occurrences of each target.
 
-    Forms without senses are not asked about; answers outside the menu or the ratings are dropped.
-    Sense 0, none fits, has the key 0.
+    Occurrences count in any case. The menu has the senses of all case variants of the target and of
+    their bases (see menus), and a label belongs to the entry that owns the sense chosen. What
+    has a label of rating 1 or 2 is not asked about again, nor are targets whose menu is empty;
+    answers outside the menu or the ratings are dropped. The keys 0 (noise) and _none (no sense
+    covers it) stay with the target.
     """
-    todo = occurrences.join(targets.select("form").distinct(), "form", "left_semi").join(labels.select(*state.KEY), state.KEY, "left_anti")
-    todo = work.uniform_sample(todo, ["form"], MAX_LABELS, "label", ["doc_id", "byte_offset"])
-    menu = F.array_join(F.transform("known", lambda d, i: F.concat((i + 1).cast("string"), F.lit(". "), d)), "\n")
-    x = todo.join(_known(senses), "form").select(*state.KEY, F.size("known").alias("n"), annotate.label_prompt(F.col("form"), menu, F.col("context")).alias("prompt"))
-    got = stored(annotate.ask(x, model, annotate.SCHEMAS["label"]), "labelled").where("answer.sense between 0 and n and answer.rating between 0 and 2")
-    key = F.when(F.col("answer.sense") == 0, "0").otherwise(F.concat_ws("#", "form", "answer.sense"))
-    return got.select(*state.KEY, key.alias("sense_key"), F.col("answer.rating").alias("rating"))
+    menu = menus.entries(senses)
+    own = targets.select("form").distinct().where("form is not null").withColumn("low", F.lower("form")).join(menus.texts(menu), F.col("low") == F.col("menu"))
+    owners = menu.select(F.col("menu").alias("low"), F.col("owner").alias("form")).union(own.select("low", "form")).distinct()
+    done = labels.where("rating >= 1").join(owners, "form").select("low", *state.KEY[1:])
+    seen = occurrences.select(F.lower("form").alias("low"), "doc_id", "byte_offset", "context").join(done, ["low", *state.KEY[1:]], "left_anti")
+    todo = work.uniform_sample(seen.join(own, "low"), ["form"], MAX_LABELS, "label", ["doc_id", "byte_offset"])
+    x = todo.select(*state.KEY, annotate.label_prompt(F.col("form"), F.col("text"), F.col("context")).alias("prompt"))
+    got = stored(annotate.ask(x, model, annotate.SCHEMAS["menu"]), "labelled").select(*state.KEY, "answer.*")
+    return menus.resolved(got, menu).select(*state.KEY, "sense_key", "rating", "synonyms")
 
 
 def cycle(targets: DataFrame, occurrences: DataFrame, senses: DataFrame, labels: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
     """The senses and labels after one cycle over the targets; labelling sees the senses just induced."""
     after = stored(state.add_senses(senses, induce(targets, occurrences, senses, model)), "senses")
-    return after, state.upsert(labels, label(targets, occurrences, after, labels, model), state.KEY)
+    new = label(targets, occurrences, after, labels, model)
+    # one occurrence can be asked about for two variants of a form, and come out as one sense
+    new = new.groupBy(*state.KEY).agg(F.max_by(F.struct("sense_key", "rating", "synonyms"), F.struct("rating", "sense_key")).alias("r")).select(*state.KEY, "r.*")
+    return after, state.upsert(labels, new.select(*labels.columns), state.KEY)
+
+
+def select_targets(occurrences: DataFrame, labels: DataFrame, n: int, seed: str, least: int = 5, alpha: float = 1.0) -> DataFrame:
+    """n forms, drawn in proportion to the square root of the work that they are estimated to need.
+
+    Only forms with an ASCII letter and at least `least` occurrences; covered are labels of rating 2.
+    """
+    totals = occurrences.where(F.col("form").rlike(X.ASCII_LETTER)).groupBy("form").agg(F.count("*").alias("total")).where(F.col("total") >= least)
+    counts = labels.groupBy("form").agg(F.count("*").alias("n_labeled"), F.count_if(F.col("rating") == 2).alias("n_covered"))
+    return work.weighted_sample(work.need(totals, counts, alpha).withColumn("w", F.sqrt("need_work")), "w", "form", n, seed).select("form")
+
+
+def full_cycle(occurrences: DataFrame, senses: DataFrame, labels: DataFrame, model: Model, n: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """Selects n targets, induces their senses, and labels them: the senses and labels afterwards."""
+    targets = stored(select_targets(occurrences, labels, n, seed), "targets")
+    return cycle(targets, occurrences, senses, labels, model)
 
 
 def tag_pos(senses: DataFrame, instances: DataFrame, model: Model) -> DataFrame:

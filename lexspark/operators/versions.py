@@ -18,6 +18,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspark.operators.store import stored
+
 #: A keyed table is folded into one part when it has more changes than this.
 MOST_PARTS = 12
 TRIES = 30
@@ -264,6 +266,6 @@ def replaced(old: DataFrame, new: DataFrame, key: Iterable[str]) -> tuple[DataFr
     on = F.lit(True)
     for c in key:
         on = on & F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
-    both = before.join(after, on, "full")
+    both = stored(before.join(after, on, "full"), "replaced")
     put = both.where(F.col("n").isNotNull() & ~F.col("o").eqNullSafe(F.col("n"))).select("n.*")
     return put, both.where(F.col("n").isNull()).select(*[F.col(f"o.{c}") for c in key])

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
-from lexspark.operators import batch, dedup, index, jobs, mwe, ranking, review, state, stats, work
+from lexspark.operators import batch, dedup, dictionary, index, jobs, menus, mwe, ranking, review, state, stats, versions, work
+from lexspark.operators.store import shared_path, stored
 from lexspark.plans import derived as T
 from lexspark.plans.derived import BASE
 from lexspark.sources import sinks
@@ -411,15 +412,36 @@ def blocklist_add(s: SparkSession, d: str) -> DataFrame:
     return old.unionByName(new.join(old, "form", "left_anti"))
 
 
-@query("""SELECT form, doc_id, byte_offset, sense_key FROM l WHERE form NOT IN (SELECT form FROM v WHERE length(form) = 4) AND sense_key NOT IN (SELECT id FROM s WHERE position = 2 AND length(form) = 5)""")
-def event_replay(s: SparkSession, d: str) -> DataFrame:
+def _label_events(s: SparkSession, d: str) -> DataFrame:
+    """Upserts of all labels, older ones before them, and deletes of some forms and senses."""
     x = T.labels(s, d)
     none = F.lit(None)
     up = x.select(*_K, F.lit("upsert").alias("kind"), "sense_key", F.lit(2).alias("at"), F.lit(1).alias("seq"))
     first = up.withColumn("sense_key", F.lit("old")).withColumn("at", F.lit(1))
     form = T.vocab(s, d).where(F.char_length("form") == 4).select("form", none.cast("long").alias("doc_id"), none.cast("long").alias("byte_offset"), F.lit("delete_by_form").alias("kind"), none.cast("string").alias("sense_key"), F.lit(3).alias("at"), F.lit(1).alias("seq"))
     sense = T.senses(s, d).where((F.col("position") == 2) & (F.char_length("form") == 5)).select(none.cast("string").alias("form"), none.cast("long").alias("doc_id"), none.cast("long").alias("byte_offset"), F.lit("delete_by_sense").alias("kind"), F.col("id").alias("sense_key"), F.lit(3).alias("at"), F.lit(1).alias("seq"))
-    return state.replay(first.unionByName(up).unionByName(form).unionByName(sense))
+    return first.unionByName(up).unionByName(form).unionByName(sense)
+
+
+_LIVE = "SELECT form, doc_id, byte_offset, sense_key FROM l WHERE form NOT IN (SELECT form FROM v WHERE length(form) = 4) AND sense_key NOT IN (SELECT id FROM s WHERE position = 2 AND length(form) = 5)"
+
+
+@query(_LIVE)
+def event_replay(s: SparkSession, d: str) -> DataFrame:
+    return state.replay(_label_events(s, d))
+
+
+@query(_LIVE)
+def label_stream(s: SparkSession, d: str) -> DataFrame:
+    """The same events as a stream of files, deletes before what they delete, each file a micro-batch."""
+    from lexspark.streaming.events import follow
+
+    e = _label_events(s, d).withColumns({"event_id": F.sha2(F.concat_ws("|", "kind", *_K, "sense_key", "at"), 256), "at": F.col("at").cast("long"), "seq": F.col("seq").cast("long")})
+    e = stored(e, "label-events")
+    path = shared_path(s, "label-stream")
+    for i, part in enumerate(("kind <> 'upsert'", "at = 2", "at = 1")):
+        e.where(part).coalesce(8).write.parquet(f"{path}/events/f{i}")
+    return follow(s, f"{path}/events/*", f"{path}/store").table("labels").select(*_K, "sense_key")
 
 
 @query("SELECT strftime(ts, '%Y-%m') AS month, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events WHERE event_id % 3 <> 0 GROUP BY 1", base=False)
@@ -436,6 +458,86 @@ def event_drain_stream(s: SparkSession, d: str) -> DataFrame:
     return drain(s, f"{d}/events.parquet")
 
 
+# --- versioned tables ------------------------------------------------------------------------
+
+_SENSE = ["id", "form", "position", "definition", "pos", "morph_base", "morph_relation", "model"]
+
+
+def _dictionary(s: SparkSession, d: str) -> versions.Store:
+    """A store with the entries, senses and labels of the tables."""
+    store = dictionary.opened(s, shared_path(s, "dictionary"))
+    senses = T.senses(s, d).withColumn("morph_relation", F.lit(None).cast("string")).select(*_SENSE)
+    dictionary.write_entries(store, T.vocab(s, d).select("form", F.lit(None).cast("string").alias("variant_of")), senses, "2024-01-01")
+    return store
+
+
+@query("SELECT id, form, row_number() OVER (PARTITION BY form ORDER BY position)::INT AS position, definition FROM (SELECT id, form, position, definition FROM s WHERE NOT (length(form) % 2 = 0 AND position = 2) UNION ALL SELECT form || '#new', form, 9, 'new' FROM v WHERE length(form) % 2 = 0)")
+def entry_upsert(s: SparkSession, d: str) -> DataFrame:
+    """Entries written again without one of their senses and with a new one: the old id goes."""
+    store = _dictionary(s, d)
+    x = store.table("senses").where((F.char_length("form") % 2 == 0) & (F.col("position") != 2)).select(*_SENSE)
+    new = x.where("position = 1").withColumns({"id": F.concat("form", F.lit("#new")), "position": F.lit(9), "definition": F.lit("new"), "morph_base": F.lit(None).cast("string")})
+    entries = x.select("form").distinct().withColumn("variant_of", F.lit(None).cast("string"))
+    dictionary.write_entries(store, entries, x.unionByName(new), "2024-02-02")
+    return store.table("senses").select("id", "form", "position", "definition")
+
+
+@query(""", gone AS (SELECT form FROM v WHERE length(form) % 7 = 0 OR form <> lower(form)),
+m AS (SELECT id, lower(form) AS form, definition, row_number() OVER (PARTITION BY lower(form), lower(trim(definition)) ORDER BY form, position, id) AS n, form AS f, position AS p FROM s WHERE form <> lower(form) AND length(form) % 7 <> 0 AND lower(form) NOT IN (SELECT form FROM v)),
+k AS (SELECT id, form, CASE WHEN position = 1 AND length(form) % 5 = 0 THEN 'rewritten' ELSE definition END AS definition, '' AS f, position AS p FROM s WHERE form NOT IN (SELECT form FROM gone) AND NOT (position = 2 AND length(form) % 5 = 1)
+      UNION ALL SELECT id, form, definition, f, p FROM m WHERE n = 1),
+c AS (SELECT sense_key, count(*) AS n FROM l WHERE form NOT IN (SELECT form FROM gone) GROUP BY 1)
+SELECT id, form, row_number() OVER (PARTITION BY form ORDER BY f, p, id)::INT AS position, definition, coalesce(n, 0) AS n_labels FROM k LEFT JOIN c ON c.sense_key = id""")
+def review_decisions(s: SparkSession, d: str) -> DataFrame:
+    """Deletions, case variants moved to their canonical form, rewrites and prunings as one version, labels included."""
+    store = _dictionary(s, d)
+    dictionary.upsert_labels(store, T.labels(s, d).drop("pos"))
+    v, x, n = T.vocab(s, d).select("form"), T.senses(s, d), F.char_length("form")
+    row = lambda op, position=None, arg=None: [F.lit(op).alias("op"), F.lit(position).cast("int").alias("position"), (arg if arg is not None else F.lit(None).cast("string")).alias("arg")]
+    decisions = v.where(n % 7 == 0).select("form", *row("delete_entry", None, F.lit("long"))).unionByName(v.where(F.col("form") != F.lower("form")).select("form", *row("normalize_case", None, F.lower("form"))))
+    decisions = decisions.unionByName(x.where((F.col("position") == 1) & (n % 5 == 0)).select("form", *row("rewrite", 1, F.lit("rewritten")))).unionByName(x.where((F.col("position") == 2) & (n % 5 == 1)).select("form", *row("prune", 2)))
+    decisions = decisions.withColumns({"base": F.lit(None).cast("string"), "relation": F.lit(None).cast("string"), "promote": F.lit(False)})
+    dictionary.apply_decisions(store, decisions, "strong", "2024-03-03")
+    labels = store.table("labels").groupBy(F.col("sense_key").alias("id")).agg(F.count("*").alias("n"))
+    return store.table("senses").join(labels, "id", "left").select("id", "form", "position", "definition", F.coalesce("n", F.lit(0)).alias("n_labels"))
+
+
+@query(", r AS (SELECT form, row_number() OVER (ORDER BY form) AS r FROM v) SELECT form AS id, CASE WHEN r <= 50 THEN CASE WHEN length(form) % 2 = 0 THEN 'failed' ELSE 'done' END WHEN r <= 100 THEN 'claimed' ELSE 'pending' END AS state, CASE WHEN r <= 50 THEN 'a' WHEN r <= 80 THEN 'c' WHEN r <= 100 THEN 'b' END AS worker, CASE WHEN r <= 50 THEN 1 WHEN r <= 80 THEN 2 WHEN r <= 100 THEN 1 ELSE 0 END AS tries FROM r")
+def job_claims(s: SparkSession, d: str) -> DataFrame:
+    """Forms as jobs: one worker's are settled, of another one's, whose time is over, some go to a third."""
+    q = jobs.Queue(s, shared_path(s, "jobs"))
+    q.add(T.vocab(s, d).select(F.col("form").alias("id")))
+    token, ids = q.claim("a", 50, 60, now=0.0)
+    q.claim("b", 50, 60, now=0.0)
+    q.settle(token, s.createDataFrame([(i, "even" if len(i) % 2 == 0 else None) for i in ids], "id string, error string"))
+    q.claim("c", 30, 60, now=61.0)
+    return q.states().select("id", "state", "worker", "tries")
+
+
+@query()
+def ingest_run(s: SparkSession, d: str) -> DataFrame:
+    """The documents as a published table, ingested in two runs with both dedups; a row a document of the corpus."""
+    from lexspark.sources import etl, readers
+
+    store = etl.opened(s, shared_path(s, "ingest"))
+    src = readers.Source("documents", "hub", f"{d}/documents.parquet", "https://example.org/")
+    half = etl.stage(store, src) // 2
+    etl.augment(store, src, n_docs=10**9, n_pages=half)
+    etl.augment(store, src, n_docs=10**9)
+    return store.table("corpus").select("doc_id", "source", F.char_length("text").alias("chars"))
+
+
+@query(r""", n AS (SELECT lower(form) AS menu, count(DISTINCT form) AS variants FROM s GROUP BY 1),
+o AS (SELECT form, CASE WHEN min(morph_base) = max(morph_base) THEN min(morph_base) END AS base, bool_and(morph_base IS NOT NULL) AS derived FROM s GROUP BY form),
+b AS (SELECT form, 0 AS block, NULL AS base, form AS owner FROM o WHERE NOT (derived AND base IS NOT NULL) UNION ALL SELECT form, 1, CASE WHEN NOT derived THEN base END, base FROM o WHERE base IS NOT NULL),
+x AS (SELECT lower(b.form) AS menu, b.form, base, owner, s.id, s.definition, s.pos, row_number() OVER (PARTITION BY lower(b.form) ORDER BY b.form, block, s.position) AS key,
+      row_number() OVER (PARTITION BY b.form, block ORDER BY s.position) = 1 AS begins FROM b JOIN s ON s.form = owner)
+SELECT x.menu, key::VARCHAR AS key, id, owner, CASE WHEN NOT begins THEN '' WHEN base IS NOT NULL THEN chr(10) || 'Base form ' || chr(39) || base || chr(39) || ':' || chr(10) WHEN variants > 1 THEN chr(10) || '[' || form || ']' || chr(10) ELSE '' END
+  || key || '.' || coalesce(' [' || pos || ']', '') || ' ' || definition AS line FROM x JOIN n ON n.menu = x.menu""")
+def menu_entries(s: SparkSession, d: str) -> DataFrame:
+    return menus.entries(T.senses(s, d))
+
+
 # --- compile and quality ---------------------------------------------------------------------
 
 

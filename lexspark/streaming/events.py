@@ -87,7 +87,7 @@ def applied(now: Snapshot, batch: DataFrame, delay: int | None = None) -> Change
     own = every.join(touched, state.KEY, "left_semi").join(gone["sense_key"], "sense_key", "left").join(gone["form"], "form", "left")
     live = own.where("(sense_key_gone is null or struct(at, seq) > sense_key_gone) and (form_gone is null or struct(at, seq) > form_gone)").select(*state.KEY, "sense_key")
     old = now.table("labels").join(touched, state.KEY, "left_semi")
-    put, drop = (stored(t, "labels") for t in replaced(old, live, state.KEY))
+    put, drop = replaced(old, live, state.KEY)
     lost = old.join(put.select(*state.KEY).unionByName(drop), state.KEY, "left_semi").select("sense_key", F.lit(-1).alias("n"))
     more = lost.unionByName(put.select("sense_key", F.lit(1).alias("n"))).groupBy("sense_key").agg(F.sum("n").alias("d")).where("d <> 0")
     counts = more.join(now.table("counts"), "sense_key", "left").select("sense_key", (F.coalesce("n", F.lit(0)) + F.col("d")).alias("n"))
