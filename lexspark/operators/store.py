@@ -6,10 +6,15 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MADE: list[tuple[SparkSession, str]] = []
+#: What is still to be deleted: paths with their file system, which outlives a session that is stopped.
+_MADE: dict[str, tuple] = {}
+#: The paths made in the innermost scratch().
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -27,7 +32,10 @@ def shared_root(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is still there when the driver ends is deleted."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    _MADE.append((spark, path))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _MADE[path] = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+    if (own := _SCOPE.get()) is not None:
+        own.append(path)
     return path
 
 
@@ -35,6 +43,31 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _MADE.pop(path, None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block whose tables go at its end, but for what it stores with the function that it is given."""
+    own: list[str] = []
+    kept: list[str] = []
+    token = _SCOPE.set(own)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        before = len(own)
+        out = stored(df, name)
+        kept.append(own.pop(before))
+        return out
+
+    try:
+        yield keep
+    finally:
+        _SCOPE.reset(token)
+        for path in own:
+            if path in _MADE:
+                remove(spark, path)
+        if (outer := _SCOPE.get()) is not None:
+            outer.extend(kept)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -49,10 +82,11 @@ def drop_stored(df: DataFrame) -> None:
     """Deletes what stored() wrote for df."""
     for d in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         remove(df.sparkSession, d)
+        _MADE.pop(d.removeprefix("file://"), None)
 
 
 @atexit.register
 def _leave_nothing() -> None:
-    for spark, path in _MADE:
-        with contextlib.suppress(Exception):  # the session may have ended; there is nobody to tell
-            remove(spark, path)
+    for fs, at in _MADE.values():
+        with contextlib.suppress(Exception):  # the JVM may have ended; there is nobody to tell
+            fs.delete(at, True)
