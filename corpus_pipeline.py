@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexspark.llm import host_rules, langid, minhash, packing, suffixes
-from lexspark.llm._common import shared_path
+from lexspark.llm._common import drop_stored, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group of near-duplicates (five-word shingles, 0.8).
 
-    Texts without words and rows without an id stay; rows of one id stay or go together.
+    Texts without words and rows without an id stay; rows of one id stay or go together. An empty
+    table stays empty, and other columns stay as they are, whatever their names.
     """
     return minhash.keep_one(docs)
 
@@ -42,13 +43,18 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out passages that occur earlier; what that cuts inside a character is dropped.
 
     No row goes; a text that repeats whole is left empty and a null one null. Rows of one id, or
-    of none, are documents of their own unless their texts are equal too.
+    of none, are documents of their own unless their texts are equal too. An empty table stays
+    empty, and other columns stay as they are, whatever their names.
     """
     return suffixes.without_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places every document's tokens in training sequences; an empty text has its end token."""
+    """Places every document's tokens in training sequences.
+
+    A null or empty text has its end token alone; repeated rows and null ids are rows like others; an
+    empty table gives an empty result; columns besides doc_id and text are not read.
+    """
     return packing.pack(docs)
 
 
@@ -59,12 +65,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on the documents of sf_dir; what a stage has read goes once its result is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
-        path = shared_path(spark, f"stage{i}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark) as keep:
+            after = keep(stage(spark, docs, sf_dir), f"stage{i}")
+        if last is not None:
+            drop_stored(last)
+        docs = last = after
     return docs
-
-

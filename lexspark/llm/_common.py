@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexspark.operators.store import drop_stored, shared_path, stored
+from lexspark.operators.store import drop_stored, remove, scratch, shared_path, stored
 
-__all__ = ["drop_stored", "shared_path", "stored"]
+__all__ = ["drop_stored", "remove", "scratch", "shared_path", "stored"]
 
 U64 = np.uint64
 #: Odd multipliers of the polynomial hashes.

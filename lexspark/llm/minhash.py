@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm._common import R1, R2, U64, drop_stored, mix, stored, tokens
+from lexspark.llm._common import R1, R2, U64, drop_stored, mix, scratch, stored, tokens
 from lexspark.llm._graph import components
 
 #: Coordinates of a signature: the least of as many hashes over a document's shingles.
@@ -286,6 +286,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     and is kept. Columns besides id and text are not read; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
+    with scratch(docs.sparkSession) as keep:
+        return keep(_linked(rows, width, percent), "near-duplicates").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _linked(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of rows(doc_id, t); see near_duplicates()."""
     sk = stored(sketches(rows, width), "sketches")
     linked = sk.where("n_shingles > 0 and doc_id is not null")
     reps = stored(linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
@@ -365,10 +371,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     of_rep = reps.select("k1", "k2", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("of_set"))
     out = sk.select("doc_id", "n_shingles", "k1", "k2").join(of_rep, ["k1", "k2"], "left")
     cid = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("of_set", "doc_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", cid.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that near_duplicates() drops; columns as they are."""
-    gone = near_duplicates(docs, width, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """The documents without those that near_duplicates() drops; columns as they are, whatever their names."""
+    gone = near_duplicates(docs, width, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    own = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("id"))
+    return own.join(gone, F.col("id") == F.col("gone"), "left_anti").select("doc.*")

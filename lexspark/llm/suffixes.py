@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm._common import CHUNK, R1, R2, U64, chunked, mix, powers, stored
+from lexspark.llm._common import CHUNK, R1, R2, U64, chunked, mix, powers, scratch, stored
 
 #: Bytes of the strings that make an anchor.
 GRAM = 32
@@ -344,6 +344,12 @@ def _key(id_col: str, text_col: str) -> tuple[Column, Column, Column]:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("doc"), F.xxhash64(t).alias("tie"), t.alias("t")
 
 
+def _spans(rows: DataFrame, width: int) -> DataFrame:
+    """(doc, tie, spans) of the rows that lose bytes; all else that was stored to find them goes."""
+    with scratch(rows.sparkSession) as keep:
+        return keep(repeated_spans(rows, width).groupBy("doc", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+
+
 def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: (doc_id, n_bytes, n_removed, n_spans, kept binary, kept_sha256).
 
@@ -364,7 +370,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     Other columns are not read; an empty table gives an empty result.
     """
     rows = docs.select(*_key(id_col, text_col))
-    spans = repeated_spans(rows, width).groupBy("doc", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = _spans(rows, width)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -383,26 +389,26 @@ def without_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", t
     """docs with the repeats out of their texts, and count_col, where there is one, counted anew.
 
     Bytes of a character that is cut in the middle are dropped with it. A text of which nothing
-    is left is empty; a null text stays null.
+    is left is empty; a null text stays null. Rows of one id, or of none, are told apart by their
+    texts (see remove_repeats); an empty table stays empty; other columns may have any name.
     """
     names = docs.columns
     rows = docs.select(*_key(id_col, text_col))
-    spans = repeated_spans(rows, width).groupBy("doc", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    own = docs.select(F.struct(*names).alias("d"), *_key(id_col, text_col)[:2])
-    joined = own.join(spans, ["doc", "tie"], "left").select("d.*", F.col("spans").alias("_spans"))
-    at = names.index(text_col)
+    spans = _spans(rows, width)
+    own = docs.select(F.struct(*names).alias("row"), *_key(id_col, text_col)[:2])
+    joined = own.join(spans, ["doc", "tie"], "left").select("row", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            cols = dict(zip(names, b.column(0).flatten(), strict=True))
             texts = []
-            for t, spans in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+            for t, spans in zip(cols[text_col].to_pylist(), b.column(1).to_pylist(), strict=True):
                 if spans and t is not None:
                     raw = t.encode()
                     t = cut_out(raw, spans)[0].decode(errors="ignore")
                 texts.append(t)
-            cols = list(b.columns[: len(names)])
-            cols[at] = pa.array(texts, cols[at].type)
-            yield pa.RecordBatch.from_arrays(cols, names)
+            cols[text_col] = pa.array(texts, cols[text_col].type)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names)
 
     out = joined.mapInArrow(run, docs.schema)
     if count_col in names:
