@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a sliding window; characters in it that make a surge, and in a line that ends a dive.
+#: Lines of a sliding window; characters in it that make a surge, at most, and fewer than which are a dive.
 WINDOW = 3
 SURGE = 120
 DIVE = 25
-#: Characters that a line counts more if the page marks it as part of an article, where the marked
-#: lines hold at least this share of the page's text.
-ARTICLE = SURGE // WINDOW
+#: A window surges that holds this share of what the page's fullest one does.
+PEAK_SHARE = 0.5
+#: Where marked lines hold at least this share of the page's text, marks decide what the lengths leave open.
 LEAST_SHARE = 0.5
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -27,14 +27,22 @@ _BARE = re.compile(r"[^\s>]*")
 _LINK = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 #: Elements whose content is not markup.
 _RAW = {"script", "style", "noscript", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
-_DROP = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head", "fieldset", "label", "datalist", "audio", "video", "template", "svg", "math", "object", "canvas", "select"}
+_DROP = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head", "fieldset", "label", "datalist", "audio", "video", "template", "svg", "object", "canvas", "select"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "input"}
+#: Formulas stand in their sentence; what only repeats one in another notation goes.
+_MATH = {"math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mspace", "mstyle", "mpadded", "menclose", "mtable", "mtr", "mtd", "semantics"}
+_INLINE |= _MATH
+_DROP |= {"annotation", "annotation-xml"}
 #: Words of class, id and role names that mark what is not the article.
 _BOILER = set(
     "nav navbar navigation menu menubar submenu topnav topbar toolbar footer foot copyright sidebar aside sidenav rail widget widgets banner ad ads adv advert adverts advertisement advertising adsense adslot promo promos promoted promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices notification notifications alert alerts disclaimer popup modal overlay "
     "comment comments commentlist respond reply replies disqus discussion feedback share sharing social related recommended recommendations breadcrumb breadcrumbs crumbs pagination pager login signin signup subscribe subscription newsletter search searchbox skip toc tags tagcloud contentinfo complementary dialog legal paywall outbrain taboola".split()
 )
+#: Words that stand beside such a word in a name without changing what it means.
+_BESIDE = set("list lists item items section block box bar container wrapper wrap area link links button buttons icon icons post posts article articles story stories form thread slot unit left right top bottom inner outer main content text title header heading body group panel column col row".split())
+#: Words that name parts of an article as well: an element in one so named goes only if it holds no window of text that surges.
+_EITHER = set("footer foot rail discussion feedback share sharing social related recommended recommendations legal notice notices alert alerts disclaimer reply replies respond search skip toc tags rss copyright sponsor sponsors sponsored widget modal overlay banner menu navigation".split())
 _HEADER = {"header", "head", "masthead", "pageheader", "siteheader"}
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -50,6 +58,18 @@ def _marks(tag: str, attrs: dict[str, str]) -> tuple[set[str], bool]:
     return names, "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
 
 
+def _named(attrs: dict[str, str]) -> tuple[bool, bool]:
+    """Whether a class, id or role of an element inside an article names, as a whole, what is not part of it; and whether it might."""
+    surely = perhaps = False
+    for k in ("class", "id", "role"):
+        for name in attrs.get(k, "").split():
+            words = set(_WORD.findall(_CAMEL.sub("-", name).lower()))
+            if words & _BOILER and words <= _BOILER | _BESIDE:
+                either = (words & _BOILER) <= _EITHER
+                surely, perhaps = surely or not either, perhaps or either
+    return surely, perhaps
+
+
 class _Scanner:
     """Tags and text of a page by the rules of HTML's tokeniser, in time proportional to its length.
 
@@ -148,11 +168,17 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters inside links, inside an article) of each block of a page, in order.
 
     Scripts, styles, comments and markup are stripped; blocks of menus, headers, footers,
-    sidebars, notices, adverts, forms and reader comments are left as empty lines. A link is an
-    `a` with an address; one that nothing closes before the next ends with its block.
+    sidebars, notices, adverts, forms and reader comments are left as empty lines. Inside an article
+    a name counts only as a whole: `related-links` goes, `related-work` stays; and one that an
+    article's own part may have (`discussion`) only if no window of its text surges. A link is an
+    `a` with an address; one that nothing closes before the next ends with its block. In a list
+    of an article that follows a heading at once, links count as text.
     """
     out: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, dropped from here on, inside an article
+    spans: list[tuple[int, int]] = []  # open elements that may go: depth, first line
+    headed = False  # the last line with text is a heading
+    lists = 0  # the depth at which a list under a heading began
     open_tags: Counter[str] = Counter()
     parts: list[str] = []
     link = 0
@@ -161,9 +187,11 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     closed = {at for (at, close), (_, after) in zip(ends, ends[1:], strict=False) if not close and after}
 
     def close_block() -> None:
-        nonlocal link, linked
+        nonlocal link, linked, headed
         text = " ".join(htmllib.unescape("".join(parts)).split())
-        out.append((text, min(link, len(text)), bool(stack and stack[-1][2])))
+        out.append((text, 0 if lists else min(link, len(text)), bool(stack and stack[-1][2])))
+        if text:
+            headed = bool(stack) and stack[-1][0] in _HEADINGS
         parts.clear()
         link = 0
         linked = linked and lasting
@@ -176,7 +204,14 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 link += len(" ".join(s.split()))
 
     def pop() -> None:
+        nonlocal lists
         open_tags[stack.pop()[0]] -= 1
+        if lists > len(stack):
+            lists = 0
+        if spans and spans[-1][0] > len(stack):
+            first = spans.pop()[1]
+            if not surges([_size(t, k) for t, k, _ in out[first:] if t]):
+                out[first:] = [("", 0, a) for _, _, a in out[first:]]
 
     def push(tag: str, dropped: bool, article: bool) -> None:
         stack.append((tag, dropped, article))
@@ -218,18 +253,37 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         names, hidden = _marks(tag, attrs) if attrs else (set(), False)
         dropped, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         if inline:
-            if hidden or dropped or (names & _BOILER and tag == "span"):
+            if hidden or dropped or (tag == "span" and (_named(attrs)[0] if article else names & _BOILER)):
                 push(tag, True, article)
             continue
         main = tag in ("article", "main") or attrs.get("role", "").lower() == "main"
         big = tag in ("body", "html", "article", "main")
-        bad = hidden or tag in _DROP or (not big and bool(names & _BOILER)) or (tag == "article" and bool(names & {"comment", "comments", "reply", "ad", "ads", "promo", "related"}))
+        surely, perhaps = _named(attrs) if article and names & _BOILER else (bool(names & _BOILER), False)
+        bad = hidden or tag in _DROP or (not big and surely) or (tag == "article" and bool(names & {"comment", "comments", "reply", "ad", "ads", "promo", "related"}))
         bad = bad or (not article and not big and (tag == "header" or bool(names & _HEADER)))
         push(tag, dropped or bad, (article or main) and not bad)
+        if perhaps and not (dropped or bad or big or tag in _HEADINGS):
+            spans.append((len(stack), len(out)))
+        if tag in ("ul", "ol") and headed and article and not lists:
+            lists = len(stack)
     close_block()
+    while stack:
+        pop()
     return out
 
 
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+
+def _size(text: str, link: int) -> int:
+    """The characters of a line that count: as many as it has outside links more than inside."""
+    return max(0, len(text) - 2 * link)
+
+
+def surges(size: list[int], least: int = SURGE) -> bool:
+    return any(sum(size[i : i + WINDOW]) >= least for i in range(len(size)))
+
+
 #: Open elements that a start tag ends, where only inline ones lie between.
 _ENDED = {t: {"p"} for t in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "div", "ul", "ol", "table", "blockquote", "pre", "section", "article", "header", "footer", "form", "hr", "address", "dl", "figure", "main", "nav", "aside")}
 _ENDED |= {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "option": {"option"}}
@@ -239,40 +293,54 @@ def main_text(page: str | None) -> str:
     """The article of a page: its blocks in order, one a line; empty if there is none.
 
     The lengths of text outside links are summed over sliding windows of WINDOW lines: a zone
-    begins where a window surges over SURGE characters, at the first line that is not mostly
-    links, and dives where a window has less than DIVE; the lines between are kept. Lines that the
-    page marks as an article count ARTICLE more each, as far as they are not mostly links and hold
-    most of the page's text: so an article of short lines surges too, menus and lists of links in
-    it dive, and teasers beside a longer text count as what they are. No window reaches over an
-    article's edge. Outside articles, lines that are mostly links go from a zone too.
+    begins where a window surges, over SURGE characters or, on a page of short lines, over
+    PEAK_SHARE of its fullest window, at the first line that is not mostly links; it ends where
+    one dives below DIVE (or that surge, if it is less), but a short line that ends a sentence stays with the zone before it. The
+    lines between are kept, but for those that are mostly links.
+    Marks break ties: where the lines that the page marks as an article hold most of its text,
+    short lines there belong to it as well, so in marked lines a zone begins with any text and
+    ends where a window holds none but links; teasers beside a longer text, and short lines around
+    an article, count as what they are. No window reaches over an article's edge.
     """
     if not page:
         return ""
     lines = [x for x in lines_of(page) if x[0]]
-    size = [len(t) - 2 * k if 2 * k < len(t) else 0 for t, k, _ in lines]
+    size = [_size(t, k) for t, k, _ in lines]
     marked = sum(n for n, x in zip(size, lines, strict=True) if x[2])
-    more = ARTICLE if marked >= LEAST_SHARE * sum(size) else 0
+    trusted = marked > 0 and marked >= LEAST_SHARE * sum(size)
+    peak = max((sum(size[i : i + WINDOW]) for i in range(len(size))), default=0)
+    surge = max(1, min(SURGE, int(PEAK_SHARE * peak)))
     kept: list[bool] = []
     for article, run in itertools.groupby(range(len(lines)), lambda i: lines[i][2]):
-        own = [size[i] + more * (article and size[i] > 0) for i in run]
-        kept += zones(own, article and more > 0)
-    if not any(kept):  # a short page: what is not links
-        kept = [s > 0 for s in size]
+        at = list(run)
+        if article and trusted:
+            kept += zones([size[i] for i in at], True, dive=1)
+        else:
+            # beside a trusted article only what is long by any measure
+            least = SURGE if trusted else surge
+            own = zones([size[i] for i in at], surge=least, dive=min(DIVE, least))
+            for j in range(1, len(own)):
+                own[j] = own[j] or (own[j - 1] and size[at[j]] > 0 and lines[at[j]][0].endswith(_ENDS))
+            kept += own
     return "\n".join(t for (t, _, _), k in zip(lines, kept, strict=True) if k)
 
 
-def zones(size: list[int], whole: bool = False) -> list[bool]:
+#: What a sentence ends with.
+_ENDS = (".", "!", "?", "…", '."', '!"', '?"', ".”", "!”", "?”", ".»", ".)")
+
+
+def zones(size: list[int], whole: bool = False, surge: int = SURGE, dive: int = DIVE) -> list[bool]:
     """Which of the lines lie between a surge and a dive, by the size of each; empty ones only if whole."""
     kept = [False] * len(size)
     i = 0
     while i < len(size):
-        if size[i] and sum(size[i : i + WINDOW]) >= SURGE or (whole and size[i]):
+        if size[i] and sum(size[i : i + WINDOW]) >= surge or (whole and size[i]):
             j = i
             while j > max(0, i - WINDOW) and size[j - 1] and not kept[j - 1]:  # a heading before the surge
                 j -= 1
                 kept[j] = True
             j = i
-            while j < len(size) and sum(size[j : j + WINDOW]) >= DIVE:
+            while j < len(size) and sum(size[j : j + WINDOW]) >= dive:
                 kept[j] = whole or size[j] > 0
                 j += 1
             i = j
