@@ -25,3 +25,19 @@ def numbered(rows: DataFrame, order: list[str | Column], name: str) -> DataFrame
     first = n.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_first"))
     place = F.col("_first") + F.col("_m").bitwiseAND((1 << PART_BIT) - 1)
     return at.join(F.broadcast(first), "_p").select(*rows.columns, place.alias(name))
+
+
+def running(rows: DataFrame, order: list[str | Column], sums: dict[str, str]) -> DataFrame:
+    """rows with running sums, in the order, up to and with each row: a column for each name, of the column it stands for.
+
+    Like numbered(): sums are formed within ranges of the order, and those of the ranges before are
+    added, one row a range; no task sees more than a range. Rows that the order leaves tied are
+    summed in any order among themselves, and if many rows tie, they are one range: group such
+    rows before.
+    """
+    at = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "running")
+    at = at.withColumn("_p", F.shiftright("_m", PART_BIT))
+    whole = at.groupBy("_p").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    before = whole.select("_p", *[(F.sum(f"_{k}").over(Window.orderBy("_p")) - F.col(f"_{k}")).alias(f"_{k}") for k in sums])
+    own = Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return at.join(F.broadcast(before), "_p").select(*rows.columns, *[(F.col(f"_{k}") + F.sum(c).over(own)).alias(k) for k, c in sums.items()])

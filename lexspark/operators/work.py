@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
-from lexspark.operators.ranking import numbered
+from lexspark.operators.ranking import numbered, running
+from lexspark.operators.store import stored
 
 
 def need(totals: DataFrame, counts: DataFrame, alpha: float = 5.0) -> DataFrame:
@@ -32,20 +33,17 @@ def allocate(rows: DataFrame, budget: int) -> DataFrame:
     """rows(form, weight, avail) with n: the budget shared by weight, capped by what is available.
 
     Forms are filled in order of avail / weight until one takes its share of what is left; from
-    there on none is capped. The order is total, so the sums run over one sorted column of the
-    vocabulary, not of the corpus.
+    there on none is capped. The order is total; what is filled before a form and what weighs
+    after it are running sums over ranges of it (see ranking.running).
     """
-    x = rows.where("weight > 0 and avail > 0")
-    up = Window.orderBy((F.col("avail") / F.col("weight")), "form").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.orderBy((F.col("avail") / F.col("weight")).desc(), F.col("form").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("before", F.sum("avail").over(up) - F.col("avail")).withColumn("rest", F.sum("weight").over(down))
-    x = x.withColumn("share", (budget - F.col("before")) * F.col("weight") / F.col("rest")).withColumn("free", F.col("share") < F.col("avail"))
-    started = F.max(F.col("free").cast("int")).over(up) == 1
-    first = F.min_by(F.struct("before", "rest"), F.col("rn"))
-    x = x.withColumn("tail", started).withColumn("rn", F.row_number().over(Window.orderBy(F.col("avail") / F.col("weight"), "form")))
-    at = x.where("tail").agg(first.alias("s"))
+    q = F.col("avail") / F.col("weight")
+    x = rows.where("weight > 0 and avail > 0").select("form", "weight", "avail", F.lit(1).alias("one"))
+    x = running(x, [q, "form"], {"filled": "avail", "place": "one"})
+    x = running(x, [q.desc(), F.col("form").desc()], {"rest": "weight"})
+    x = stored(x.withColumn("before", F.col("filled") - F.col("avail")).withColumn("share", (budget - F.col("before")) * F.col("weight") / F.col("rest")), "shares")
+    at = x.where(F.col("share") < F.col("avail")).agg(F.min(F.struct("place", "before", "rest")).alias("s"))
     y = x.join(F.broadcast(at), F.lit(True), "left")  # one row
-    n = F.when(F.col("tail"), ((budget - F.col("s.before")) * F.col("weight") / F.col("s.rest")).cast("long")).otherwise(F.col("avail"))
+    n = F.when(F.col("place") >= F.col("s.place"), ((budget - F.col("s.before")) * F.col("weight") / F.col("s.rest")).cast("long")).otherwise(F.col("avail"))
     return y.select("form", n.cast("long").alias("n")).where("n > 0")
 
 

@@ -724,8 +724,8 @@ def spearman(s: SparkSession, d: str) -> DataFrame:
 @query(_POINTS + ", q AS (SELECT quantile_cont(x, 0.8) AS p80, median(y) AS med FROM p) SELECT form, round(x, 6) AS x, y FROM p, q WHERE x >= p80 AND y <= med ORDER BY y DESC, form LIMIT 5")
 def divergence_outliers(s: SparkSession, d: str) -> DataFrame:
     p = _points(s, d)
-    q = p.agg(F.percentile("x", F.lit(0.8)).alias("p80"), F.median("y").alias("med"))
-    return p.join(F.broadcast(q), F.lit(True)).where("x >= p80 and y <= med").orderBy(F.desc("y"), "form").limit(5).select("form", _r("x"), "y")  # one row
+    p80, med = stats.quantiles(p, "x", [0.8])[0], stats.quantiles(p, "y", [0.5])[0]
+    return p.where((F.col("x") >= F.lit(p80)) & (F.col("y") <= F.lit(med))).orderBy(F.desc("y"), "form").limit(5).select("form", _r("x"), "y")
 
 
 # --- inventory and viewers -------------------------------------------------------------------
