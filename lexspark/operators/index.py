@@ -2,17 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
 
 
+#: Characters of the blocks that a text is cut into first, and of the chunks that a block is cut into.
+BLOCK, CHUNK = 20_000, 60
+
+
+def _before(lengths: Column) -> Column:
+    """For each of a few lengths the sum of those before it."""
+    return F.transform(lengths, lambda x, i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0).cast("long"), lambda a, b: a + b))
+
+
+def _long(x: Column) -> Column:
+    return x.cast("long")
+
+
 def tokenize(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, form, byte_offset): tokens with their place in the UTF-8 text."""
-    t = docs.select("doc_id", F.posexplode(X.pieces(F.col("text"))).alias("pos", "piece")).withColumn("form", X.strip_left(F.col("piece")))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    return t.select("doc_id", "pos", "form", (F.sum(F.octet_length("piece")).over(w) - F.octet_length("form")).alias("byte_offset"))
+    """(doc_id, pos, form, byte_offset): tokens with their place in the UTF-8 text.
+
+    A text is cut where no token is, into blocks (a row each) and these into chunks, with the
+    bytes and tokens before each as sums over the cuts; a token's place is its chunk's and what
+    precedes it there. So the work on a text grows with its length, a row is never more than a
+    block, and nothing is shuffled. Null and empty texts have no tokens.
+    """
+    b = docs.select("doc_id", X.cuts(F.col("text"), BLOCK).alias("b"))
+    b = b.withColumns({"at": F.transform("b", lambda x: _long(F.octet_length(x))), "no": F.transform("b", lambda x: _long(F.regexp_count(x, F.lit(X.PIECE))))})
+    b = b.withColumns({"at": _before(F.col("at")), "no": _before(F.col("no"))})
+    b = b.select("doc_id", F.explode(F.arrays_zip("b", "at", "no")).alias("x")).select("doc_id", F.col("x.at").alias("at0"), F.col("x.no").alias("no0"), X.cuts(F.col("x.b"), CHUNK).alias("c"))
+    c = b.withColumn("p", F.transform("c", lambda x: X.pieces(x)))
+    c = c.withColumns({"at": F.transform("c", lambda x: _long(F.octet_length(x))), "no": F.transform("p", lambda x: _long(F.size(x)))})
+    c = c.withColumns({"at": _before(F.col("at")), "no": _before(F.col("no"))})
+    c = c.select("doc_id", "at0", "no0", F.explode(F.arrays_zip("p", "at", "no")).alias("x")).select("doc_id", (F.col("at0") + F.col("x.at")).alias("at"), (F.col("no0") + F.col("x.no")).alias("no"), F.col("x.p").alias("p"))
+    t = c.select("doc_id", "at", "no", "p", F.posexplode("p").alias("i", "piece")).withColumn("form", X.strip_left(F.col("piece")))
+    end = F.col("at") + F.octet_length(F.array_join(F.slice("p", F.lit(1), F.col("i") + 1), ""))
+    return t.select("doc_id", (F.col("no") + F.col("i")).cast("int").alias("pos"), "form", (end - F.octet_length("form")).alias("byte_offset"))
 
 
 def in_context(docs: DataFrame, around: int) -> DataFrame:

@@ -31,22 +31,31 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Table:
-    """A table's columns, and its key; without a key rows are only added."""
+    """A table's columns, and its key; without a key rows are only added.
+
+    order, for the rows of a part, is how they are dealt to files and sorted in them; partition is a
+    column that makes folders, and options are the writer's.
+    """
 
     schema: str
     key: tuple[str, ...] = ()
+    order: tuple[str, ...] = ()
+    partition: str | None = None
+    options: tuple[tuple[str, str], ...] = ()
 
 
 @dataclass
 class Change:
     """What a commit does: rows to put, by table (in place of those with their key), and keys to drop.
 
-    marks are named values that stand beside the tables, such as cursors.
+    whole has tables that are written anew. marks are named values that stand beside the tables,
+    such as cursors.
     """
 
     put: dict[str, DataFrame] = field(default_factory=dict)
     drop: dict[str, DataFrame] = field(default_factory=dict)
     marks: dict[str, object] = field(default_factory=dict)
+    whole: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def _same(a: DataFrame, b: DataFrame, key: Iterable[str]) -> Column:
@@ -136,7 +145,12 @@ class Snapshot:
             return spark.createDataFrame([], kind.schema)
         read = lambda p, more="": spark.read.schema(kind.schema + more).parquet(*p)
         if not kind.key:
-            return read(parts)
+            if not kind.partition:
+                return read(parts)
+            out = read(parts[:1])  # folders of partitions are looked for under one path at a time
+            for p in parts[1:]:
+                out = out.unionByName(read([p]))
+            return out
         base = read(parts[:1])
         if len(parts) == 1:
             return base
@@ -178,8 +192,11 @@ class Store:
 
     def _write(self, rows: DataFrame, name: str) -> str:
         """rows in a new part of the table."""
-        part = f"{name}/{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{part}")
+        part, kind = f"{name}/{uuid.uuid4().hex}", self.tables[name]
+        if kind.order:
+            rows = rows.repartitionByRange(*kind.order).sortWithinPartitions(*kind.order)
+        to = rows.write.options(**dict(kind.options))
+        (to.partitionBy(kind.partition) if kind.partition else to).parquet(f"{self.root}/{part}")
         return part
 
     def _written(self, change: Change) -> dict[str, str]:
@@ -199,8 +216,8 @@ class Store:
             out[name] = self._write(put, name)
         return out
 
-    def _committed(self, last: Commit, new: dict[str, str], marks: dict[str, object], keys: list[str] | None) -> bool:
-        parts = {t: list(p) for t, p in last.parts.items()}
+    def _committed(self, last: Commit, new: dict[str, str], whole: dict[str, str], marks: dict[str, object], keys: list[str] | None) -> bool:
+        parts = {t: list(p) for t, p in last.parts.items()} | {t: [p] for t, p in whole.items()}
         for name, part in new.items():
             own = parts.setdefault(name, [])
             if self.tables[name].key and not own:  # the first part of a keyed table is one without changes
@@ -212,7 +229,8 @@ class Store:
     def update(self, change: Callable[[Snapshot], Change | None], keys: Iterable[str] | None = None, tries: int = TRIES) -> int:
         """Commits what change makes of the newest snapshot; returns the version, or the present one if it makes None.
 
-        keys are names for all that the change reads and writes (None: anything). If another
+        keys are names for all that the change reads and writes (None: anything; a table written anew
+        is read whole). If another
         writer commits meanwhile, a change with other keys is put on top of that as it is; else
         change is called again with the new snapshot. Conflict is raised after so many calls.
         """
@@ -223,7 +241,8 @@ class Store:
             if wanted is None:
                 return seen.version
             new, last = self._written(wanted), seen.commit
-            while not self._committed(last, new, wanted.marks, own):
+            whole = {t: self._write(rows, t) for t, rows in wanted.whole.items()}
+            while not self._committed(last, new, whole, wanted.marks, own):
                 # the next commits one by one: each may touch what was read
                 last = self.commit(last.version + 1)
                 if own is None or last.keys is None or set(own) & set(last.keys):
@@ -231,7 +250,7 @@ class Store:
             else:
                 self._fold()
                 return last.version + 1
-            for part in new.values():
+            for part in (*new.values(), *whole.values()):
                 self.files.delete(part)
         raise Conflict(f"{tries} tries on {self.root}")
 

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
+from lexspark.operators import versions
 from lexspark.operators.index import tokenize
+from lexspark.operators.store import shared_path
 
 MIN_VOCAB = 50
 
@@ -18,8 +20,20 @@ def docs(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/documents.parquet")
 
 
+#: The tokens of tables that were read before in this run of the driver, by path and state of the files.
+_TOKENS: dict[tuple, str] = {}
+
+
 def tokens(s: SparkSession, d: str) -> DataFrame:
-    return tokenize(docs(s, d))
+    """The documents segmented once: stored, and read again with the columns that a query asks for."""
+    files = versions.Files(s, f"{d}/documents.parquet")
+    at = files.path("")
+    key = (s.sparkContext.applicationId, d, *[(f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in sorted(files.fs.listStatus(at), key=lambda f: f.getPath().getName())])
+    if key not in _TOKENS or not versions.Files(s, _TOKENS[key]).names(""):
+        path = shared_path(s, "tokens")
+        tokenize(docs(s, d)).write.parquet(path)
+        _TOKENS[key] = path
+    return s.read.schema("doc_id long, pos int, form string, byte_offset long").parquet(_TOKENS[key])
 
 
 def dated(s: SparkSession, d: str) -> DataFrame:
