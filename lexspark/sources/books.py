@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
 from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
@@ -40,24 +38,28 @@ def described(xml: bytes) -> dict | None:
     return {"about": book.get(f"{RDF}about"), "language": value(book, "language"), "type": value(book, "type"), "media": media, "title": book.findtext(f"{TERMS}title"), "author": book.findtext(f".//{BOOK}agent/{BOOK}name")}
 
 
+#: What every description ends with, whatever its prefix is called.
+CLOSE = ":RDF>"
+
+
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """ENTRY rows of the .rdf members of tar archives (any compression); an archive is one task."""
+    """ENTRY rows of the .rdf members of tar archives, plain or compressed.
+
+    The members of an archive are XML that ends alike, so it is read as text cut after that: a
+    plain or bzip2 archive is as many tasks as it has splits, and no task holds more than a member.
+    What stands before the last description that opens is the archive's header with the member's
+    name, fill, and what may be left of a broken member before it.
+    """
+    members = spark.read.option("lineSep", CLOSE).text(path)
+    parts = members.select(F.regexp_extract("value", r"(?s)^(.*)<[\w.-]+:RDF\s", 1).alias("head"), F.regexp_extract("value", r"(?s)^.*(<[\w.-]+:RDF\s.*)$", 1).alias("xml"))
+    named = parts.where(F.col("xml").rlike(r"</[\w.-]+$")).where(F.contains("head", F.lit(".rdf")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in ENTRY.split(", ")]
         for b in batches:
-            for content in b.content:
-                rows: list[dict] = []
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-                    for m in tar:
-                        if m.isfile() and m.name.endswith(".rdf") and (e := described(tar.extractfile(m).read())):
-                            rows.append(e)
-                            if len(rows) == 4096:
-                                yield pd.DataFrame(rows, columns=names)
-                                rows = []
-                yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame([e for x in b.xml if (e := described((x + CLOSE).encode()))], columns=names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ENTRY)
+    return named.select("xml").mapInPandas(run, ENTRY)
 
 
 def read_books(spark: SparkSession, source: Source, fetch: Callable[[str], str | None], language: str = "en") -> DataFrame:
@@ -78,7 +80,7 @@ def read_books(spark: SparkSession, source: Source, fetch: Callable[[str], str |
                 if text := fetch(one.id.iloc[0]):
                     yield one.assign(text=text)
 
-    # the archive came through one task: fetching is spread over all
+    # a gzip archive comes through one task: fetching is spread over all
     got = x.repartition("id").mapInPandas(run, "id string, title string, author string, text string")
     pages = got.withColumn("text", strip_book(F.col("text"), START, END)).where("text <> ''")
     return pages.select("title", "text", F.lit(None).cast("int").alias("year"), "author", F.lit(source.name).alias("source"), F.concat(F.lit(source.base_url), "id").alias("source_url"))
