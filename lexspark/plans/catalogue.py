@@ -140,7 +140,19 @@ def near_dup_prior_docs(s: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", "hits", "total", (F.col("hits") >= 0.05 * F.col("total")).alias("near"))
 
 
-@query()
+@query("WITH RECURSIVE" + _GRAMS.replace("g AS (", "g AS MATERIALIZED (") + """,
+k AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
+c AS MATERIALIZED (SELECT n, hash(g) AS g, count(*) AS m, bool_or(i % 10 = 0) AS s FROM g JOIN k ON k.doc_id = g.doc_id GROUP BY 1, 2),
+t AS MATERIALIZED (SELECT n, sum(m) AS total FROM c GROUP BY n),
+h AS MATERIALIZED (SELECT c.n, c.g, c.m FROM c JOIN (SELECT g, min(n) AS first FROM c WHERE s GROUP BY g) f ON f.g = c.g AND f.first < c.n),
+s AS MATERIALIZED (SELECT n, g FROM c WHERE s AND g IN (SELECT g FROM h)),
+r AS (
+  SELECT 0::BIGINT AS n, []::UBIGINT[] AS known, false AS accepted
+  UNION ALL
+  SELECT n, CASE WHEN ok THEN list_concat(known, coalesce((SELECT list(s.g) FROM s WHERE s.n = x.n), [])) ELSE known END, ok
+  FROM (SELECT r.n + 1 AS n, known, coalesce((SELECT sum(h.m) FROM h WHERE h.n = r.n + 1 AND list_contains(r.known, h.g)), 0) < 0.05 * coalesce((SELECT total FROM t WHERE t.n = r.n + 1), 1) AS ok
+        FROM r WHERE r.n < (SELECT max(n) FROM k)) x)
+SELECT k.doc_id, r.accepted FROM r JOIN k ON k.n = r.n""", base=False)
 def near_dup_greedy(s: SparkSession, d: str) -> DataFrame:
     return dedup.greedy(T.docs(s, d))
 
@@ -150,7 +162,8 @@ def incremental_docs(s: SparkSession, d: str) -> DataFrame:
     return index.unsegmented(T.docs(s, d).select("doc_id"), T.tokens(s, d).where("doc_id % 3 <> 0"))
 
 
-@query()
+@query(r"""SELECT page_id, title, coalesce(nullif(url, ''), 'https://example.org/' || replace(url_encode(replace(title, ' ', '_')), '%2F', '/')) AS source_url, substr(sha256(html), 1, 8) AS content_id,
+  coalesce(try_cast(regexp_extract(html, '\|\s*year\s*=\s*(\d{4})', 1) AS INT), 2020) AS year FROM (SELECT *, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title FROM pages)""", base=False)
 def page_parse(s: SparkSession, d: str) -> DataFrame:
     p = s.read.parquet(f"{d}/pages.parquet")
     title = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
@@ -455,7 +468,7 @@ def mutation_log(s: SparkSession, d: str) -> DataFrame:
     return new.groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("kinds"))
 
 
-@query()
+@query("SELECT * FROM events WHERE event_id IS NOT NULL AND event_type IS NOT NULL", base=False)
 def event_drain_stream(s: SparkSession, d: str) -> DataFrame:
     from lexspark.streaming.events import drain
 
@@ -674,7 +687,11 @@ def freq_percentile(s: SparkSession, d: str) -> DataFrame:
     return r.select("form", F.ceil((F.col("r") + 1) / F.col("n").cast("double") * 100).cast("int").alias("percentile"))
 
 
-@query()
+@query(""", n AS (SELECT form, sense_key, count(*) AS n FROM lr WHERE rating >= 1 GROUP BY 1, 2), f AS (SELECT *, sum(n) OVER (PARTITION BY form) AS total FROM n),
+b AS (SELECT f.form, '[' || string_agg('{"position":' || position || ',"share":' || round(n / total::DOUBLE, 6) || '}', ',' ORDER BY position) || ']' AS senses_bar FROM f JOIN s ON s.id = f.sense_key AND s.form = f.form GROUP BY f.form),
+o AS (SELECT form, '[' || string_agg('{"position":' || position || ',"definition":"' || definition || '"' || coalesce(',"pos":"' || pos || '"', '') || '}', ',' ORDER BY position) || ']' AS senses, max(updated_at) AS updated_at FROM s GROUP BY form),
+p AS (SELECT form, ceil(row_number() OVER (ORDER BY total DESC, form) / count(*) OVER ()::DOUBLE * 100)::INT AS percentile FROM v)
+SELECT o.form, senses, updated_at, senses_bar, percentile FROM o LEFT JOIN b ON b.form = o.form LEFT JOIN p ON p.form = o.form""")
 def compiled_entries(s: SparkSession, d: str) -> DataFrame:
     bars = senses_bar(s, d).groupBy("form").agg(F.to_json(F.sort_array(F.collect_list(F.struct("position", "share")))).alias("senses_bar"))
     own = T.senses(s, d).groupBy("form").agg(F.to_json(F.sort_array(F.collect_list(F.struct("position", "definition", "pos")))).alias("senses"), F.max("updated_at").alias("updated_at"))
