@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
@@ -23,10 +23,22 @@ def weighted_sample(rows: DataFrame, weight: str, key: str, n: int, seed: str) -
     return rows.where(F.col(weight) > 0).withColumn("draw", e).orderBy("draw", key).limit(n)
 
 
+#: Parts in which the rows of a group are ranked first, so that those of a frequent one do not meet in one task.
+PARTS = 32
+
+
+def _first(rows: DataFrame, group: list[str], k: Column | int, seed: str, key: list[str]) -> DataFrame:
+    """The first k rows of each group by the hash of seed and key, with their rank; k may be a column of the group."""
+    order = [F.md5(F.concat_ws("|", F.lit(seed), *key)), *key]
+    part = F.pmod(F.xxhash64(*key), F.lit(PARTS))
+    own = Window.partitionBy(*group, "_part").orderBy(*order)
+    few = rows.withColumn("_part", part).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).drop("_part")
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
+
+
 def uniform_sample(rows: DataFrame, group: list[str], k: int, seed: str, key: list[str]) -> DataFrame:
     """Up to k rows of each group, by the hash of seed and key."""
-    w = Window.partitionBy(*group).orderBy(F.md5(F.concat_ws("|", F.lit(seed), *key)), *key)
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _first(rows, group, k, seed, key)
 
 
 def allocate(rows: DataFrame, budget: int) -> DataFrame:
@@ -70,18 +82,52 @@ def stale_split(labels: DataFrame, latest: DataFrame) -> DataFrame:
 
 def mixture(rows: DataFrame, k: int, share: float, seed: str) -> DataFrame:
     """For each form k rows: share of them stale as far as there are, the rest fresh."""
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("form", "stale").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "doc_id", "byte_offset")), "doc_id", "byte_offset")))
-    ranked = ranked.withColumn("n_stale", F.count_if("stale").over(Window.partitionBy("form")))
-    quota = F.least(F.lit(int(k * share)), F.col("n_stale"))
-    return ranked.where(F.when(F.col("stale"), F.col("rank") <= quota).otherwise(F.col("rank") <= k - quota)).drop("rank", "n_stale")
+    return mixed(rows, rows.select("form").distinct().withColumn("n", F.lit(k)), share, seed)
+
+
+def mixed(rows: DataFrame, wanted: DataFrame, share: float, seed: str) -> DataFrame:
+    """For each form of wanted(form, n) n rows of rows(form, doc_id, byte_offset, stale, more): share of them stale as far as there are, the rest fresh."""
+    stale = rows.groupBy("form").agg(F.count_if("stale").alias("n_stale"))
+    quota = F.least(F.floor(F.col("n") * share), F.col("n_stale"))
+    quotas = wanted.join(stale, "form").select("form", quota.alias("stale_n"), (F.col("n") - quota).alias("fresh_n"))
+    x = rows.join(quotas, "form")
+    k = F.when(F.col("stale"), F.col("stale_n")).otherwise(F.col("fresh_n"))
+    return _first(x.withColumn("_k", k), ["form", "stale"], F.col("_k"), seed, ["doc_id", "byte_offset"]).drop("rank", "_k", "stale_n", "fresh_n")
 
 
 def critic_groups(labels: DataFrame, senses: DataFrame, least: int = 5, most: int = 20, seed: str = "critic") -> DataFrame:
     """Labels to review: known sense, not reviewed since it changed, least to most of each sense."""
     s = senses.select(F.col("id").alias("sense_key"), F.col("updated_at").alias("changed"))
     x = labels.join(s, "sense_key").where(F.col("last_critic").isNull() | (F.col("last_critic") < F.col("changed")))
-    x = x.withColumn("n", F.count("*").over(Window.partitionBy("sense_key"))).where(F.col("n") >= least)
-    return uniform_sample(x, ["sense_key"], most, seed, ["doc_id", "byte_offset"])
+    enough = x.groupBy("sense_key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return uniform_sample(x.join(enough, "sense_key"), ["sense_key"], most, seed, ["doc_id", "byte_offset"])
+
+
+def batch_sample(occurrences: DataFrame, labels: DataFrame, senses: DataFrame, budget: int, seed: str, share: float = 0.1, least: int = 5) -> DataFrame:
+    """(form, doc_id, byte_offset, stale): the occurrences that a batch asks about, about budget in all.
+
+    Of the case variants of a form the first one with senses stands for all: their occurrences are
+    one pool. The budget goes to forms by the weight of their senses (sense_weights, with labels of
+    rating 2), capped by the occurrences without a label of rating 1 or 2, for forms with at least
+    `least` occurrences. Of a form's part, share is drawn from the labels that are older than its
+    newest sense, as far as there are, and the rest from the occurrences without such a label.
+    occurrences(form, doc_id, byte_offset); labels(form, doc_id, byte_offset, sense_key, rating, updated_at).
+    """
+    low = F.lower("form").alias("low")
+    rep = senses.groupBy(low).agg(F.min("form").alias("form"))
+    counts = labels.groupBy("form", "sense_key").agg(F.count_if(F.col("rating") == 2).alias("n"))
+    totals = occurrences.groupBy(low).agg(F.count("*").alias("total")).where(F.col("total") >= least)
+    good = labels.where("rating >= 1")
+    done = good.groupBy("form").agg(F.count("*").alias("done"))
+    pool = rep.join(totals, "low").join(sense_weights(senses, counts), "form").join(done, "form", "left")
+    shares = stored(allocate(pool.select("form", "weight", (F.col("total") - F.coalesce("done", F.lit(0))).alias("avail")), budget), "shares")
+    latest = senses.groupBy("form").agg(F.max("updated_at").alias("latest"))
+    mine = good.join(shares.select("form"), "form", "left_semi")
+    stale = stale_split(mine, latest).where("stale").select("form", "doc_id", "byte_offset", "stale")
+    own = rep.join(shares.select("form"), "form", "left_semi")
+    every = occurrences.select(low, "doc_id", "byte_offset").join(own, "low").select("form", "doc_id", "byte_offset")
+    fresh = every.join(mine.select("form", "doc_id", "byte_offset"), ["form", "doc_id", "byte_offset"], "left_anti").withColumn("stale", F.lit(False))
+    return mixed(stale.unionByName(fresh), shares, share, seed)
 
 
 def chunks(rows: DataFrame, order: list[str], size: int = 50_000) -> DataFrame:

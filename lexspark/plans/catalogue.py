@@ -475,6 +475,25 @@ def event_drain_stream(s: SparkSession, d: str) -> DataFrame:
     return drain(s, f"{d}/events.parquet")
 
 
+@query(""", n2 AS (SELECT form, sense_key, count_if(rating = 2) AS n FROM l GROUP BY 1, 2), x0 AS (SELECT s.form, s.id, morph_base, 1 / sqrt(coalesce(n, 0) + 1) AS w FROM s LEFT JOIN n2 ON n2.form = s.form AND n2.sense_key = s.id),
+b0 AS (SELECT form, any_value(morph_base) AS base FROM x0 GROUP BY form HAVING count(DISTINCT morph_base) = 1),
+m0 AS (SELECT lower(form) AS low, w FROM x0 UNION ALL SELECT lower(b0.form), w FROM b0 JOIN x0 ON x0.form = b0.base), w0 AS (SELECT low, sum(w) AS weight FROM m0 GROUP BY low),
+rep AS (SELECT lower(form) AS low, min(form) AS form FROM s GROUP BY 1), tot AS (SELECT lower(form) AS low, count(*) AS total FROM t GROUP BY 1 HAVING count(*) >= 5),
+good AS (SELECT form, doc_id, byte_offset, updated_at FROM l WHERE rating >= 1), g AS (SELECT form, count(*) AS done FROM good GROUP BY 1),
+a AS (SELECT rep.form, weight, total - coalesce(done, 0) AS avail FROM rep JOIN tot ON tot.low = rep.low JOIN w0 ON w0.low = rep.low LEFT JOIN g ON g.form = rep.form WHERE total - coalesce(done, 0) > 0),
+r AS (SELECT *, avail / weight AS q FROM a), x AS (SELECT *, coalesce(sum(avail) OVER (ORDER BY q, form ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (ORDER BY q DESC, form DESC ROWS UNBOUNDED PRECEDING) AS rest FROM r),
+f AS (SELECT q, form, before, rest FROM x WHERE (5000 - before) * weight / rest < avail ORDER BY q, form LIMIT 1),
+al AS (SELECT x.form, CASE WHEN f.q IS NOT NULL AND (x.q > f.q OR (x.q = f.q AND x.form >= f.form)) THEN floor((5000 - f.before) * weight / f.rest)::BIGINT ELSE avail END AS n FROM x LEFT JOIN f ON true),
+lt AS (SELECT form, max(updated_at) AS latest FROM s GROUP BY form),
+cand AS (SELECT form, doc_id, byte_offset, true AS stale FROM good JOIN lt USING (form) WHERE updated_at < latest AND form IN (SELECT form FROM rep)
+  UNION ALL SELECT rep.form, t.doc_id, t.byte_offset, false FROM t JOIN rep ON rep.low = lower(t.form) LEFT JOIN good ON good.form = rep.form AND good.doc_id = t.doc_id AND good.byte_offset = t.byte_offset WHERE good.form IS NULL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY form, stale ORDER BY md5('batch|' || doc_id || '|' || byte_offset), doc_id, byte_offset) AS rank, count_if(stale) OVER (PARTITION BY form) AS ns FROM cand)
+SELECT rk.form, doc_id, byte_offset, stale FROM rk JOIN al ON al.form = rk.form WHERE n > 0 AND rank <= CASE WHEN stale THEN least(floor(n * 0.1::DOUBLE), ns) ELSE n - least(floor(n * 0.1::DOUBLE), ns) END""")
+def batch_sample(s: SparkSession, d: str) -> DataFrame:
+    x, senses = stored(T.labels(s, d), "labels"), stored(T.senses(s, d), "senses")
+    return work.batch_sample(T.tokens(s, d), x, senses, 5000, "batch").select("form", "doc_id", "byte_offset", "stale")
+
+
 # --- versioned tables ------------------------------------------------------------------------
 
 _SENSE = ["id", "form", "position", "definition", "pos", "morph_base", "morph_relation", "model"]

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.operators.ranking import numbered
+from lexspark.operators.store import stored
+from lexspark.operators.versions import Change, Store, Table
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -14,18 +16,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_list(spark: SparkSession, path: str, schema: str = "form string") -> DataFrame:
-    """A control list (queue, blocklist, skipped forms); one that was never written is empty."""
+    """A control list (queue, blocklist, skipped forms): as write_list() left it, or JSON lines; one that was never written is empty."""
+    if _exists(spark, f"{path}/_commits"):
+        return Store(spark, path, {"list": Table(schema)}).table("list")
     return spark.read.schema(schema).json(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def write_list(rows: DataFrame, path: str, order: list[str]) -> None:
-    """The list in order, beside the one it replaces, which goes once the new one is whole."""
-    spark = rows.sparkSession
-    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    rows.orderBy(*order).coalesce(1).write.mode("overwrite").json(f"{path}.new")
-    fs = path_of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path_of(path), True)
-    fs.rename(path_of(f"{path}.new"), path_of(path))
+    """The list in order, as the next version of what is at path: readers see the old one or the new one, whatever fails."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    store = Store(rows.sparkSession, path, {"list": Table(schema)})
+    kept = stored(rows, "list")  # rows may come from the version that goes
+    store.update(lambda now: Change(whole={"list": kept.orderBy(*order).coalesce(1)}))
+    store.clean(2)
 
 
 def write_shards(rows: DataFrame, path: str, order: list[str], size: int) -> None:

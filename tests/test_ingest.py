@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexspark.operators import dedup, state
 from lexspark.operators.versions import Files, Store
-from lexspark.sources import etl, readers
+from lexspark.sources import etl, readers, sinks
 from lexspark.streaming import events
 
 
@@ -178,3 +178,17 @@ def test_late_events(spark, tmp_path):
     assert {r.doc_id for r in store.table("labels").collect()} == {1, 2, 4, 5}
     assert {(r.event_id, r.reason) for r in store.table("dead").collect()} == {("e3", "late"), ("e1", "late"), ("e6", "late")}
     assert {r.event_id for r in store.table("seen").collect()} == {"e5"}
+
+
+def test_a_list_is_there_whole_at_any_time(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "list")
+    forms = lambda x: spark.createDataFrame([(f,) for f in x], "form string")
+    read = lambda: [r.form for r in sinks.read_list(spark, path).collect()]
+    sinks.write_list(forms("cab"), path, ["form"])
+    monkeypatch.setattr(Files, "create", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        sinks.write_list(forms("xyz"), path, ["form"])
+    assert read() == ["a", "b", "c"]
+    monkeypatch.undo()
+    sinks.write_list(sinks.read_list(spark, path).union(forms("d")), path, ["form"])
+    assert read() == ["a", "b", "c", "d"]
