@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
+from lexspark.operators import work
 
 
 def adjacency(tokens: DataFrame) -> DataFrame:
@@ -61,3 +62,21 @@ def without(candidates: DataFrame, *known: DataFrame) -> DataFrame:
         x = k.select(F.lower("form").alias("_k"))
         out = x if out is None else out.unionByName(x)
     return candidates.join(out.distinct(), F.lower("form") == F.col("_k"), "left_anti")
+
+def tasks(queue: DataFrame, found: DataFrame, docs: DataFrame, n: int = 20, most: int = 8, around: int = 150, seed: str = "tasks") -> DataFrame:
+    """(form, task): review tasks as JSON for the first n entries of queue(form, components, pmi, count, seq), each form once.
+
+    A task has up to `most` of the form's occurrences (found: form, doc_id, byte_offset), drawn by the
+    seed, with around characters of text on each side of its surface form; its id follows from the
+    form and the seed, so a task made again is the same. Entries of which no document is there are
+    left out.
+    """
+    first = queue.groupBy("form").agg(F.min_by(F.struct("components", "pmi", "count", "seq"), "seq").alias("q")).select("form", "q.*").orderBy("seq", "form").limit(n)
+    shown = work.uniform_sample(found.join(first, "form"), ["form"], most, seed, ["doc_id", "byte_offset"])
+    x = shown.join(docs.select("doc_id", "text"), "doc_id").where("text <> ''")
+    near = X.context(F.col("text"), X.char_offset(F.col("text"), F.col("byte_offset")), X.surface(F.col("components")), around)
+    per = x.groupBy("form", "components", "pmi", "count").agg(F.sort_array(F.collect_list(F.struct("rank", near.alias("context"), "doc_id", "byte_offset"))).alias("o"))
+    refs = F.transform("o", lambda r: F.struct(r.doc_id.alias("doc_id"), r.byte_offset.alias("byte_offset")))
+    key = F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "form"), 256), 1, 32)
+    task = F.struct(F.lit("mwe").alias("type"), key.alias("id"), "form", "components", "pmi", F.col("count").alias("corpus_count"), F.transform("o", lambda r: r.context).alias("contexts"), refs.alias("occurrence_refs"))
+    return per.select("form", F.to_json(task).alias("task"))

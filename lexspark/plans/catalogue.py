@@ -221,6 +221,22 @@ def mwe_occurrences(s: SparkSession, d: str) -> DataFrame:
     return mwe.find(T.tokens(s, d), _wanted(s, d))
 
 
+@query(_PMI + r""", q AS (SELECT form, arg_max([w1, w2], pmi) AS c, max(pmi) AS pmi FROM p WHERE k = 2 AND pmi >= 1 GROUP BY form),
+z AS (SELECT *, c[1] || CASE WHEN contains(c[2], chr(39)) OR starts_with(c[2], '-') OR ends_with(c[1], '-') THEN '' ELSE ' ' END || c[2] AS surface FROM q ORDER BY pmi DESC, form LIMIT 20),
+o AS (SELECT z.form, surface, a.doc_id, a.byte_offset, row_number() OVER (PARTITION BY z.form ORDER BY md5('tasks|' || a.doc_id || '|' || a.byte_offset), a.doc_id, a.byte_offset) AS rank FROM a JOIN z ON w1 = c[1] AND w2 = c[2]),
+pl AS (SELECT t1.doc_id, byte_offset, (sum(length(piece)) OVER (PARTITION BY t1.doc_id ORDER BY t1.pos) - length(form))::BIGINT AS ch FROM t1 JOIN t ON t.doc_id = t1.doc_id AND t.pos = t1.pos),
+y AS (SELECT o.form, o.surface, rank, text, ch FROM o JOIN documents USING (doc_id) JOIN pl USING (doc_id, byte_offset) WHERE rank <= 8)
+SELECT form, count(*) AS n, string_agg(substr(text, greatest(ch - 150, 0) + 1, ch + length(surface) + 150 - greatest(ch - 150, 0)), chr(10) ORDER BY rank) AS contexts FROM y GROUP BY form""")
+def mwe_tasks(s: SparkSession, d: str) -> DataFrame:
+    """Review tasks for the pairs of highest information, read back from their JSON."""
+    t = T.tokens(s, d)
+    best = mwe.best_by_form(mwe.pmi(t, min_pmi=1.0, trigrams=False))
+    queue = stored(best.withColumn("seq", -F.col("pmi")), "queue")
+    x = mwe.tasks(queue, mwe.find(t, queue.select("form", "components")), T.docs(s, d))
+    task = F.from_json("task", "contexts array<string>")
+    return x.select("form", F.size(task.contexts).cast("long").alias("n"), F.array_join(task.contexts, "\n").alias("contexts"))
+
+
 @query(_WANT + " SELECT c.form, doc_id, byte_offset FROM a JOIN c ON w1 = x AND w2 = y WHERE doc_id % 2 = 1")
 def mwe_new_rows(s: SparkSession, d: str) -> DataFrame:
     found = mwe.find(T.tokens(s, d), _wanted(s, d))
