@@ -27,7 +27,7 @@ CONTENT = ("definition", "pos", "morph_base", "morph_relation", "model")
 MOST_NAMED = 1000
 #: Decisions on entries: op is one of OPS; position (from 1) names a sense; arg is a reason, a form, a definition or a part of speech.
 DECISIONS = "form string, op string, position int, arg string, base string, relation string, promote boolean"
-OPS = ("delete_entry", "normalize_case", "spelling_variant", "morph_redirect", "rewrite", "update_pos", "prune")
+OPS = ("delete_entry", "normalize_case", "spelling_variant", "blocklist", "add_senses", "morph_redirect", "rewrite", "update_pos", "prune")
 
 
 def opened(spark: SparkSession, root: str) -> Store:
@@ -115,7 +115,9 @@ def decide(now: Snapshot, decisions: DataFrame, by: str, at: str) -> Change:
     delete_entry blocks the form, and deletes its entry, senses and labels. normalize_case does the
     same without the block; if the form in arg has no entry, the senses move there (of several forms
     that move to one, the first sense of each definition, by form). Where a sense outranks by, an
-    entry is not deleted. spelling_variant points the entry to arg.
+    entry is not deleted. spelling_variant points the entry to arg. blocklist blocks a form, with or
+    without an entry; add_senses adds the definitions of arg, a JSON array, that the form does not
+    have in any case, and makes the entry where there is none.
     On single senses: morph_redirect sets base, relation and the definition in arg, and with promote
     adds the old definition to the base's senses; it is skipped if the base has no entry,
     or loses it.
@@ -155,7 +157,12 @@ def decide(now: Snapshot, decisions: DataFrame, by: str, at: str) -> Change:
         F.substring(F.sha2(F.concat_ws(">", "id", "base"), 256), 1, 32).alias("id"), F.col("base").alias("form"), F.struct("form", "position").alias("from"), F.col("was").alias("definition"), F.col("was_pos").alias("pos")
     ).dropDuplicates(["id"])
 
-    touched = gone.union(to.select("to")).union(at_sense.select("form")).union(promoted.select("form"))
+    given = d.where("op = 'add_senses'").join(gone, "form", "left_anti").select("form", F.posexplode(F.from_json("arg", "array<string>")).alias("n", "definition"))
+    given = given.withColumn("d", state.normal(F.col("definition"))).where("d <> ''").groupBy("form", "d").agg(F.min("n").alias("n"), F.trim(F.min_by("definition", "n")).alias("definition"))
+    has = every.select("form", state.normal(F.col("definition")).alias("d"))
+    added = stored(given.join(has, ["form", "d"], "left_anti"), "added")
+
+    touched = gone.union(to.select("to")).union(at_sense.select("form")).union(promoted.select("form")).union(added.select("form"))
     old = stored(_of(every, touched), "before")
     left = old.join(gone, "form", "left_anti").join(pruned.select("id"), "id", "left_anti").join(edits, "id", "left")
     edited = F.coalesce("new_definition", "new_pos").isNotNull() | F.col("r").isNotNull()
@@ -166,18 +173,29 @@ def decide(now: Snapshot, decisions: DataFrame, by: str, at: str) -> Change:
     )
     more = promoted.select("id", "form", F.lit(1).alias("tier"), "from", "definition", "pos", none.alias("morph_base"), none.alias("morph_relation"), none.alias("model"))
     moved = moving.select("id", "form", F.lit(0).alias("tier"), "from", *CONTENT)
-    new = _placed(left.unionByName(more).unionByName(moved), ["tier", "from", "id"]).drop("tier", "from")
+    fresh = added.select(F.substring(F.sha2(F.concat_ws("|", "form", "d"), 256), 1, 32).alias("id"), "form", F.lit(2).alias("tier"), F.struct("form", F.col("n").alias("position")).alias("from"), "definition", *[none.alias(c) for c in CONTENT[1:]])
+    new = _placed(left.unionByName(more).unionByName(moved).unionByName(fresh), ["tier", "from", "id"]).drop("tier", "from")
     put, drop = replaced(old, _stamped(new, old, when), ["id"])
 
     # what else goes with them
     labels = now.table("labels")
     lost = labels.join(gone, "form", "left_semi").unionByName(labels.join(pruned.select("form", F.col("id").alias("sense_key")), ["form", "sense_key"], "left_semi").select(*labels.columns))
     variant = d.where("op = 'spelling_variant'").join(gone, "form", "left_anti").groupBy("form").agg(F.max("arg").alias("variant_of")).join(entries.select("form"), "form", "left_semi").select("form", "variant_of", when.alias("updated_at"))
-    made = to.select(F.col("to").alias("form")).distinct().select("form", none.alias("variant_of"), when.alias("updated_at"))
-    blocked = leave.where("op = 'delete_entry'").select("form", F.coalesce("arg", F.lit("deleted")).alias("reason")).join(now.table("blocked").select("form"), "form", "left_anti")
+    begun = to.select(F.col("to").alias("form")).union(added.select("form")).distinct().join(entries.select("form"), "form", "left_anti")
+    made = begun.select("form", none.alias("variant_of"), when.alias("updated_at"))
+    stops = leave.where("op = 'delete_entry'").select("form", "arg").unionByName(d.where("op = 'blocklist'").select("form", "arg"))
+    blocked = stops.groupBy("form").agg(F.coalesce(F.max("arg"), F.lit("deleted")).alias("reason")).join(now.table("blocked").select("form"), "form", "left_anti")
     return Change({"senses": put, "entries": variant.unionByName(made), "blocked": blocked}, {"senses": drop, "entries": gone, "labels": lost})
 
 
+def from_events(events: DataFrame) -> DataFrame:
+    """The decisions (DECISIONS) that review.events() stand for; what those reject, skip or send to a queue is left out."""
+    op = F.when(F.col("op") == "normalise", "normalize_case").otherwise(F.col("op"))
+    redirect = F.col("op") == "morph_redirect"
+    x = events.where(op.isin(*OPS))
+    return x.select("form", op.alias("op"), "position", F.when(~redirect, F.col("arg")).alias("arg"), F.when(redirect, F.col("arg")).alias("base"), F.lit(None).cast("string").alias("relation"), redirect.alias("promote"))
+
+
 def apply_decisions(store: Store, decisions: DataFrame, by: str, at: str) -> int:
     """All decisions as one version of the store; see decide()."""
     forms = decisions.select("form").union(decisions.where("op in ('normalize_case', 'spelling_variant')").select("arg")).union(decisions.select("base"))

@@ -5,7 +5,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from lexspark.operators import dictionary, jobs, versions
+from lexspark.operators import dictionary, jobs, review, versions
 from lexspark.operators.versions import Change, Store, Table
 
 TABLES = {"kv": Table("k string, v int", ("k",)), "log": Table("k string")}
@@ -202,6 +202,23 @@ def test_decisions_are_one_version(spark, tmp_path):
     assert shown(d) == s
 
 
+def test_reviews_end_in_the_dictionary(spark, tmp_path):
+    """Decisions of reviewers, as events, applied as one version: induction, phrases and operations on senses."""
+    d = filled(spark, tmp_path / "d")
+    ops = [("cats", [("morph_redirect", 1, "cat"), ("update_pos", 2, "verb"), ("prune", 7, None)]), ("Run", [("normalise", 1, "run")]), ("lone", [("delete_entry", None, "noise")]), ("top", [("delete_entry", None, "x"), ("prune", 1, None)])]
+    phrases = spark.createDataFrame([("new one", "approve", ["first", " FIRST ", "second", ""]), ("run", "approve", ["a Race", "third"]), ("later", "approve", []), ("bad", "blocklist", [])], "form string, verdict string, definitions array<string>")
+    reviews = spark.createDataFrame(ops, f"form string, ops {review.OPS}").unionByName(review.phrases(phrases))
+    v = dictionary.apply_decisions(d, dictionary.from_events(review.events(reviews, d.table("senses"))), "strong", "2024-06-06")
+    assert v == d.version() and v == 3
+    s = shown(d)
+    assert [x[1:3] for x in s["new one"]] == [(1, "first"), (2, "second")] and [x[1:3] for x in s["run"]] == [(1, "to move"), (2, "a race"), (3, "third")]
+    assert [(x[2], x[4]) for x in s["cats"]] == [("many cats", "cat"), ("a musical", None)] and [x[2] for x in s["cat"]] == ["many cats"] and s["cats"][1][3] == "verb"
+    assert "Run" not in s and s["top"][0][2] == "strong one"
+    forms = {r.form for r in d.table("entries").collect()}
+    assert "new one" in forms and not {"lone", "Run", "later", "bad"} & forms
+    assert {(r.form, r.reason) for r in d.table("blocked").collect()} == {("lone", "noise"), ("bad", "deleted")}
+
+
 def test_a_failure_leaves_the_version_before(spark, tmp_path, monkeypatch):
     """Each write of a change to two tables fails once, the commit last; the change is then made again."""
     write, create = Store._write, versions.Files.create
