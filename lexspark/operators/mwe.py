@@ -7,24 +7,38 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
 from lexspark.operators import work
+from lexspark.operators.store import stored
 
 
 def adjacency(tokens: DataFrame) -> DataFrame:
-    """Each token with the next two of its document (w2, w3); one shuffle by document."""
+    """Each token with the next two of its document (w2, w3).
+
+    Of tokens that have them (index.followed), as they are; else by a shuffle by document.
+    """
+    own = ["doc_id", "byte_offset", F.col("form").alias("w1")]
+    if {"w2", "w3"} <= set(tokens.columns):
+        return tokens.select(*own, "w2", "w3")
     w = Window.partitionBy("doc_id").orderBy("byte_offset")
-    return tokens.select("doc_id", "byte_offset", F.col("form").alias("w1"), F.lead("form", 1).over(w).alias("w2"), F.lead("form", 2).over(w).alias("w3"))
+    return tokens.select(*own, F.lead("form", 1).over(w).alias("w2"), F.lead("form", 2).over(w).alias("w3"))
 
 
 def pmi(tokens: DataFrame, min_count: int = 10, min_pmi: float = 5.0, bigrams: bool = True, trigrams: bool = True) -> DataFrame:
     """(form, components, count, pmi): word pairs, and pairs around a hyphen, of high information.
 
-    Both kinds are counted in one pass; the pair filter runs below the aggregation.
+    Both kinds are counted in one pass. A pair is no more frequent than its words, so only pairs of
+    words that reach min_count are counted; these words are stored first, as they are few.
     """
     n = tokens.agg(F.count("*").alias("n"))
     uni = tokens.where(F.col("form").rlike(X.ASCII_LETTER)).groupBy("form").agg(F.count("*").alias("c"))
     a = adjacency(tokens).where(F.col("w1").rlike(X.ASCII_LETTER))
     both = F.array(*([F.struct(F.lit(2).alias("k"), F.col("w2").alias("w"))] * bigrams), *([F.struct(F.when(F.col("w2") == "-", 3).alias("k"), F.col("w3").alias("w"))] * trigrams))
+    if not bigrams:
+        a = a.where("w2 = '-'")
     pairs = a.select("w1", F.explode(both).alias("x")).select("w1", "x.k", F.col("x.w").alias("w2")).where("k is not null and w2 is not null").where(F.col("w2").rlike(X.ASCII_LETTER))
+    if min_count > 1:
+        uni = stored(uni.where(F.col("c") >= min_count), "words")
+        often = uni.select("form")
+        pairs = pairs.join(often.withColumnRenamed("form", "w1"), "w1", "left_semi").join(often.withColumnRenamed("form", "w2"), "w2", "left_semi")
     counted = pairs.groupBy("w1", "w2", "k").agg(F.count("*").alias("count")).where(F.col("count") >= min_count)
     u1, u2 = uni.select(F.col("form").alias("w1"), F.col("c").alias("c1")), uni.select(F.col("form").alias("w2"), F.col("c").alias("c2"))
     # n is one row, an aggregate without keys
@@ -73,6 +87,7 @@ def tasks(queue: DataFrame, found: DataFrame, docs: DataFrame, n: int = 20, most
     """
     first = queue.groupBy("form").agg(F.min_by(F.struct("components", "pmi", "count", "seq"), "seq").alias("q")).select("form", "q.*").orderBy("seq", "form").limit(n)
     shown = work.uniform_sample(found.join(first, "form"), ["form"], most, seed, ["doc_id", "byte_offset"])
+    shown = stored(shown, "shown")  # few rows: the texts are not shuffled for them
     x = shown.join(docs.select("doc_id", "text"), "doc_id").where("text <> ''")
     near = X.context(F.col("text"), X.char_offset(F.col("text"), F.col("byte_offset")), X.surface(F.col("components")), around)
     per = x.groupBy("form", "components", "pmi", "count").agg(F.sort_array(F.collect_list(F.struct("rank", near.alias("context"), "doc_id", "byte_offset"))).alias("o"))
