@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
 from lexspark.operators.ranking import numbered, running
-from lexspark.operators.store import stored
+from lexspark.operators.store import sent, stored
 
 
 def need(totals: DataFrame, counts: DataFrame, alpha: float = 5.0) -> DataFrame:
@@ -23,17 +23,40 @@ def weighted_sample(rows: DataFrame, weight: str, key: str, n: int, seed: str) -
     return rows.where(F.col(weight) > 0).withColumn("draw", e).orderBy("draw", key).limit(n)
 
 
-#: Parts in which the rows of a group are ranked first, so that those of a frequent one do not meet in one task.
-PARTS = 32
+def _sizes(rows: DataFrame, group: list[str], k: Column | int | None = None) -> DataFrame:
+    """The groups with their number of rows (_n) and k (_most), stored."""
+    most = [F.max(F.lit(k) if isinstance(k, int) else k).cast("long").alias("_most")] if k is not None else []
+    return stored(rows.groupBy(*group).agg(F.count("*").alias("_n"), *most), "groups")
 
 
-def _first(rows: DataFrame, group: list[str], k: Column | int, seed: str, key: list[str]) -> DataFrame:
-    """The first k rows of each group by the hash of seed and key, with their rank; k may be a column of the group."""
-    order = [F.md5(F.concat_ws("|", F.lit(seed), *key)), *key]
-    part = F.pmod(F.xxhash64(*key), F.lit(PARTS))
-    own = Window.partitionBy(*group, "_part").orderBy(*order)
-    few = rows.withColumn("_part", part).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).drop("_part")
-    return few.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
+def _on(a: DataFrame, b: DataFrame, group: list[str]) -> Column:
+    out = F.lit(True)
+    for c in group:
+        out = out & a[c].eqNullSafe(b[f"_{c}"])
+    return out
+
+
+def _first(rows: DataFrame, group: list[str], k: Column | int, seed: str, key: list[str], sizes: DataFrame | None = None) -> DataFrame:
+    """The first k rows of each group by the hash of seed and key, with their rank; k may be a column of the group.
+
+    A group's size says below which hash its first k rows lie almost surely, so few others are
+    shuffled and ranked, however frequent the group. What came is counted: of a group with too few
+    below its bound all rows are taken. sizes(group, _n, _most) are those of _sizes(), of the groups that
+    are wanted.
+    """
+    draw = F.md5(F.concat_ws("|", F.lit(seed), *key))
+    sizes = _sizes(rows, group, k) if sizes is None else sizes
+    most = F.coalesce("_most", F.lit(0))
+    share = (most + 6 * F.sqrt(most) + 20) / F.col("_n")
+    bound = F.when(share >= 1, "g").otherwise(F.lower(F.lpad(F.hex(F.floor(share * 2**32).cast("long")), 8, "0")))
+    limits = sent(sizes).select(*[F.col(c).alias(f"_{c}") for c in group], bound.alias("_bound"))
+    few = stored(rows.join(limits, _on(rows, limits, group)).where(draw < F.col("_bound")).select(*rows.columns), "drawn")
+    got = few.groupBy(*[F.col(c).alias(f"_{c}") for c in group]).agg(F.count("*").alias("_got"))
+    short = sizes.join(got, _on(sizes, got, group), "left").where(F.coalesce("_got", F.lit(0)) < F.least("_most", "_n"))
+    short = stored(short.select(*[F.col(c).alias(f"_{c}") for c in group]), "short")
+    if not short.isEmpty():
+        few = few.join(short, _on(few, short, group), "left_anti").unionByName(rows.join(short, _on(rows, short, group), "left_semi"))
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(draw, *key))).where(F.col("rank") <= k)
 
 
 def uniform_sample(rows: DataFrame, group: list[str], k: int, seed: str, key: list[str]) -> DataFrame:
@@ -77,30 +100,35 @@ def sense_weights(senses: DataFrame, counts: DataFrame) -> DataFrame:
 
 def stale_split(labels: DataFrame, latest: DataFrame) -> DataFrame:
     """labels with stale: older than the form's newest sense."""
-    return labels.join(latest, "form", "left").withColumn("stale", F.coalesce(F.col("updated_at") < F.col("latest"), F.lit(False))).drop("latest")
+    return labels.join(sent(stored(latest, "latest")), "form", "left").withColumn("stale", F.coalesce(F.col("updated_at") < F.col("latest"), F.lit(False))).drop("latest")
 
 
 def mixture(rows: DataFrame, k: int, share: float, seed: str) -> DataFrame:
     """For each form k rows: share of them stale as far as there are, the rest fresh."""
-    return mixed(rows, rows.select("form").distinct().withColumn("n", F.lit(k)), share, seed)
+    n = _sizes(rows, ["form", "stale"])
+    return _mixed(rows, n.select("form").distinct().withColumn("n", F.lit(k)), n, share, seed)
 
 
 def mixed(rows: DataFrame, wanted: DataFrame, share: float, seed: str) -> DataFrame:
     """For each form of wanted(form, n) n rows of rows(form, doc_id, byte_offset, stale, more): share of them stale as far as there are, the rest fresh."""
-    stale = rows.groupBy("form").agg(F.count_if("stale").alias("n_stale"))
+    return _mixed(rows, wanted, _sizes(rows, ["form", "stale"]), share, seed)
+
+
+def _mixed(rows: DataFrame, wanted: DataFrame, n: DataFrame, share: float, seed: str) -> DataFrame:
+    stale = n.groupBy("form").agg(F.sum(F.when(F.col("stale"), F.col("_n")).otherwise(0)).alias("n_stale"))
     quota = F.least(F.floor(F.col("n") * share), F.col("n_stale"))
-    quotas = wanted.join(stale, "form").select("form", quota.alias("stale_n"), (F.col("n") - quota).alias("fresh_n"))
-    x = rows.join(quotas, "form")
-    k = F.when(F.col("stale"), F.col("stale_n")).otherwise(F.col("fresh_n"))
-    return _first(x.withColumn("_k", k), ["form", "stale"], F.col("_k"), seed, ["doc_id", "byte_offset"]).drop("rank", "_k", "stale_n", "fresh_n")
+    k = F.when(F.col("stale"), quota).otherwise(F.col("n") - quota)
+    sizes = stored(n.join(wanted.join(stale, "form"), "form").select("form", "stale", "_n", k.cast("long").alias("_most")).where("_most > 0"), "quotas")
+    few = _first(rows.join(sent(sizes).select("form", "stale", F.col("_most").alias("_k")), ["form", "stale"]), ["form", "stale"], F.col("_k"), seed, ["doc_id", "byte_offset"], sizes)
+    return few.drop("rank", "_k")
 
 
 def critic_groups(labels: DataFrame, senses: DataFrame, least: int = 5, most: int = 20, seed: str = "critic") -> DataFrame:
     """Labels to review: known sense, not reviewed since it changed, least to most of each sense."""
-    s = senses.select(F.col("id").alias("sense_key"), F.col("updated_at").alias("changed"))
+    s = sent(stored(senses.select(F.col("id").alias("sense_key"), F.col("updated_at").alias("changed")), "changes"))
     x = labels.join(s, "sense_key").where(F.col("last_critic").isNull() | (F.col("last_critic") < F.col("changed")))
-    enough = x.groupBy("sense_key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return uniform_sample(x.join(enough, "sense_key"), ["sense_key"], most, seed, ["doc_id", "byte_offset"])
+    enough = _sizes(x, ["sense_key"], most).where(F.col("_n") >= least)
+    return _first(x, ["sense_key"], most, seed, ["doc_id", "byte_offset"], enough)
 
 
 def batch_sample(occurrences: DataFrame, labels: DataFrame, senses: DataFrame, budget: int, seed: str, share: float = 0.1, least: int = 5) -> DataFrame:
