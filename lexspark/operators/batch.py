@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.operators.ranking import numbered
+from lexspark.operators.store import sent, stored
 
 #: Requests a file, the limit of hosted batch services.
 PER_FILE = 50_000
@@ -15,7 +16,8 @@ KEY = ["form", "doc_id", "byte_offset"]
 def requests(todo: DataFrame, senses: DataFrame, per_file: int = PER_FILE) -> DataFrame:
     """(custom_id, chunk, form, doc_id, byte_offset, request): one JSON request for each occurrence of a form with senses."""
     menu = senses.groupBy("form").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "definition"))), lambda x: x.definition).alias("senses"))
-    x = numbered(todo.select(*KEY).join(menu, "form"), KEY, "custom_id")
+    menu = sent(stored(menu, "menus"))
+    x = numbered(todo.select(*KEY).join(menu.select("form"), "form"), KEY, "custom_id").join(menu, "form")
     line = F.to_json(F.struct(F.concat(F.lit("r-"), F.col("custom_id")).alias("custom_id"), "form", "senses"))
     return x.select("custom_id", F.floor(F.col("custom_id") / per_file).alias("chunk"), *KEY, line.alias("request"))
 
@@ -50,7 +52,7 @@ def outcomes(replies: DataFrame, metadata: DataFrame, senses: DataFrame) -> Data
     says that none fits and passes as the reserved key 0.
     """
     n = senses.groupBy("form").agg(F.max("position").alias("n_senses"))
-    x = replies.join(metadata.select("custom_id", *KEY), "custom_id", "left").join(n, "form", "left").withColumn("p", parsed(F.col("body")))
+    x = replies.join(metadata.select("custom_id", *KEY), "custom_id", "left").join(sent(stored(n, "senses")), "form", "left").withColumn("p", parsed(F.col("body")))
     sense = F.col("p.sense")
     outcome = (
         F.when(F.col("p").isNull() | sense.isNull() | F.col("p.rating").isNull() | ~F.col("p.rating").isin(0, 1, 2), "malformed")
