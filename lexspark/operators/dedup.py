@@ -11,6 +11,8 @@ from lexspark.operators.store import drop_stored, stored
 
 THRESHOLD = 0.05
 EVERY = 10
+#: Words of a gram.
+WORDS = 8
 #: Rows of undecided documents that one task may take.
 LAST_ROWS = 200_000
 
@@ -47,22 +49,27 @@ def greedy(docs: DataFrame, threshold: float = THRESHOLD, seed: DataFrame | None
     order must be a column of distinct numbers. Texts of fewer than eight words have no grams and
     are accepted. State is written to the shared folder.
     """
-    rows = gram_rows(docs, order).withColumnRenamed("id", "o")
-    grams = stored(rows.groupBy("o", "g").agg(F.count("*").alias("n"), F.bool_or(F.col("i") % EVERY == 0).alias("s")), "greedy-grams")
-    known = (seed.select("g").distinct() if seed is not None else grams.select("g").limit(0)).withColumn("seeded", F.lit(True))
-    first = grams.where("s").groupBy("g").agg(F.min("o").alias("first"))
-    near = grams.join(first, "g", "left").join(known, "g", "left").withColumn("seeded", F.coalesce("seeded", F.lit(False)))
-    near = stored(near.withColumn("hit", F.col("seeded") | F.coalesce(F.col("first") < F.col("o"), F.lit(False))).drop("first"), "greedy-near")
-    counts = near.groupBy("o").agg(F.sum(F.when(F.col("seeded"), F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("high"), F.sum("n").alias("total"))
+    code = lambda g: F.conv(g, 16, -10).cast("long").alias("g")
+    rows = gram_rows(docs, order).select(F.col("id").alias("o"), code(F.col("g")), (F.col("i") % EVERY == 0).alias("s"))
+    first = rows.where("s").groupBy("g").agg(F.min("o").alias("first"))
+    near = rows.select("o", "g").join(first, "g", "left")
+    seeded = F.lit(False)
+    if seed is not None:
+        near = near.join(seed.select(code(F.col("g"))).distinct().withColumn("known", F.lit(True)), "g", "left")
+        seeded = F.coalesce("known", F.lit(False))
+    # of all grams only those that seed or an earlier document indexes are kept
+    near = near.withColumn("seeded", seeded).where(F.col("seeded") | F.coalesce(F.col("first") < F.col("o"), F.lit(False)))
+    near = stored(near.groupBy("g", "o", "seeded").agg(F.count("*").alias("n")), "greedy-near")
+    counts = near.groupBy("o").agg(F.sum(F.when(F.col("seeded"), F.col("n")).otherwise(0)).alias("low"), F.sum("n").alias("high"))
+    total = F.nullif(F.greatest(F.size(X.words(F.col("text"))) - (WORDS - 1), F.lit(0)), F.lit(0)).cast("long")
     bar = F.lit(threshold) * F.col("total")
-    verdict = F.when(F.col("total").isNull() | (F.col("high") < bar), True).when(F.col("low") >= bar, False)
-    state = stored(docs.select(F.col(order).alias("o")).join(counts, "o", "left").select("o", "total", verdict.alias("accepted")), "greedy")
+    verdict = F.when(F.col("total").isNull() | (F.coalesce("high", F.lit(0)) < bar), True).when(F.col("low") >= bar, False)
+    state = stored(docs.select(F.col(order).alias("o"), total.alias("total")).join(counts, "o", "left").select("o", "total", verdict.alias("accepted")), "greedy")
 
     # what matters from here on: hits of open documents, and who indexes these grams
-    hits = stored(near.where("hit").join(state.where("accepted is null").select("o"), "o", "left_semi").select("o", "g", "n", "seeded"), "greedy-hits")
-    by = stored(near.where("s").join(hits.select("g").distinct(), "g", "left_semi").select("o", "g"), "greedy-by")
-    drop_stored(grams)
+    hits = stored(near.join(state.where("accepted is null").select("o"), "o", "left_semi").select("o", "g", "n", "seeded"), "greedy-hits")
     drop_stored(near)
+    by = stored(rows.where("s").select("o", "g").join(hits.select("g").distinct(), "g", "left_semi").distinct(), "greedy-by")
     while True:
         open_ = state.where("accepted is null").select("o", "total")
         if open_.isEmpty():

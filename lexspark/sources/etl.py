@@ -38,7 +38,7 @@ def stage(store: Store, source: readers.Source) -> int:
     def change(now: Snapshot) -> Change | None:
         if mark in now.marks:
             return None
-        pages = stored(numbered(readers.read(store.spark, source), ["title", "text"], "no"), "pages")
+        pages = numbered(readers.read(store.spark, source), ["title", "text"], "no")  # reads what numbered() stored
         return Change({"staged": pages.withColumn("origin", F.lit(source.name)).sortWithinPartitions("no")}, marks={mark: pages.count()})
 
     store.update(change, [mark])

@@ -98,3 +98,16 @@ def test_kde_points_are_not_shuffled(spark, tmp_path):
     _write(spark, tmp_path)
     plan = QUERIES["year_kde"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan.replace("BroadcastHashJoin", "") and plan.count("Exchange hash") == 2
+
+
+def test_greedy_stores_only_grams_that_others_index(spark, monkeypatch):
+    from lexspark.operators import dedup
+
+    kept = {}
+    own = dedup.stored
+    monkeypatch.setattr(dedup, "stored", lambda df, name: kept.setdefault(name, own(df, name)) if name == "greedy-near" else own(df, name))
+    monkeypatch.setattr(dedup, "drop_stored", lambda df: None)
+    texts = [" ".join(f"d{i}w{k}" for k in range(200)) for i in range(5)] + [" ".join(f"d0w{k}" for k in range(60))]
+    got = dedup.greedy(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.accepted for r in got.collect()} == {0: True, 1: True, 2: True, 3: True, 4: True, 5: False}
+    assert {r.o for r in kept["greedy-near"].collect()} == {5} and kept["greedy-near"].count() == 6
