@@ -111,3 +111,28 @@ def test_greedy_stores_only_grams_that_others_index(spark, monkeypatch):
     got = dedup.greedy(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {r.doc_id: r.accepted for r in got.collect()} == {0: True, 1: True, 2: True, 3: True, 4: True, 5: False}
     assert {r.o for r in kept["greedy-near"].collect()} == {5} and kept["greedy-near"].count() == 6
+
+
+def test_first_rows_of_a_keyed_table_are_read_without_a_shuffle(spark, tmp_path):
+    from lexspark.operators.versions import Change, Store, Table
+
+    s = Store(spark, str(tmp_path / "s"), {"t": Table("k string, n long", ("k",))})
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2)], "k string, n long")
+    s.update(lambda now: Change({"t": rows}, {"t": spark.createDataFrame([("z",)], "k string")}))
+    assert sorted(map(tuple, s.table("t").collect())) == [("a", 1), ("b", 2)] and "Exchange" not in _plan(s.table("t"))
+    s.update(lambda now: Change({"t": rows.where("k = 'b'").limit(1).withColumn("n", F.lit(5).cast("long"))}, {"t": spark.createDataFrame([("a",)], "k string")}))
+    assert [tuple(r) for r in s.table("t").collect()] == [("b", 5)]
+
+
+def test_first_batch_of_events_is_not_copied(spark, tmp_path, monkeypatch):
+    from lexspark.streaming import events
+
+    rows = [("1", "upsert", "f", 1, 0, "s", 1, 1), ("2", "upsert", "f", 1, 0, "r", 2, 1), ("2", "upsert", "f", 1, 0, "r", 2, 1), ("3", "delete_by_form", "g", None, None, None, 3, 1), ("4", "upsert", "g", 1, 9, "s", 2, 1), (None, "upsert", "h", 1, 3, "s", 2, 1)]
+    spark.createDataFrame(rows, events.EVENT).write.parquet(f"{tmp_path}/e/f")
+    names = []
+    own = events.stored
+    monkeypatch.setattr(events, "stored", lambda df, name: names.append(name) or own(df, name))
+    s = events.follow(spark, f"{tmp_path}/e/*", f"{tmp_path}/store")
+    assert [tuple(r) for r in s.table("labels").collect()] == [("f", 1, 0, "r")] and [tuple(r) for r in s.table("counts").collect()] == [("r", 1)]
+    assert s.table("dead").count() == 1 and s.table("seen").count() == 4
+    assert not {"batch", "touched"} & set(names)
