@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
 from lexspark.operators import work
-from lexspark.operators.store import stored
+from lexspark.operators.store import hashed, sent, stored
 
 
 def adjacency(tokens: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def pmi(tokens: DataFrame, min_count: int = 10, min_pmi: float = 5.0, bigrams: b
     """(form, components, count, pmi): word pairs, and pairs around a hyphen, of high information.
 
     Both kinds are counted in one pass. A pair is no more frequent than its words, so only pairs of
-    words that reach min_count are counted; these words are stored first, as they are few.
+    words that reach min_count are counted; these words are stored first, and their hashes sent to
+    the tokens, which are not shuffled for them.
     """
     n = tokens.agg(F.count("*").alias("n"))
     uni = tokens.where(F.col("form").rlike(X.ASCII_LETTER)).groupBy("form").agg(F.count("*").alias("c"))
@@ -37,8 +38,8 @@ def pmi(tokens: DataFrame, min_count: int = 10, min_pmi: float = 5.0, bigrams: b
     pairs = a.select("w1", F.explode(both).alias("x")).select("w1", "x.k", F.col("x.w").alias("w2")).where("k is not null and w2 is not null").where(F.col("w2").rlike(X.ASCII_LETTER))
     if min_count > 1:
         uni = stored(uni.where(F.col("c") >= min_count), "words")
-        often = uni.select("form")
-        pairs = pairs.join(often.withColumnRenamed("form", "w1"), "w1", "left_semi").join(often.withColumnRenamed("form", "w2"), "w2", "left_semi")
+        often = uni.select(F.xxhash64("form").alias("_h"))
+        pairs = hashed(hashed(pairs, ["w1"], often), ["w2"], often)
     counted = pairs.groupBy("w1", "w2", "k").agg(F.count("*").alias("count")).where(F.col("count") >= min_count)
     u1, u2 = uni.select(F.col("form").alias("w1"), F.col("c").alias("c1")), uni.select(F.col("form").alias("w2"), F.col("c").alias("c2"))
     # n is one row, an aggregate without keys
@@ -56,10 +57,15 @@ def best_by_form(candidates: DataFrame) -> DataFrame:
 
 
 def find(tokens: DataFrame, wanted: DataFrame, lower: bool = False) -> DataFrame:
-    """(form, doc_id, byte_offset) of all wanted(form, components) at once; two or three components."""
+    """(form, doc_id, byte_offset) of all wanted(form, components) at once; two or three components.
+
+    Tokens whose pair has no hash of a wanted one go before the join, so not all are shuffled for it.
+    """
     own = (lambda c: F.lower(c)) if lower else (lambda c: c)
     x = adjacency(tokens)
     c = wanted.select("form", own(F.element_at("components", 1)).alias("a"), own(F.element_at("components", 2)).alias("b"), own(F.try_element_at("components", F.lit(3))).alias("c")).where(F.size("components").isin(2, 3))
+    c = stored(c, "wanted")
+    x, c = hashed(x, [own(F.col("w1")), own(F.col("w2"))], c.select(F.xxhash64("a", "b").alias("_h"))), sent(c)
     hit = (own(x["w1"]) == c["a"]) & (own(x["w2"]) == c["b"]) & (c["c"].isNull() | (own(x["w3"]) == c["c"]))
     return x.join(c, hit).select("form", "doc_id", "byte_offset")
 
