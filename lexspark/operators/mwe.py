@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
-from lexspark.operators import work
+from lexspark.operators import state, work
 from lexspark.operators.store import hashed, sent, stored
 
 
@@ -72,7 +72,7 @@ def find(tokens: DataFrame, wanted: DataFrame, lower: bool = False) -> DataFrame
 
 def new_rows(found: DataFrame, index: DataFrame) -> DataFrame:
     """Found rows that the index does not hold."""
-    return found.join(index.select("form", "doc_id", "byte_offset"), ["form", "doc_id", "byte_offset"], "left_anti")
+    return state.unchanged(found, index, state.KEY)
 
 
 def without(candidates: DataFrame, *known: DataFrame) -> DataFrame:

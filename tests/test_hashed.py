@@ -37,3 +37,8 @@ def test_pairs_and_places_without_a_broadcast_of_words(spark, unsent, monkeypatc
         assert all("BroadcastHashJoin" in p and "LeftSemi" in p for p in plans)
         assert not any("SortMergeJoin" in line and "LeftSemi" in line for p in plans for line in p.splitlines())
 
+
+def test_new_rows_keep_repeats_and_nulls(spark):
+    found = spark.createDataFrame([("a", 1, 0), ("a", 1, 0), ("a", 2, 0), (None, 1, 5), ("b", 1, 70000)], "form string, doc_id long, byte_offset long")
+    index = found.where(F.col("doc_id") == 2).unionByName(found.where("form is null or form = 'b'"))
+    assert sorted(map(str, mwe.new_rows(found, index).collect())) == sorted(map(str, found.where("doc_id = 1 and (form is null or form = 'a')").collect()))
