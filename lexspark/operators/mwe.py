@@ -83,6 +83,12 @@ def without(candidates: DataFrame, *known: DataFrame) -> DataFrame:
         out = x if out is None else out.unionByName(x)
     return candidates.join(out.distinct(), F.lower("form") == F.col("_k"), "left_anti")
 
+
+def first(queue: DataFrame, n: int = 20) -> DataFrame:
+    """The first n entries of queue(form, components, pmi, count, seq), each form once."""
+    return queue.groupBy("form").agg(F.min_by(F.struct("components", "pmi", "count", "seq"), "seq").alias("q")).select("form", "q.*").orderBy("seq", "form").limit(n)
+
+
 def tasks(queue: DataFrame, found: DataFrame, docs: DataFrame, n: int = 20, most: int = 8, around: int = 150, seed: str = "tasks") -> DataFrame:
     """(form, task): review tasks as JSON for the first n entries of queue(form, components, pmi, count, seq), each form once.
 
@@ -91,8 +97,7 @@ def tasks(queue: DataFrame, found: DataFrame, docs: DataFrame, n: int = 20, most
     form and the seed, so a task made again is the same. Entries of which no document is there are
     left out.
     """
-    first = queue.groupBy("form").agg(F.min_by(F.struct("components", "pmi", "count", "seq"), "seq").alias("q")).select("form", "q.*").orderBy("seq", "form").limit(n)
-    shown = work.uniform_sample(found.join(first, "form"), ["form"], most, seed, ["doc_id", "byte_offset"])
+    shown = work.uniform_sample(found.join(first(queue, n), "form"), ["form"], most, seed, ["doc_id", "byte_offset"])
     shown = stored(shown, "shown")  # few rows: the texts are not shuffled for them
     x = shown.join(docs.select("doc_id", "text"), "doc_id").where("text <> ''")
     near = X.context(F.col("text"), X.char_offset(F.col("text"), F.col("byte_offset")), X.surface(F.col("components")), around)
