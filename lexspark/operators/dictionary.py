@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
 from lexspark.operators import state
-from lexspark.operators.store import stored
+from lexspark.operators.store import sent, stored
 from lexspark.operators.versions import Change, Snapshot, Store, Table, replaced
 
 TABLES = {
     "entries": Table("form string, variant_of string, updated_at timestamp", ("form",)),
     "senses": Table("id string, form string, position int, definition string, pos string, morph_base string, morph_relation string, model string, updated_at timestamp", ("id",)),
-    "labels": Table("form string, doc_id long, byte_offset long, sense_key string, rating int, updated_at timestamp", tuple(state.KEY)),
+    "labels": Table("form string, doc_id long, byte_offset long, sense_key string, rating int, updated_at timestamp", tuple(state.KEY), options=(("compression", "zstd"),)),
     "blocked": Table("form string, reason string", ("form",)),
 }
 CONTENT = ("definition", "pos", "morph_base", "morph_relation", "model")
@@ -109,7 +109,7 @@ def _allowed(senses: DataFrame, gone: DataFrame, by: str) -> DataFrame:
     return x.groupBy("form").agg(F.bool_and(state.rank(F.lit(by)) >= state.rank(F.col("model"))).alias("ok")).where("ok").select("form")
 
 
-def decide(now: Snapshot, decisions: DataFrame, by: str, at: str) -> Change:
+def decide(now: Snapshot, decisions: DataFrame, by: str, at: str, anew: bool = False) -> Change:
     """The change that all decisions make at once; positions and existing forms are those of the snapshot.
 
     delete_entry blocks the form, and deletes its entry, senses and labels. normalize_case does the
@@ -124,6 +124,8 @@ def decide(now: Snapshot, decisions: DataFrame, by: str, at: str) -> Change:
     rewrite and update_pos set one value, unless the sense outranks by; prune removes senses with
     their labels, all that are named of a form or, if one outranks by, none. A position that the form
     lacks, and an unknown op, are skipped. Of a form that goes, decisions on senses are not looked at.
+    With anew the labels that stay are written anew, which shuffles none of them; else the keys of
+    those that go are dropped, and looked for at every reading.
     """
     when = F.lit(at).cast("timestamp")
     entries, every = now.table("entries"), now.table("senses")
@@ -179,13 +181,15 @@ def decide(now: Snapshot, decisions: DataFrame, by: str, at: str) -> Change:
 
     # what else goes with them
     labels = now.table("labels")
-    lost = labels.join(gone, "form", "left_semi").unionByName(labels.join(pruned.select("form", F.col("id").alias("sense_key")), ["form", "sense_key"], "left_semi").select(*labels.columns))
+    cut = pruned.select("form", F.col("id").alias("sense_key"))
+    kept_labels = labels.join(sent(gone), "form", "left_anti").join(sent(cut), ["form", "sense_key"], "left_anti").select(*labels.columns)
+    lost = labels.join(gone, "form", "left_semi").unionByName(labels.join(cut, ["form", "sense_key"], "left_semi").select(*labels.columns))
     variant = d.where("op = 'spelling_variant'").join(gone, "form", "left_anti").groupBy("form").agg(F.max("arg").alias("variant_of")).join(entries.select("form"), "form", "left_semi").select("form", "variant_of", when.alias("updated_at"))
     begun = to.select(F.col("to").alias("form")).union(added.select("form")).distinct().join(entries.select("form"), "form", "left_anti")
     made = begun.select("form", none.alias("variant_of"), when.alias("updated_at"))
     stops = leave.where("op = 'delete_entry'").select("form", "arg").unionByName(d.where("op = 'blocklist'").select("form", "arg"))
     blocked = stops.groupBy("form").agg(F.coalesce(F.max("arg"), F.lit("deleted")).alias("reason")).join(now.table("blocked").select("form"), "form", "left_anti")
-    return Change({"senses": put, "entries": variant.unionByName(made), "blocked": blocked}, {"senses": drop, "entries": gone, "labels": lost})
+    return Change({"senses": put, "entries": variant.unionByName(made), "blocked": blocked}, {"senses": drop, "entries": gone} | ({} if anew else {"labels": lost}), whole={"labels": kept_labels} if anew else {})
 
 
 def from_events(events: DataFrame) -> DataFrame:
@@ -199,9 +203,10 @@ def from_events(events: DataFrame) -> DataFrame:
 def apply_decisions(store: Store, decisions: DataFrame, by: str, at: str) -> int:
     """All decisions as one version of the store; see decide()."""
     forms = decisions.select("form").union(decisions.where("op in ('normalize_case', 'spelling_variant')").select("arg")).union(decisions.select("base"))
-    return store.update(lambda now: decide(now, decisions, by, at), named(forms))
+    names = named(forms)
+    return store.update(lambda now: decide(now, decisions, by, at, names is None), names)
 
 
-def upsert_labels(store: Store, labels: DataFrame) -> int:
-    """Puts labels in place of those of the same occurrence."""
-    return store.update(lambda now: Change({"labels": labels}), named(labels.select("form")))
+def upsert_labels(store: Store, labels: DataFrame, distinct: bool = False) -> int:
+    """Puts labels in place of those of the same occurrence; distinct says that no occurrence comes twice, which need not be looked for then."""
+    return store.update(lambda now: Change({"labels": labels}, distinct=frozenset({"labels"} if distinct else ())), named(labels.select("form")))
